@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlake.llm import corpus_ids, near_records, packing, residue, split_pieces
+from patchlake.llm import corpus_ids, near_records, packing, residue, secrets, split_pieces, written_source
 from patchlake.runtime import table
 
 
@@ -19,6 +19,14 @@ def _limits(spark: SparkSession, d: str) -> tuple[int, int]:
     return budget(spark, d, "chunk_max_chars"), budget(spark, d, "chunk_overlap_lines")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return written_source.found(table(spark, d, "changed_files"))
+
+
+def p1_skipped(spark: SparkSession, d: str) -> DataFrame:
+    return written_source.skipped_by_reason(table(spark, d, "changed_files"), table(spark, d, "review_diagnostics"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split_pieces.found(table(spark, d, "review_chunks"), *_limits(spark, d))
 
@@ -35,6 +43,14 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_records.groups(table(spark, d, "python_findings_manifest"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.found(table(spark, d, "changed_files"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(table(spark, d, "changed_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.found(table(spark, d, "review_contexts"), budget(spark, d, "batch_capacity_tokens"))
 
@@ -52,7 +68,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_batches, p6_found, p7_ids)
+    f.__name__: f for f in (p1_found, p1_skipped, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_batches, p6_found, p7_ids)
 }
 
 _LIMIT = "(select amount from review_budgets where budget = '{}')"
