@@ -64,12 +64,23 @@ BLOB = re.compile(r"^\s*(?:\w+\s*=\s*)?[bB]?[rR]?[\"'`]?[A-Za-z0-9+/\\x]{48,}={0
 ROWS = re.compile(r"^\s*(?:\w+\s*[:=].{0,30})?[\[{]?\s*(?:[\[({]\s*(?:[-\d.]+|['\"][^'\"]*['\"]|null|none|true|false)(?:\s*,\s*(?:[-\d.]+|['\"][^'\"]*['\"]|null|none|true|false))+\s*[\])}]\s*,?\s*){2,}", re.IGNORECASE)
 INSERTS = re.compile(r"^\s*insert into [\w.\"`]+ (?:\([^)]*\) )?values\s*\(", re.IGNORECASE)
 OPEN_LIST = re.compile(r"^\s*(?:export\s+)?(?:const\s+|static\s+|final\s+)*[A-Z_][A-Z0-9_]*(?::[^=]+)?\s*=\s*[\[({]\s*$|^\s*[\])}]+[;,]?\s*$")
-#: A text that holds none of these has none of the evidence above; most texts end here.
-ANY = re.compile(
-    r"(?i:generated|machine[- ]|do not (?:edit|modify)|(?:produced|created|written|emitted|rendered) by|(?:built|compiled|created|rendered) from|overwritten|changes are lost|regenerate|copied|vendored|\(c\)|permission)"
-    r"|/\*{3}|__webpack|__modules__|eval\(\"|Snapshot v\d|exports\[`|_serialized|\"version\":3|mappings|sha(?:1|256|384|512)-|\"?resolved|[^\n]{200}"
-    r"|(?:[-+]?\d[\d.]*\s*[,\s;]\s*){6}|[A-Za-z0-9+/\\x]{48}|(?i:insert into)|[\])]\s*,\s*[\[(]"
-)
+#: A text in lower case that holds none of these has no mark; most texts end here.
+HINTS = (
+    "generated", "machine-", "machine ", "do not edit", "do not modify", "produced by", "created by", "written by", "emitted by", "rendered by", "built from", "compiled from", "created from", "rendered from",
+    "overwritten", "changes are lost", "regenerate", "copied", "vendored", "(c)", "permission", "/***", "__webpack", "__modules__", "eval(", "snapshot v", "exports[`", "_serialized", '"version":3', "mappings", "sha1-", "sha256-", "sha384-", "sha512-", "resolved", "insert into",
+)
+
+
+def _worth(patch: str) -> bool:
+    """Whether a text can hold evidence at all: a mark, a long line or word, or many digits."""
+    low = patch.lower()
+    if any(h in low for h in HINTS):
+        return True
+    if len(patch) >= 400 and 4 * sum(map(patch.count, "0123456789")) >= len(patch):
+        return True
+    return max(map(len, patch.split())) >= 48 or max(map(len, patch.split("\n"))) >= 200
+
+
 CODE_NAME = re.compile(r"\.(?:js|mjs|cjs|jsx|css|ts|tsx|html|svg|json)$", re.IGNORECASE)
 
 
@@ -94,7 +105,7 @@ def path_evidence(path: str | None) -> str | None:
 
 def text_evidence(path: str | None, patch: str | None) -> str | None:
     """What a patch says of a file's origin, or null."""
-    if not patch or not ANY.search(patch):
+    if not patch or not patch.strip() or not _worth(patch):
         return None
     lines, key = [], False
     for raw in re.split(r"\r?\n", patch or ""):
