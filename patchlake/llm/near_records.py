@@ -1,11 +1,13 @@
 """Near-duplicate records by the words they share, over collections too large to compare in pairs.
 
 Method: size-aware heavy-light join. A record is the multiset of its words, written as a set by numbering repetitions; records
-with the same multiset are one class and are compared once. Words are ordered by how few classes hold them. Two classes that
-share the threshold share at least SUBSET words among the first n - ceil(threshold * n) + SUBSET of each. Light (small) classes
-enumerate all SUBSET-word subsets of those and meet on equal subsets; heavy (large) classes scan the inverted lists of their
-first n - ceil(threshold * n) + 1 words. The boundary between both is the size of least estimated cost: subsets enumerated
-against list entries scanned. Each candidate is verified by the exact share; nothing is capped.
+with the same multiset are one class and are compared once. Words are ordered by how few classes hold them. Of two classes that
+share the threshold, the smaller holds SUBSET common words among its first n - ceil(2t / (1 + t) * n) + SUBSET and the larger
+among its first n - ceil(t * n) + SUBSET. Light (small) classes enumerate the SUBSET-word subsets of those words and meet on equal
+subsets; for heavy (large) classes the inverted lists of the words themselves are scanned. The boundary between both is the size
+of least estimated cost: subsets written, entries scanned. What meets is held against the positions of the shared words and a
+parity sketch of the whole sets, both of which can only leave out pairs below the threshold, and then verified by the exact
+share; nothing is capped. Long lists are cut into parts of LIST entries, each of which meets a copy of the scanning side.
 
 Defined results: a record without words shares nothing with any; null fields are nothing; a manifest_id delivered again counts
 once (its first version in order of the text, where copies differ); nulls in the key leave the row out; extra columns are
@@ -23,6 +25,10 @@ SUBSET = 2
 FIELDS = ("rule", "issue", "suggestion")
 THRESHOLD = 0.7
 SALTS = 16
+#: Entries of an inverted list that one scan meets.
+LIST = 3000
+#: What a subset costs that is written, shuffled and sorted, in entries scanned.
+ROW_COST = 100
 
 
 def words_of(fields: tuple[str, ...] = FIELDS) -> Column:
@@ -62,16 +68,29 @@ def _ordered(reps: DataFrame) -> DataFrame:
     )
 
 
-def _prefix(threshold: float, more: int) -> Column:
-    return F.least(F.col("n"), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + more).cast("int")
+def _prefix(threshold: float, more: int, smaller: bool) -> Column:
+    """How many of its first words a class must show; smaller: to classes of its size or larger, else to smaller ones."""
+    t = 2 * threshold / (1 + threshold) if smaller else threshold
+    return F.least(F.col("n"), F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + more).cast("int")
+
+
+def _sketched(ordered: DataFrame) -> DataFrame:
+    """With s0 and s1: the parity of how many elements fall on each of 128 bits."""
+    half = lambda k: F.aggregate(
+        "elements", F.lit(0).cast("long"), lambda s, x: F.when(F.pmod(F.shiftright(x, 6), F.lit(2)) == k, s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int")))).otherwise(s)
+    )
+    return ordered.withColumn("s0", half(0)).withColumn("s1", half(1))
 
 
 def boundary(ordered: DataFrame, threshold: float) -> int:
     """The largest size that is light: of least cost over the sizes, grouped by powers of 1.25 (a few dozen rows)."""
+    total = ordered.count()
     bucket = F.floor(F.log(1.25, F.col("n"))).cast("int")
-    p = _prefix(threshold, SUBSET)
+    p, q = _prefix(threshold, SUBSET, True), _prefix(threshold, SUBSET, False)
+    both = lambda k: F.aggregate(F.slice("lists", F.lit(1), k), F.lit(0).cast("double"), lambda s, x: s + x)
+    met = both(p) * both(q) / (2 * max(total, 1))
     costs = (
-        ordered.select("n", bucket.alias("b"), (p * (p - 1) / 2).alias("subsets"), F.aggregate(F.slice("lists", F.lit(1), _prefix(threshold, 1)), F.lit(0).cast("double"), lambda s, x: s + x).alias("scans"))
+        ordered.select("n", bucket.alias("b"), (ROW_COST * (p * (p - 1) + q * (q - 1)) / 2 + met).alias("subsets"), both(_prefix(threshold, 1, True)).alias("scans"))
         .groupBy("b")
         .agg(F.max("n").alias("n"), F.sum("subsets").alias("subsets"), F.sum("scans").alias("scans"))
         .orderBy("b")
@@ -85,32 +104,47 @@ def boundary(ordered: DataFrame, threshold: float) -> int:
     return at
 
 
-def _meet(left: DataFrame, right: DataFrame, threshold: float, same: bool) -> DataFrame:
-    """Pairs of classes with an equal key and sizes that allow the threshold. Hot keys are split by salting one side."""
-    a = left.select("key", F.col("class").alias("a"), F.col("n").alias("na"))
-    b = right.select("key", F.col("class").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
-    order = F.col("a") < F.col("b") if same else F.col("a") != F.col("b")
-    return a.join(b, "key").where(fits & order).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _keys(sets: DataFrame, threshold: float, size: int, smaller: bool) -> DataFrame:
+    """One row for each word (size 1) or pair of words (size 2) that a class shows, with the place of the last."""
+    p = F.slice("elements", F.lit(1), _prefix(threshold, size, smaller))
+    lists = F.slice("lists", F.lit(1), _prefix(threshold, size, smaller))
+    if size == 1:
+        keys = F.transform(p, lambda x, i: F.struct(x.alias("key"), i.alias("at"), F.lit(1).alias("parts")))
+        keys = F.zip_with(keys, lists, lambda k, f: F.struct(k["key"].alias("key"), k["at"].alias("at"), F.ceil(f / LIST).cast("int").alias("parts")))
+    else:
+        rest = lambda x, i: F.transform(
+            F.slice("p", F.lit(1), i), lambda y: F.struct(F.xxhash64(y, x).alias("key"), i.alias("at"), F.lit(1).alias("parts"))
+        )
+        keys = F.flatten(F.transform("p", rest))
+        sets = sets.withColumn("p", p)
+    return sets.select("class", "n", "s0", "s1", F.explode(keys).alias("k")).select("class", "n", "s0", "s1", "k.*")
+
+
+def _meet(smaller: DataFrame, larger: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b) of classes with an equal key that positions, sizes and sketches allow."""
+    a = larger.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"a_{c}") for c in ("class", "n", "at", "s0", "s1")))
+    b = smaller.select("key", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"b_{c}") for c in ("class", "n", "at", "s0", "s1")))
+    least = F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    order = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_class") < F.col("a_class")))
+    sizes = F.col("b_n") >= F.lit(threshold) * F.col("a_n") - 1e-9
+    places = size + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1 >= least
+    apart = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
+    sketch = apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) + 1e-9
+    return a.join(b, ["key", "part"]).where(order & sizes & places & sketch).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
 
 
 def class_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, share): all pairs of classes that share at least the threshold, a < b."""
-    ordered = materialize(_ordered(reps), "ordered")
+    ordered = materialize(_sketched(_ordered(reps)), "ordered")
     edge = boundary(ordered, threshold)
     light, heavy = ordered.where(F.col("n") <= edge), ordered.where(F.col("n") > edge)
-    prefix = F.slice("elements", F.lit(1), _prefix(threshold, SUBSET))
-    subsets = light.select("class", "n", prefix.alias("p")).select(
-        "class",
-        "n",
-        F.explode(F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.greatest(F.size("p") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))).alias("key"),
-    )
-    found = _meet(subsets, subsets, threshold, True)
-    lists = lambda df: df.select("class", "n", F.explode(F.slice("elements", F.lit(1), _prefix(threshold, 1))).alias("key"))
-    candidates = found
+    # the larger of two light classes is light; a heavy one meets every smaller class by its lists
+    ways = [_meet(_keys(light, threshold, SUBSET, True), _keys(light, threshold, SUBSET, False), threshold, SUBSET)] if edge else []
     if not heavy.isEmpty():
-        scan = lists(heavy)
-        candidates = found.union(_meet(scan, lists(ordered), threshold, False)).distinct()
+        ways.append(_meet(_keys(ordered, threshold, 1, True), _keys(heavy, threshold, 1, False), threshold, 1))
+    if not ways:
+        return reps.sparkSession.createDataFrame([], "a long, b long, share double")
+    candidates = ways[0] if len(ways) == 1 else ways[0].union(ways[1]).distinct()
     one = ordered.select(F.col("class").alias("a"), F.col("elements").alias("ea"))
     two = ordered.select(F.col("class").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
