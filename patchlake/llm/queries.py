@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlake.llm import corpus_ids, near_records, packing, residue, secrets, split_pieces, written_source
+from patchlake.llm import abuse, corpus_ids, leakage, near_records, packing, residue, secrets, split_pieces, written_source
 from patchlake.runtime import table
 
 
@@ -67,8 +67,32 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_ids.encode_corpus(table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_ids.decode_corpus(corpus_ids.encode_corpus(table(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_skipped, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_batches, p6_found, p7_ids)
+    f.__name__: f for f in (p1_found, p1_skipped, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_batches, p6_found, p7_ids, p7_decoded, p8_found, p8_items, p9_found, p9_scores, p9_rates)
 }
 
 _LIMIT = "(select amount from review_budgets where budget = '{}')"
@@ -83,6 +107,7 @@ SQL: dict[str, str] = {
         n as (select manifest_id, sum(c) n from c group by all),
         p as (select a.manifest_id a, b.manifest_id b, sum(least(a.c, b.c)) o from c a join c b on a.w = b.w and a.manifest_id < b.manifest_id group by all)
         select a manifest_id_a, b manifest_id_b from p join n x on x.manifest_id = a join n y on y.manifest_id = b where o >= 0.7 * (x.n + y.n - o) - 1e-9""",
+    "p7_decoded": "select distinct doc_id, coalesce(text, '') as text from documents",
     "p5_found": f"""
         select distinct context_id from review_contexts
         where coalesce(estimated_tokens, ceil(content_chars / 4.0)) > {_LIMIT.format("batch_capacity_tokens")}""",
