@@ -65,10 +65,14 @@ ROWS = re.compile(r"^\s*(?:\w+\s*[:=].{0,30})?[\[{]?\s*(?:[\[({]\s*(?:[-\d.]+|['
 INSERTS = re.compile(r"^\s*insert into [\w.\"`]+ (?:\([^)]*\) )?values\s*\(", re.IGNORECASE)
 OPEN_LIST = re.compile(r"^\s*(?:export\s+)?(?:const\s+|static\s+|final\s+)*[A-Z_][A-Z0-9_]*(?::[^=]+)?\s*=\s*[\[({]\s*$|^\s*[\])}]+[;,]?\s*$")
 #: A text in lower case that holds none of these has no mark; most texts end here.
-HINTS = (
+MARKS = (
     "generated", "machine-", "machine ", "do not edit", "do not modify", "produced by", "created by", "written by", "emitted by", "rendered by", "built from", "compiled from", "created from", "rendered from",
-    "overwritten", "changes are lost", "regenerate", "copied", "vendored", "(c)", "permission", "/***", "__webpack", "__modules__", "eval(", "snapshot v", "exports[`", "_serialized", '"version":3', "mappings", "sha1-", "sha256-", "sha384-", "sha512-", "resolved", "insert into",
+    "created;", "overwritten", "changes are lost", "regenerate", "copied", "vendored", "(c)", "permission", "automatically", "auto-",
 )
+BUNDLES = ("/***", "__webpack", "__modules__", "eval(")
+RECORDS = ("snapshot v", "exports[`", "_serialized", "addserializedfile", '"version":3', "mappings")
+LOCK_WORDS = ("sha1-", "sha256-", "sha384-", "sha512-", "resolved", "integrity", "checksum")
+HINTS = (*MARKS, *BUNDLES, *RECORDS, *LOCK_WORDS, "insert into")
 
 
 def _worth(patch: str) -> bool:
@@ -123,21 +127,25 @@ def text_evidence(path: str | None, patch: str | None) -> str | None:
         lines.append(line)
     if not lines:
         return None
-    for line in lines:
-        if line.lstrip()[:1] in "#/*-<;%\"'":
-            if MADE.search(line):
-                return "generated mark"
-            if COPIED.search(line):
-                return "copied mark"
+    low = patch.lower()
+    if any(h in low for h in MARKS):
+        for line in lines:
+            if line.lstrip()[:1] in "#/*-<;%\"'" and any(h in line.lower() for h in MARKS):
+                if MADE.search(line):
+                    return "generated mark"
+                if COPIED.search(line):
+                    return "copied mark"
     size = sum(map(len, lines))
-    if sum(bool(BUNDLE.search(x)) for x in lines) * 3 >= len(lines) and len(lines) > 1:
+    if len(lines) > 1 and any(h in low for h in BUNDLES) and sum(bool(BUNDLE.search(x)) for x in lines) * 3 >= len(lines):
         return "bundled"
-    recorded = sum(bool(RECORDED.search(x)) for x in lines)
-    if recorded and (recorded >= 2 or recorded * 4 >= len(lines)):
-        return "recorded output"
-    locked = sum(bool(LOCKED.search(x)) for x in lines)
-    if locked >= 3 and locked * 4 >= len(lines):
-        return "lock file"
+    if any(h in low for h in RECORDS):
+        recorded = sum(bool(RECORDED.search(x)) for x in lines)
+        if recorded and (recorded >= 2 or recorded * 4 >= len(lines)):
+            return "recorded output"
+    if any(h in low for h in LOCK_WORDS):
+        locked = sum(bool(LOCKED.search(x)) for x in lines)
+        if locked >= 3 and locked * 4 >= len(lines):
+            return "lock file"
     dense = 0
     if CODE_NAME.search(path or ""):
         for x in lines:
@@ -145,7 +153,9 @@ def text_evidence(path: str | None, patch: str | None) -> str | None:
                 dense += len(x)
         if dense * 2 >= size:
             return "minified"
-    data = sum(len(x) for x in lines if NUMBERS.match(x) or BLOB.match(x) or INSERTS.match(x) or ROWS.match(x))
+    if size < 400:
+        return None
+    data = sum(len(x) for x in lines if len(x) >= 20 and (NUMBERS.match(x) or BLOB.match(x) or INSERTS.match(x) or ROWS.match(x)))
     rest = sum(len(x) for x in lines if OPEN_LIST.match(x))
     if data >= 400 and data * 4 >= 3 * (size - rest):
         return "data as code"
@@ -154,9 +164,23 @@ def text_evidence(path: str | None, patch: str | None) -> str | None:
 
 _words = re.compile(r"[A-Za-z_]\w*|\d+|[^\s\w]")
 _known: dict[str, int] = {}
+_power = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 _notes = re.compile(r"//[^\n]*|#[^\n]*|/\*.*?\*/", re.DOTALL)
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base from 1, and those of its inverse from 0, modulo 2 ** 64."""
+    if len(_power[0]) < n:
+        m = max(4096, 2 * n)
+        with np.errstate(over="ignore"):
+            _power[0] = np.cumprod(np.full(m, _BASE, np.uint64))
+            _power[1] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
+    return _power[0][:n], _power[1][:n]
+
+
 def fingerprints(patch: str | None, run: int = RUN, window: int = WINDOW) -> np.ndarray:
     """The winnowed fingerprints of a patch's new and kept lines (of its old ones, where it has no others)."""
     kept, old = [], []
@@ -173,16 +197,24 @@ def fingerprints(patch: str | None, run: int = RUN, window: int = WINDOW) -> np.
 
     if len(_known) > 500_000:
         _known.clear()
-    h = np.array([_known.get(w) or _known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], np.uint64)
+    try:
+        h = np.array([*map(_known.__getitem__, words)], np.uint64)
+    except KeyError:
+        h = np.array([_known.get(w) or _known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], np.uint64)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(h), 0x9E3779B97F4A7C15, np.uint64))
+        power, inverse = _powers(len(h))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
-        # the hash of a run is its polynomial, brought to the same power everywhere
-        runs = (total[run:] - total[:-run]) * power[::-1][:n]
+        # the hash of a run is its polynomial, brought to the same power wherever the run stands
+        runs = (total[run:] - total[:-run]) * inverse[:n]
         runs ^= runs >> np.uint64(31)
         runs *= np.uint64(0xBF58476D1CE4E5B9)
         runs ^= runs >> np.uint64(29)
-    least = np.lib.stride_tricks.sliding_window_view(runs, min(window, n)).min(axis=1)
+    # the least of every window, by windows of doubling size
+    least, size, window = runs, 1, min(window, n)
+    while size < window:
+        step = min(size, window - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
     return np.unique(least).view(np.int64)
 
 
