@@ -65,14 +65,14 @@ def added_lines(files: DataFrame, keep: list[str], still: str = "-p", blanks: bo
 
 def hunks(files: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., hunk, old_start, old_count, new_start, new_count, added): each hunk with the numbers of its added lines."""
-    one = lined(files).select(*keep, F.posexplode(F.filter("lines", lambda x: x.rlike(HEADER))).alias("hunk", "header"), "kinds")
+    one = lined(files).select(*keep, F.posexplode(F.filter("lines", lambda x: x.rlike(HEADER))).alias("h", "header"), F.split("kinds", "@").alias("bodies"))
     part = lambda k: F.regexp_extract("header", HEADER_PARTS, k)
     number = lambda k: part(k).cast("int")
     count = lambda k: F.when(part(k) == "", 1).otherwise(F.expr(f"try_cast(regexp_extract(header, '{HEADER_PARTS.replace(chr(92), chr(92) * 2)}', {k}) as int)"))
-    body = F.element_at(F.split("kinds", "@"), F.col("hunk") + 2)
+    body = F.get("bodies", F.col("h") + 1)
     offset = F.filter(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda i: F.substr(body, i, F.lit(1)) == "+")
     at = F.transform(offset, lambda i: (number(3) + _moves(F.substr(body, F.lit(1), i - 1))).cast("int"))
-    return one.select(*keep, (F.col("hunk") + 1).alias("hunk"), number(1).alias("old_start"), count(2).alias("old_count"), number(3).alias("new_start"), count(4).alias("new_count"), at.alias("added"))
+    return one.select(*keep, (F.col("h") + 1).alias("hunk"), number(1).alias("old_start"), count(2).alias("old_count"), number(3).alias("new_start"), count(4).alias("new_count"), at.alias("added"))
 
 
 def _moves(s: Column) -> Column:

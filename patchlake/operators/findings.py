@@ -77,7 +77,7 @@ def marker(rule: Column, path: Column, line: Column) -> Column:
 
 def markers_in(comments: DataFrame, body: str = "body") -> DataFrame:
     """(marker): the markers that stand alone on a line of a comment."""
-    line = comments.select(strip(F.explode(split_lines(body))).alias("marker"))
+    line = comments.select(F.explode(F.transform(split_lines(body), strip)).alias("marker"))
     return line.where(F.col("marker").startswith(MARKER) & F.col("marker").endswith("-->")).distinct()
 
 

@@ -183,7 +183,7 @@ def rank(severity: Column) -> Column:
 
 
 def named(r: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), r + 1)
+    return F.get(F.array(*map(F.lit, SEVERITIES)), r)
 
 
 def clamp(findings: DataFrame) -> DataFrame:
