@@ -248,7 +248,7 @@ CLAMPED = (
     CANONICAL
     + ", "
     + RULES
-    + f""", clamped as (select c.* exclude (severity), {NAMED.format("greatest(least(r, coalesce(l, r)), coalesce(h, r))")} severity from
+    + f""", clamped as (select c.* exclude (severity), case when r is not null then {NAMED.format("greatest(least(r, coalesce(l, r)), coalesce(h, 0))")} end severity from
     (select c.*, {RANK.format("severity")} r, {RANK.format("highest")} h, {RANK.format("lowest")} l from canonical c left join rules on rules.rule_id = c.canonical) c)"""
 )
 

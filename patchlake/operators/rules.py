@@ -190,7 +190,7 @@ def clamp(findings: DataFrame) -> DataFrame:
     """Severities within the bounds of their canonical rule: the lowest is applied before the highest."""
     c = catalog(findings.sparkSession).select(F.col("rule_id").alias("_r"), rank(F.col("highest")).alias("_h"), rank(F.col("lowest")).alias("_l"))
     r = rank(F.col("severity"))
-    return findings.join(F.broadcast(c), F.col("canonical") == F.col("_r"), "left").withColumn("severity", named(F.greatest(F.least(r, F.coalesce("_l", r)), F.coalesce("_h", r)))).drop("_r", "_h", "_l")
+    return findings.join(F.broadcast(c), F.col("canonical") == F.col("_r"), "left").withColumn("severity", F.when(r.isNotNull(), named(F.greatest(F.least(r, F.coalesce("_l", r)), F.coalesce("_h", F.lit(0)))))).drop("_r", "_h", "_l")
 
 
 def policy(findings: DataFrame) -> DataFrame:
