@@ -24,7 +24,7 @@ QUOTED = r"`[^`\n]*`|\*\*[^*\n]+\*\*"
 STARTS = (
     "TODO:", "FIXME:", "TBD", "Please (?:enable|turn on|sign|log|confirm|verify)", "Access denied", "You (?:need|must|do not have|don't have)", "None was", "undefined:",
     "Sign in", "Log in", "Your session", "Your (?:suggestion|issue|finding|text)", "Too many requests", "Slow down", "Confirm that you", "Checking your", "This (?:page|site) ", "I'm sorry",
-    "The upstream server", "The page you", "Keep it under", "Sample text", "Page not found", "asdf", r"\[(?:Describe|Insert|Add)", r"[45]\d\d (?:Bad|Gateway|Service|Internal|Not|-|Proxy)", r"%s is", r"\[object", "<html", "<!DOCTYPE",
+    "The upstream server", "The page you", "Keep it under", "Sample text", "Page not found", "asdf asdf", r"\[(?:Describe|Insert|Add)", r"[45]\d\d (?:Bad|Gateway|Service|Internal|Not|-|Proxy)", r"%s is", r"\[object", "<html", "<!DOCTYPE",
 )
 SENTENCE_END = r"(?<=[.!?;])\s+|\s*[\r\n]+\s*|\s+(?=" + "|".join(STARTS) + ")"
 
@@ -40,7 +40,7 @@ EVIDENCE = {
     ),
     "filler": (
         r"(?i)\b(?:lorem ipsum dolor|ipsum dolor sit|dolor sit amet|consectetur adipiscing)\b"
-        r"|(?i)\b(?:asdf\s+asdf|qwerty\s+qwerty|blah\s+blah|foo\s+bar\s+baz|test\s+test\s+test|xxx\s+xxx)\b"
+        r"|(?i)\b(?:asdf|qwerty\s+qwerty|blah\s+blah|foo\s+bar\s+baz|test\s+test\s+test|xxx\s+xxx)\b"
         r"|(?i)\b(?:sample text\W+){2,}"
         r"|(?i)(?:\W*\b(?:lorem|ipsum|dolor|sit|amet|elit|massa|augue|porta|quis|sodales|velit|vitae|tempor|semper|magna|nulla|ligula|pretium|rutrum|sed|eiusmod|incididunt|labore|aliqua|enim|minim|veniam|nostrud|consectetur|adipiscing)\b){4,}"
     ),
