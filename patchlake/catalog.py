@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.functions import paths
-from patchlake.operators import classify, diff, findings, history, planning, projects, rules
+from patchlake.operators import classify, detection, diff, findings, history, planning, projects, responses, rules, syntax, validation
 from patchlake.runtime import table
 from patchlake.sources import review_tables as tables
 from patchlake.streaming import progress
@@ -566,3 +566,109 @@ def job_progress(spark, d):
 @query(f"with {EVENTS}, own as (select job, event_id, min(ts) ts, max(kind) kind, max(progress) progress from log group by all) select job, event_id, ts, kind, progress from (select *, row_number() over (partition by job order by ts desc, event_id desc) place from own) where place <= 200")
 def job_event_ring(spark, d):
     return progress.ring(_log(spark, d))
+
+
+# ---- detection, answers and validation ----------------------------------------------------------------------------------
+
+
+def _framework_sql() -> str:
+    flags, cases = [], []
+    for k, (name, needs, where, pattern) in enumerate(detection.FRAMEWORKS):
+        quoted = pattern.replace("'", "''")
+        flags.append(f"coalesce(bool_or(regexp_matches(lower({'path' if where == 'path' else 'patch'}), '{quoted}')), false) s{k}")
+        flags.append(f"coalesce(bool_or(regexp_matches(lower(path), '{needs}')), false) n{k}" if needs else f"true n{k}")
+        cases.append(f"when s{k} and n{k} then '{name}'")
+    return f"with {FILES}, flags as (select repository, {', '.join(flags)} from files group by all) select repository, case {' '.join(cases)} else 'unknown' end framework from flags"
+
+
+@query(_framework_sql())
+def repository_framework(spark, d):
+    return detection.frameworks(tables.files(spark, d), ["repository"])
+
+
+@query(f"with {FILES} select repository, case when bool_or(regexp_matches(lower(path), '(^|/)nx\\.json$')) then 'nx' else 'standalone' end workspace from files group by all")
+def repository_workspace(spark, d):
+    return detection.workspace(tables.files(spark, d), ["repository"], nested=True)
+
+
+@query(f"""with {FILES}, explicit as (select distinct repository, regexp_extract(path, '^(.*)/[^/]*$', 1) root from files where regexp_matches(lower(path), '/project\\.json$') or regexp_matches(lower(path), '^(?:apps|libs|packages|services)/.*/?package\\.json$')),
+    guess as (select distinct repository, regexp_extract(path, '^((?:apps|libs|packages|services)/[^/]+)/', 1) root from files),
+    free as (select * from guess g where root <> '' and not exists (select 1 from explicit e where e.repository = g.repository and (e.root = g.root or starts_with(g.root, e.root || '/') or starts_with(e.root, g.root || '/')))),
+    roots as (select *, true explicit from explicit where root <> '' union all select *, false from free)
+    select * from roots union all select distinct repository, '.' root, false explicit from files where repository not in (select repository from roots)""")
+def project_roots(spark, d):
+    return detection.project_roots(tables.files(spark, d), ["repository"])
+
+
+FLAG_SQL = "list_filter([" + ", ".join(f"case when bits & {b} <> 0 then '{n}' end" for b, n in responses.FLAGS.items()) + "], lambda x: x is not null)"
+
+
+@query(f"""select file_id, flags, case when list_contains(flags, 'delete') then 'removed' when list_has_any(flags, ['rename', 'sourcerename', 'targetrename']) then 'renamed' when list_has_any(flags, ['add', 'undelete']) then 'added' else 'modified' end status
+    from (select file_id, {FLAG_SQL} flags from (select distinct file_id, (file_id % 8192)::int bits from changed_files))""")
+def change_flags(spark, d):
+    f = table(spark, d, "changed_files").select("file_id", (F.col("file_id") % 8192).cast("int").alias("bits")).distinct()
+    return f.select("file_id", responses.flags(F.col("bits")).alias("flags")).withColumn("status", responses.status(F.col("flags")))
+
+
+@query(f"""with {LINES}, v as (select file_id, line_number, regexp_extract(content, '"version": *"([^"]*)"', 1) t from added where content like '%"version":%')
+    select file_id, line_number, [coalesce(try_cast(regexp_extract(t, '(\\d+)(?:\\.(\\d+))?(?:\\.(\\d+))?', k) as int), 0) for k in [1, 2, 3]] as version
+    from (select file_id, line_number, t from v where regexp_matches(t, '\\d'))""".replace("regexp_extract(t, '(\\d+)(?:\\.(\\d+))?(?:\\.(\\d+))?', k)", "string_split(regexp_extract(t, '\\d+(?:\\.\\d+)?(?:\\.\\d+)?'), '.')[k]"))
+def locked_versions(spark, d):
+    lines = diff.added_lines(tables.files(spark, d), ["file_id"]).where(F.col("content").contains('"version":'))
+    t = lines.select("file_id", "line_number", F.regexp_extract("content", '"version": *"([^"]*)"', 1).alias("t"))
+    return t.select("file_id", "line_number", responses.version(F.col("t")).alias("version")).where("version is not null")
+
+
+@query(f"""with {FINDINGS}, placed as (select *, row_number() over (partition by repository, path order by seq) - 1 n from findings)
+    select repository, path, n::int n, line_number, lower(severity) severity, rule_id, issue as message from placed where n < 3 and line_number > 0 and trim(rule_id) <> '' and trim(issue) <> '' and severity in ('critical', 'high', 'medium', 'low', 'suggestion')""")
+def parsed_answers(spark, d):
+    f = tables.findings(spark, d)
+    row = F.struct(F.col("path").alias("file_path"), "line_number", "severity", "rule_id", F.col("issue").alias("message"), "suggestion")
+    lists = f.groupBy("repository", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))), lambda x: x["row"]).alias("findings"), F.min("seq").alias("first"))
+    whole = F.to_json(F.struct("findings"))
+    cut = F.concat(F.substring(whole, 1, F.length(whole) - 2), F.lit(', {"file_path": "broken o'))
+    answer = F.when(F.col("first") % 3 == 0, cut).otherwise(F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```")))
+    return responses.answered(lists.select("repository", "path", answer.alias("answer")), ["repository", "path"]).select("repository", "path", "n", "line_number", "severity", "rule_id", "message")
+
+
+def _reasons_sql() -> str:
+    wrong = " or ".join(f"(regexp_matches(rule_id, '{p}') and {SUFFIX} not in ({_list(e.split())}))" for p, e in validation.ONLY_IN.items())
+    cases = [
+        ("no path", "trim(coalesce(path, '')) = ''"), ("no line", "coalesce(line_number <= 0, true)"), ("no rule", "trim(coalesce(rule_id, '')) = ''"), ("no message", "trim(regexp_replace(coalesce(issue, ''), '\\s', ' ', 'g')) = ''"),
+        ("placeholder rule", f"rule_id in ({_list(validation.PLACEHOLDERS)})"), ("speculative", f"regexp_matches(concat_ws(' ', issue, suggestion), '{validation.GUESSES}')"), ("wrong file type", wrong),
+    ]
+    return "list_filter([" + ", ".join(f"case when coalesce({c}, false) then '{r}' end" for r, c in cases) + "], lambda x: x is not null)"
+
+
+@query(f"with {FINDINGS} select seq, {_reasons_sql()} reasons from findings")
+def structural_reasons(spark, d):
+    f = tables.findings(spark, d)
+    return f.select("seq", validation.structural(f).alias("reasons"))
+
+
+@query()
+def grounded_reasons(spark, d):
+    lines = diff.added_lines(tables.files(spark, d), ["repository", "path"])
+    return validation.grounded(tables.findings(spark, d), lines, ["repository", "path"])
+
+
+SOURCED_CANONICAL = CANONICAL + ", sourced as (select *, case when seq % 3 = 0 then 'llm' else 'static' end source from canonical where line_number is not null)"
+
+
+@query(f"""with {SOURCED_CANONICAL}, pairs as (select a.seq l_seq, b.seq r_seq, b.canonical, concat_ws(' ', a.rule_id, a.issue, a.impact, a.evidence, a.suggestion) t from sourced a join sourced b on a.repository = b.repository and abs(a.line_number - b.line_number) <= 5 and a.seq <> b.seq
+    where a.source = 'llm' and b.source = 'static') select l_seq, r_seq from pairs where case {" ".join(f"when canonical = '{r}' then regexp_matches(t, '{p}')" for r, p in validation.CONCEPTS.items())} else false end""")
+def root_cause_matches(spark, d):
+    s = rules.resolve(_sourced(spark, d))
+    pairs = findings.near_matches(s.where("source = 'llm'"), s.where("source = 'static'"), ["repository"], 5)
+    told = s.select(F.col("seq").alias("r_seq"), "canonical")
+    return validation.root_causes(pairs.join(told, "r_seq"), s.where("source = 'llm'"))
+
+
+@query()
+def syntax_findings(spark, d):
+    return syntax.syntax_findings(tables.files(spark, d))
+
+
+@query(f"""with {FIRED} select provider, repository, number, map_from_entries(list({{'k': rule_id, 'v': n}} order by rule_id)) by_rule from (select provider, repository, number, rule_id, count(*)::int n from fired group by all) group by all""")
+def rule_histogram(spark, d):
+    return findings.histogram(_fired(spark, d), KEY, "rule_id", "by_rule")
