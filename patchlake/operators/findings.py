@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlake.functions.paths import dedup_path, split_lines, strip
 from patchlake.operators.rules import SEVERITIES, rank
-from patchlake.runtime import broadcast_if_small, ship_package
+from patchlake.runtime import broadcast_if_small, by_group
 
 #: Beginning of the hidden line by which a published finding is known again.
 MARKER = "<!-- finding:"
@@ -198,14 +197,15 @@ def deduplicated(findings: DataFrame, keys: list[str]) -> DataFrame:
     The fold is sequential by its meaning. Findings more than NEAR_SUBJECT lines apart never meet, so that a path with very many
     findings is cut at gaps wider than that, and the pieces are folded apart.
     """
-    ship_package(findings.sparkSession)
     rows = findings.where("line_number is not null and severity is not null").select(*keys, dedup_path("path").alias("p"), "seq", "line_number", "rule_id", "severity", "category", "issue", "source")
     w = Window.partitionBy(*keys, "p").orderBy("line_number", "seq")
     gap = (F.col("line_number") - F.lag("line_number").over(w) > NEAR_SUBJECT).cast("int")
     pieces = rows.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("piece", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        return pd.DataFrame({"seq": pdf.seq, "kept_as": fold(pdf.to_dict("records"))})
+    columns = [*keys, "p", "piece", "seq", "line_number", "rule_id", "severity", "category", "issue", "source"]
 
-    return pieces.drop("gap").groupBy(*keys, "p", "piece").applyInPandas(run, "seq long, kept_as long")
+    def run(rows: list[tuple]) -> list[tuple]:
+        dicts = [dict(zip(columns, x)) for x in rows]
+        return list(zip([x["seq"] for x in dicts], fold(dicts)))
+
+    return by_group(pieces.select(*columns), [*keys, "p", "piece"], ["seq"], run, "seq long, kept_as long")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlake.functions.paths import line_tokens
-from patchlake.runtime import ship_package
+from patchlake.runtime import by_group
 
 #: Tokens and lines of a call and parts of a file; files and tokens of a batch; lines of a chunk; lines of context.
 CALL_TOKENS, CALL_LINES, FILE_PARTS = 6000, 500, 2
@@ -54,22 +53,20 @@ def file_batches(files: DataFrame, keys: list[str], most: int = BATCH_FILES, tok
 
     The kind is what may stand together in one prompt (here the language). Batches are numbered by their first file.
     """
-    ship_package(files.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
+    def run(rows: list[tuple]) -> list[tuple]:
         batch, count, load = 0, 0, 0
         out = []
-        for t in pdf.tokens:
+        for row in rows:
+            t = row[-1]
             if count and (count >= most or load + t > tokens):
                 batch, count, load = batch + 1, 0, 0
-            out.append(batch)
+            out.append((*row[:-1], batch))
             count, load = count + 1, load + t
-        return pdf.assign(local=out)[[*keys, "kind", "seq", "local"]]
+        return out
 
     kinds = dict(files.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "kind", "seq"]) + ", local int"
-    made = files.select(*keys, "kind", "seq", "tokens").groupBy(*keys, "kind").applyInPandas(run, schema)
+    made = by_group(files.select(*keys, "kind", "seq", "tokens"), [*keys, "kind"], ["seq"], run, schema)
     first = F.min("seq").over(Window.partitionBy(*keys, "kind", "local"))
     return made.withColumn("first", first).withColumn("batch", F.dense_rank().over(Window.partitionBy(*keys).orderBy("first", "kind"))).select(*keys, "seq", "batch")
 

@@ -6,10 +6,13 @@ import os
 import uuid
 import weakref
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 #: A side is broadcast only when its measured row count stays under this.
 BROADCAST_ROWS = 200_000
@@ -114,3 +117,42 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """fold over the rows of each group, in order: rows come as tuples of the keys and the other columns of df.
+
+    Rows are brought together by key and sorted in the JVM, and each worker walks through its groups as they come, so that
+    many small groups cost no call each. A group is held whole by its worker: callers bound its size.
+    """
+    ship_package(df.sparkSession)
+    rest = [c for c in df.columns if c not in keys]
+    plain = df.select(*keys, *rest)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out_schema = to_arrow_schema(_parse_datatype_string(schema))
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(out_schema)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+            out.clear()
+            return batch
+
+        for rb in batches:
+            for row in zip(*(c.to_pylist() for c in rb.columns)):
+                if held and row[:n] != key:
+                    out.extend(fold(held))
+                    held = []
+                key = row[:n]
+                held.append(row)
+            if len(out) >= 20_000:
+                yield made()
+        if held:
+            out.extend(fold(held))
+        yield made()
+
+    return plain.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
