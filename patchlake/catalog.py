@@ -189,7 +189,7 @@ CATEGORIES = (
 
 @query(f"with {CATEGORIES} select file_id, category from categories")
 def classify_files(spark, d):
-    return tables.files(spark, d).select("file_id", classify.category(F.col("path")).alias("category"))
+    return classify.categorized(tables.files(spark, d).select("file_id", "path")).select("file_id", "category")
 
 
 @query(f"with {FILES} select file_id, coalesce(case {' '.join(f'when {SUFFIX} in (' + _list(e.split()) + f') then ' + chr(39) + n + chr(39) for n, e in classify.LANGUAGES.items())} end, 'unknown') as lang from files")
@@ -210,7 +210,7 @@ ROUTES = (
 def _routes(spark, d):
     f = tables.files(spark, d)
     content = F.filter(F.transform(F.filter(F.coalesce(paths.split_lines("patch"), F.array().cast("array<string>")), lambda x: x.startswith("+") & ~x.startswith("+++")), lambda x: F.substring(x, 2, 1 << 30)), lambda x: x.rlike(r"(?U)\S"))
-    return f.withColumn("contents", content).select(*KEY, "file_id", classify.route(F.col("path"), F.col("contents")).alias("route"))
+    return classify.routed(f.select(*KEY, "file_id", "path", content.alias("contents"))).select(*KEY, "file_id", "route")
 
 
 @query(f"with {ROUTES} select file_id, route from routes")

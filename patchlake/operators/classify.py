@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions.paths import file_name, slashes, strip, suffix
@@ -51,32 +51,31 @@ BARRELS = "index.ts index.js test-setup.ts test-setup.js usings.cs".split()
 REVIEWED = "source_code test template stylesheet project_configuration unknown".split()
 
 
-def _any(values: list[str], test) -> Column:
-    out = F.lit(False)
-    for v in values:
-        out = out | test(v)
-    return out
-
-
-def category(path: Column) -> Column:
-    """The category of a file: the first that fits, in fixed order; never null for a path."""
+def parted(df: DataFrame, path: str = "path") -> DataFrame:
+    """With _parts, _folders, _name and _end of the path, in lower case: computed once for all tests."""
     p = slashes(strip(path))
     parts = F.filter(F.split(F.lower(p), "/"), lambda x: (x != "") & (x != "."))
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    name, end = F.lower(file_name(p)), suffix(p)
+    step = df.withColumn("_parts", parts).withColumn("_name", F.lower(file_name(p))).withColumn("_end", suffix(p))
+    return step.withColumn("_folders", F.slice("_parts", F.lit(1), F.greatest(F.size("_parts") - 1, F.lit(0))))
+
+
+def category() -> Column:
+    """The category of a parted file: the first that fits, in fixed order; null for a null path."""
+    parts, folders, name, end = F.col("_parts"), F.col("_folders"), F.col("_name"), F.col("_end")
     within = lambda arr, values: F.arrays_overlap(arr, F.array(*map(F.lit, values)))
+    of = lambda how, values: name.rlike({"start": "^(?:%s)", "end": "(?:%s)$", "in": "(?:%s)"}[how] % "|".join(v.replace(".", r"\.") for v in values))
     skills = F.concat(F.lit("/"), F.array_join(parts, "/")).contains("/.github/skills/")
     steps = [
         ("tool_configuration", within(parts, ASSISTANT_FOLDERS) | skills),
-        ("end_to_end", F.exists(folders, lambda x: x.isin(E2E_FOLDERS) | x.endswith("-e2e")) | _any(E2E_MARKS, name.contains)),
-        ("context_configuration", name.isin(CONTEXT_NAMES) | _any(CONTEXT_ENDS, name.endswith) | _any(CONTEXT_STARTS, name.startswith)),
+        ("end_to_end", F.exists(folders, lambda x: x.isin(E2E_FOLDERS) | x.endswith("-e2e")) | of("in", E2E_MARKS)),
+        ("context_configuration", name.isin(CONTEXT_NAMES) | of("end", CONTEXT_ENDS) | of("start", CONTEXT_STARTS)),
         ("lock_file", name.isin(LOCK_NAMES)),
         ("binary", end.isin(BINARY)),
         ("static_asset", (end == ".svg") & within(folders, ASSET_FOLDERS)),
-        ("generated", within(folders, OUTPUT_FOLDERS) | _any(OUTPUT_ENDS, name.endswith)),
-        ("tool_configuration", name.isin(TOOL_NAMES) | _any(TOOL_STARTS, name.startswith)),
-        ("project_configuration", name.isin(CONFIG_NAMES) | _any(CONFIG_ENDS, name.endswith) | end.isin(CONFIG)),
-        ("test", within(folders, TEST_FOLDERS) | _any(TEST_MARKS, name.contains)),
+        ("generated", within(folders, OUTPUT_FOLDERS) | of("end", OUTPUT_ENDS)),
+        ("tool_configuration", name.isin(TOOL_NAMES) | of("start", TOOL_STARTS)),
+        ("project_configuration", name.isin(CONFIG_NAMES) | of("end", CONFIG_ENDS) | end.isin(CONFIG)),
+        ("test", within(folders, TEST_FOLDERS) | of("in", TEST_MARKS)),
         ("source_code", end.isin(SOURCE)),
         ("template", end.isin(TEMPLATES)),
         ("stylesheet", end.isin(STYLES)),
@@ -85,7 +84,12 @@ def category(path: Column) -> Column:
     out = F.lit("unknown")
     for value, test in reversed(steps):
         out = F.when(test, value).otherwise(out)
-    return F.when(path.isNotNull(), out)
+    return F.when(name.isNotNull(), out)
+
+
+def categorized(df: DataFrame, path: str = "path") -> DataFrame:
+    """With category; every column of df is kept."""
+    return parted(df, path).withColumn("category", category()).drop("_parts", "_folders", "_name", "_end")
 
 
 def reviewable(cat: Column) -> Column:
@@ -106,14 +110,15 @@ def barrel(path: Column, contents: Column) -> Column:
     return name.endswith(".sln") | (name.isin(BARRELS) & passing)
 
 
-def route(path: Column, contents: Column) -> Column:
-    """What is done with a file: its category as strategy, or the reason why it is skipped."""
-    cat = category(path)
-    return (
+def routed(df: DataFrame, path: str = "path", contents: str = "contents") -> DataFrame:
+    """With route: what is done with a file, which is its category as strategy, or the reason why it is skipped."""
+    cat = F.col("category")
+    return categorized(df, path).withColumn(
+        "route",
         F.when(F.coalesce(F.size(contents), F.lit(0)) <= 0, "skip: no lines")
-        .when(barrel(path, contents), "skip: barrel")
+        .when(barrel(F.col(path), F.col(contents)), "skip: barrel")
         .when(~reviewable(cat), F.concat(F.lit("skip: "), cat))
-        .otherwise(cat)
+        .otherwise(cat),
     )
 
 

@@ -156,3 +156,29 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[l
         yield made()
 
     return plain.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt to as many as there are; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, key: str, delivered: str) -> DataFrame:
+    """Each key's first delivery, without moving the rows where few keys were delivered again.
+
+    Keys and times alone are counted first. Keys delivered again are joined back with the time that stays: by broadcast
+    where they are counted to be few, else by a shuffle join. Where a key may have been delivered twice at one time, the rest is
+    dropped by key.
+    """
+    seen = df.select(key, delivered).groupBy(key).agg(F.count("*").alias("_n"), F.min(delivered).alias("_keep"), F.max(delivered).alias("_last"))
+    again = seen.where("_n > 1")
+    many = again.agg(F.count("*").alias("n"), F.coalesce(F.max((F.col("_n") > 2) | F.coalesce(F.col("_keep") == F.col("_last"), F.lit(True))), F.lit(False)).alias("tied")).first()
+    df = spread(df)
+    if not many["n"]:
+        return df
+    held = again.select(F.col(key).alias("_key"), "_keep")
+    out = df.join(F.broadcast(held) if many["n"] <= BROADCAST_ROWS else held, F.col(key).eqNullSafe(F.col("_key")), "left")
+    # a key that was not delivered again meets no row and stays
+    out = out.where(F.col("_keep").isNull() | (F.col(delivered) == F.col("_keep"))).drop("_key", "_keep")
+    return out.dropDuplicates([key]) if many["tied"] else out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.functions.paths import plain_path, rule_key
-from patchlake.runtime import table
+from patchlake.runtime import once, spread, table
 
 
 def change_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -16,16 +16,7 @@ def change_sets(spark: SparkSession, d: str) -> DataFrame:
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """Changed files, each delivery once: file_id, provider in lower case, path with slashes, patch."""
-    return (
-        table(spark, d, "changed_files")
-        .select("file_id", F.lower("provider").alias("provider"), "repository", "number", plain_path("file_path").alias("path"), "status", "language", "patch")
-        .dropDuplicates(["file_id"])
-    )
-
-
-def patches(spark: SparkSession, d: str) -> DataFrame:
-    """As files, but each delivery as it stands: for operators that work row by row and combine afterwards."""
-    return table(spark, d, "changed_files").select("file_id", F.lower("provider").alias("provider"), "repository", "number", plain_path("file_path").alias("path"), "status", "patch")
+    return once(table(spark, d, "changed_files"), "file_id", "ingested_at").select("file_id", F.lower("provider").alias("provider"), "repository", "number", plain_path("file_path").alias("path"), "status", "language", "patch")
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +24,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
     A location without a line, a blank severity or a blank rule gives null.
     """
-    raw = table(spark, d, "python_findings_manifest").drop("reported_at").dropDuplicates(["manifest_id"])
+    raw = spread(table(spark, d, "python_findings_manifest")).drop("reported_at").dropDuplicates(["manifest_id"])
     line = F.regexp_extract("location", r":(\d+)$", 1)
     blank = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", None).otherwise(c)
     return raw.select(

@@ -47,12 +47,12 @@ def test_keys(spark):
     ],
 )
 def test_categories(spark, path, want):
-    assert spark.createDataFrame([(path,)], "path string").select(classify.category(F.col("path"))).first()[0] == want
+    assert classify.categorized(spark.createDataFrame([(path,), (None,)], "path string")).orderBy(F.desc("path")).collect()[0].category == want
 
 
 def test_route_and_barrel(spark):
     df = spark.createDataFrame([("index.ts", ["import a", " ", "// x"]), ("index.ts", ["const a = 1"]), ("a.ts", []), ("a.md", ["x"]), ("a.ts", None)], "p string, c array<string>")
-    assert [r[0] for r in df.select(classify.route(F.col("p"), F.col("c"))).collect()] == ["skip: barrel", "source_code", "skip: no lines", "skip: documentation", "skip: no lines"]
+    assert [r.route for r in classify.routed(df, "p", "c").collect()] == ["skip: barrel", "source_code", "skip: no lines", "skip: documentation", "skip: no lines"]
 
 
 def test_rules_resolve_clamp_and_policy(spark):
@@ -215,3 +215,12 @@ def test_stream_replays_to_the_batch(spark, tmp_path):
     last = spark.sql("select job, max_by(struct(events, progress, state), events) x from jobs group by job").collect()
     want = {r.job: (r.events, r.progress, r.state) for r in progress.reduced(events).collect()}
     assert {r.job: tuple(r.x) for r in last} == want
+
+
+def test_once_keeps_the_first_delivery(spark):
+    from patchlake.runtime import once
+
+    t = [dt.datetime(2030, 1, d) for d in (1, 2)]
+    df = spark.createDataFrame([(1, t[1], "b"), (1, t[0], "a"), (2, t[0], "c"), (2, t[0], "c"), (3, None, "d"), (None, t[0], "e")], "k int, t timestamp, x string")
+    assert sorted((r.k or 0, r.x) for r in once(df, "k", "t").collect()) == [(0, "e"), (1, "a"), (2, "c"), (3, "d")]
+    assert once(df.where("k = 3"), "k", "t").count() == 1 and once(df.limit(0), "k", "t").count() == 0
