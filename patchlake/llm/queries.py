@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchlake.llm import abuse, corpus_ids, leakage, near_records, packing, residue, secrets, split_pieces, written_source
-from patchlake.runtime import table
+from patchlake.runtime import spread
+from patchlake.runtime import table as scanned
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt to all cores where it is small."""
+    return spread(scanned(spark, sf_dir, name))
 
 
 def budget(spark: SparkSession, sf_dir: str, name: str) -> int:
     """One amount of review_budgets (3 rows at every scale)."""
-    return int(table(spark, sf_dir, "review_budgets").where(f"budget = '{name}'").first()["amount"])
+    return int(scanned(spark, sf_dir, "review_budgets").where(f"budget = '{name}'").first()["amount"])
 
 
 def _limits(spark: SparkSession, d: str) -> tuple[int, int]:
