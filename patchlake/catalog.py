@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.functions import paths
-from patchlake.operators import classify, detection, diff, findings, history, planning, projects, responses, rules, syntax, validation
+from patchlake.operators import classify, detection, diff, enrich, findings, history, planning, projects, responses, rules, syntax, validation
 from patchlake.runtime import table
 from patchlake.sources import review_tables as tables
 from patchlake.streaming import progress
@@ -672,3 +672,37 @@ def syntax_findings(spark, d):
 @query(f"""with {FIRED} select provider, repository, number, map_from_entries(list({{'k': rule_id, 'v': n}} order by rule_id)) by_rule from (select provider, repository, number, rule_id, count(*)::int n from fired group by all) group by all""")
 def rule_histogram(spark, d):
     return findings.histogram(_fired(spark, d), KEY, "rule_id", "by_rule")
+
+
+# ---- enrichment ---------------------------------------------------------------------------------------------------------
+
+
+@query(rf"""with {LINES}, own as (select file_id, line_number, min(content) content from added group by all),
+    stripped as (select file_id, line_number, regexp_replace(content, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') c from own),
+    led as (select *, case when lead(line_number, 1) over w = line_number + 1 then lead(c, 1) over w end c1, case when lead(line_number, 2) over w = line_number + 2 then lead(c, 2) over w end c2 from stripped window w as (partition by file_id order by line_number))
+    select file_id, line_number, concat_ws(chr(10), 'Changed line ' || line_number || ': ' || c, case when regexp_matches(c, '{enrich.GOES_ON}') then c1 end, case when regexp_matches(c, '{enrich.GOES_ON}') and regexp_matches(c1, '{enrich.GOES_ON}') then c2 end) evidence from led""")
+def line_evidence(spark, d):
+    lines = diff.added_lines(tables.files(spark, d), ["file_id"]).groupBy("file_id", "line_number").agg(F.min("content").alias("content"))
+    return enrich.line_evidence(lines, ["file_id"]).select("file_id", "line_number", "evidence")
+
+
+@query(f"with {CANONICAL}, {RULES} select seq, coalesce(c.category, r.category, 'general') category from canonical c left join rules r on r.rule_id = c.canonical")
+def finding_categories(spark, d):
+    return enrich.categorised(_canonical(spark, d), rules.catalog(spark)).select("seq", "category")
+
+
+@query(rf"""with {FIRED}, own as (select file_id, line_number, max(regexp_matches(content, '{enrich.SIGNAL}')::int) signal from added
+    where not regexp_matches(content, '^\s*(?:[{{}}()\[\]]|\}};|\);|\],|\}},)?\s*$') and not regexp_matches(content, '^\s*//') group by all),
+    hit as (select distinct file_id, line_number from fired),
+    n as (select file_id, count(*) meaningful, count(h.line_number) covered, max(signal) signal from own left join hit h using (file_id, line_number) group by all)
+    select file_id, meaningful, covered, not (covered / meaningful >= 0.8 or meaningful <= 8 and covered / meaningful >= 0.5) or signal = 1 needed from n""")
+def coverage_gate(spark, d):
+    lines = diff.added_lines(tables.files(spark, d), [*KEY, "file_id", "path"])
+    return enrich.coverage(lines, rules.line_findings(lines, ["file_id"]), ["file_id"])
+
+
+@query("""select repository, count(*) filter (lower(state) = 'open') open_sets, count(*) filter (lower(state) in ('merged', 'closed')) done_sets, count(*) filter (state is null) unknown_sets, count(*) filter (commit_count > 5) large_sets
+    from (select distinct * from change_sets) group by all""")
+def change_set_counts(spark, d):
+    s = F.col("state")
+    return enrich.counts(tables.change_sets(spark, d), ["repository"], {"open_sets": s == "open", "done_sets": s.isin("merged", "closed"), "unknown_sets": s.isNull(), "large_sets": F.col("commit_count") > 5})
