@@ -209,7 +209,7 @@ ROUTES = (
 
 def _routes(spark, d):
     f = tables.files(spark, d)
-    content = F.filter(F.transform(F.filter(F.coalesce(paths.split_lines("patch"), F.array().cast("array<string>")), lambda x: x.startswith("+") & ~x.startswith("+++")), lambda x: F.substring(x, 2, 1 << 30)), lambda x: x.rlike(r"(?U)\S"))
+    content = F.filter(F.transform(F.filter(F.coalesce(paths.split_lines("patch"), F.array().cast("array<string>")), lambda x: x.startswith("+") & ~x.startswith("+++")), lambda x: F.substring(x, 2, 1 << 30)), lambda x: x.rlike(diff.NOT_BLANK))
     return classify.routed(f.select(*KEY, "file_id", "path", content.alias("contents"))).select(*KEY, "file_id", "route")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from patchlake.functions.paths import split_lines
 
 HEADER = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+#: Any character that isn't white space.
+NOT_BLANK = r"[^\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 HEADER_PARTS = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -60,7 +62,7 @@ def added_lines(files: DataFrame, keep: list[str], still: str = "-p", blanks: bo
         content.alias("content"),
         (F.length(seen) - headers).cast("int").alias("diff_position"),
     )
-    return out if blanks else out.where(F.col("content").rlike(r"(?U)\S"))
+    return out if blanks else out.where(F.col("content").rlike(NOT_BLANK))
 
 
 def hunks(files: DataFrame, keep: list[str]) -> DataFrame:
