@@ -171,5 +171,5 @@ def batches(contexts: DataFrame, capacity: int) -> DataFrame:
 
 
 def found(contexts: DataFrame, capacity: int) -> DataFrame:
-    """(context_id) of the contexts that the packing divides."""
-    return parts(contexts, capacity).where("part = 0 and parts > 1").select("context_id")
+    """(context_id) of the contexts that the packing divided, from the rows it packed."""
+    return pack_contexts(contexts, capacity).where("parts > 1").select("context_id").distinct()

@@ -196,6 +196,14 @@ def test_blocks_of_a_hot_change_set_are_whole(spark, monkeypatch):
     assert packing.batches(df.limit(0), 2200).count() == 0
 
 
+def test_divided_contexts_come_from_the_packed_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "p", "r", 1, "a", 5000, 1), (2, "p", "r", 1, "b", 10, 1), (1, "p", "r", 1, "a", 5000, 1)], "context_id long, provider string, repository string, number int, file_path string, estimated_tokens int, content_chars int")
+    packed = packing.pack_contexts(df, 2200)
+    assert [r.context_id for r in packing.found(df, 2200).collect()] == [1]
+    monkeypatch.setattr(packing, "pack_contexts", lambda contexts, capacity: packed.where("context_id <> 1"))
+    assert packing.found(df, 2200).count() == 0
+
+
 # ---- 6 -----------------------------------------------------------------------------------------------------------------
 
 REAL = ["The template prints `{{ user }}` without escaping it.", "The page tells visitors to enable JavaScript although `x` renders on the server.", "The TODO comment above `x` has outlived the permit migration.", "A 502 from the badge gateway is retried without a limit.", 'The log call uses "%s" with an object that has no text form.', "The fixture still contains lorem ipsum as its body, which hides the overflow.", "The test asserts that `undefined` equals x.", ""]
