@@ -1,10 +1,11 @@
 """Filling batches of fixed capacity with the contexts of each change-set.
 
 Method: hierarchical multi-length packing. A context above the capacity is divided into full parts and a rest; all others stay
-whole. Sizes fall into tiers (above 1/2, 1/3, 1/4, 1/8 of the capacity, and the rest); the tiers are packed from the longest, each
-filling the gaps of the batches before it best-fit first; for change-sets of ordinary size every batch is instead begun with the longest context
-left and its gap is filled with the best sum that shorter tiers offer, and the better of both is taken. Batches are put into
-step groups of even load.
+whole. Sizes fall into tiers (above 1/2, 1/3, 1/4, 1/8 of the capacity, and the rest); from the longest, each tier is packed by
+itself, best-fit decreasing, and the gaps of its batches are then filled with the best sums that shorter tiers offer. Where
+that takes more batches than the lower bound, two other packings are tried and the least is taken: every batch begun with the
+longest context left and filled with the best sum of all others, and best-fit decreasing over all. Up to EXACT contexts that fit
+a gap the best sum is exact, beyond that it is the best of EXACT of them. Batches are put into step groups of even load.
 
 A change-set of any size is cut into blocks of at most BLOCK contexts, packed apart; of each block only the one batch less
 than half full is packed again with those of the other blocks, so that no task holds more than BLOCK contexts or one batch
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from patchlake.runtime import by_group
 
 BLOCK = 20_000
-#: Up to so many contexts the gap of a batch is filled by the best sum of shorter ones.
+#: So many contexts are tried for the best sum in the gap of a batch.
 EXACT = 400
 STEP = 8
 TIERS = (2, 3, 4, 8)
@@ -37,9 +38,8 @@ def tier(size: int, capacity: int) -> int:
     return next((k for k, share in enumerate(TIERS) if size * share > capacity), len(TIERS))
 
 
-def pack_tiers(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Batches of indexes: tier after tier into the fullest batch with room, within a tier from the longest."""
-    order = sorted(range(len(sizes)), key=lambda i: (tier(sizes[i], capacity), -sizes[i], i))
+def best_fit(order: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Batches of indexes: each in its turn into the fullest batch with room."""
     bins: list[list[int]] = []
     room: list[tuple[int, int]] = []  # (room left, batch), sorted
     for i in order:
@@ -54,37 +54,64 @@ def pack_tiers(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def fill(gap: int, left: list[tuple[int, int]]) -> list[int]:
+    """Takes out of left, sorted pairs of size and index, those of the best sum within the gap, and returns their indexes.
+
+    Where more than EXACT fit, half as many of the longest and as many at even steps among the others are tried.
+    """
+    fit = bisect_left(left, (gap + 1, -1))
+    if fit > EXACT:
+        half = EXACT // 2
+        tried = [*range(fit - 1, fit - 1 - half, -1), *((fit - half) * k // half for k in range(half - 1, -1, -1))]
+    else:
+        tried = list(range(fit - 1, -1, -1))
+    sums, steps, mask = 1, [], (1 << (gap + 1)) - 1
+    for k in tried:
+        steps.append(sums)
+        sums |= (sums << left[k][0]) & mask
+        if sums >> gap & 1:
+            break
+    best, chosen = sums.bit_length() - 1, []
+    for n in range(len(steps) - 1, -1, -1):
+        if not steps[n] >> best & 1:
+            chosen.append(tried[n])
+            best -= left[tried[n]][0]
+    return [left.pop(k)[1] for k in sorted(chosen, reverse=True)]
+
+
+def pack_tiers(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Batches of indexes: from the longest tier, each packed by itself, the gaps of its batches then filled from shorter tiers."""
+    left = sorted((s, i) for i, s in enumerate(sizes))
+    bins = []
+    for k in range(len(TIERS) + 1):
+        begin = bisect_left(left, True, key=lambda x: tier(x[0], capacity) <= k)
+        own, left = left[begin:], left[:begin]
+        for b in sorted(best_fit([i for _, i in reversed(own)], sizes, capacity), key=lambda b: -sum(sizes[i] for i in b)):
+            bins.append([*b, *fill(capacity - sum(sizes[i] for i in b), left)])
+    return bins
+
+
 def pack_gaps(sizes: list[int], capacity: int) -> list[list[int]]:
     """Batches of indexes, each begun with the longest context left and filled with the best sum of shorter ones."""
-    left = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    left = sorted((s, i) for i, s in enumerate(sizes))
     bins = []
     while left:
-        first, rest = left[0], left[1:]
-        gap = capacity - sizes[first]
-        sums, steps = 1, []
-        for i in rest:
-            steps.append(sums)
-            sums |= sums << sizes[i]
-            sums &= (1 << (gap + 1)) - 1
-            if sums >> gap & 1:
-                break
-        best, chosen = sums.bit_length() - 1, {first}
-        for k in range(len(steps) - 1, -1, -1):
-            if not steps[k] >> best & 1:
-                chosen.add(rest[k])
-                best -= sizes[rest[k]]
-        bins.append(sorted(chosen))
-        left = [i for i in left if i not in chosen]
+        size, first = left.pop()
+        bins.append([first, *fill(capacity - size, left)])
     return bins
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """The better of both packings; sizes of 0 go into the first batch."""
+    """The packing by tiers, or another that is tried where it needs more batches than the bound and that has fewer; sizes of 0
+    go into the first batch."""
     some = [i for i, s in enumerate(sizes) if s > 0]
     own = [sizes[i] for i in some]
+    least = max(-(-sum(own) // capacity), sum(2 * s > capacity for s in own))
     bins = pack_tiers(own, capacity)
-    if len(own) <= EXACT and len(bins) > -(-sum(own) // capacity):
+    if len(bins) > least:
         bins = min(bins, pack_gaps(own, capacity), key=len)
+    if len(bins) > least:
+        bins = min(bins, best_fit(sorted(range(len(own)), key=lambda i: (-own[i], i)), own, capacity), key=len)
     out = [[some[i] for i in b] for b in bins]
     nothing = [i for i, s in enumerate(sizes) if s <= 0]
     if nothing:

@@ -181,6 +181,18 @@ def test_packing_is_whole_and_tight():
         assert len(bins) <= max(1, 11 / 9 * -(-sum(sizes) // cap) + 1 + sum(2 * s > cap for s in sizes)) or not sizes
 
 
+def test_tiers_are_packed_apart_and_fill_gaps_at_any_size():
+    # best-fit decreasing puts 30 beside 60
+    assert sorted(sorted(b) for b in packing.pack_tiers([60, 30, 22, 18], 100)) == [[0, 2, 3], [1]]
+    # packed by itself, the second tier gives 45 + 36 before 19 is looked at
+    assert sorted(sorted(b) for b in packing.pack_tiers([45, 36, 30, 25, 19], 100)) == [[0, 1, 4], [2, 3]]
+    random.seed(4)
+    sizes = [random.randint(500, 1000) for _ in range(2000)]
+    bins = packing.pack(sizes, 2200)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in bins) <= 2200
+    assert len(bins) < len(packing.best_fit(sorted(range(2000), key=lambda i: (-sizes[i], i)), sizes, 2200))
+
+
 def test_blocks_of_a_hot_change_set_are_whole(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 40)
     data = [(i, "P", "r", 1, f"f{i}", 700 if i % 2 else None, 1001) for i in range(200)] + [(500, "P", "r", None, None, 5000, 1), (501, None, None, None, "z", None, None), (500, "P", "r", None, None, 5000, 1)]
