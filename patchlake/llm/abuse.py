@@ -3,7 +3,7 @@
 Method: a counterfactual-regularised classifier. A sentence (which may run over two cues) is described by its words, pairs of
 neighbouring words, kinds of words from a fixed list (insults, violence, dehumanising words, sexual words, identity terms,
 persons) and kinds that meet in it. A logistic model is trained on the labelled documents by multiple instances: a document is
-as bad as its worst sentence. For each sentence with an identity term, the term is swapped for others, and the square of the
+as bad as its worst sentence, be it one with listed words or not. For each sentence with an identity term, the term is swapped for others, and the square of the
 change of its score is added to the loss, so that a neutral mention of a group doesn't raise the score. Weights of listed
 kinds start from, and are drawn to, fixed values, which also serve where labels are few.
 
@@ -222,16 +222,19 @@ def sentences(text: str) -> list[list[str]]:
     return [[known.get(t) or plain_word(t) for t in TOKEN.findall(s)] for s in STOPS.split(text) if s and not s.isspace()]
 
 
+#: Kinds that meet others but never each other.
+PERSONS = {"you", "self", "person"}
 NAMES = [*SINGLE, *("+".join(k) for k in MEETINGS), *(f"phrase {k}" for k in range(len(PHRASES)))]
 FIXED = np.array([*SINGLE.values(), *MEETINGS.values(), *PHRASES.values()])
 _AT = {n: k for k, n in enumerate(NAMES)}
 
 
-def features(words: list[str], known: dict[str, int], identity: str | None = None) -> list[int]:
-    """The numbers of a sentence's features; identity: what stands for its identity terms."""
+def features(words: list[str], known: dict[str, int], identity: str | None = None, phrases: list[int] | None = None) -> list[int]:
+    """The numbers of a sentence's features; identity: what stands for its identity terms; phrases: the only ones it may hold."""
     import xxhash
 
-    own = [kinds_of(w) for w in words]
+    seen = _state.setdefault("kinds", {})
+    own = [seen[w] if w in seen else kinds_of(w) for w in words]
     if identity is not None:
         words = [identity if "identity" in k else w for w, k in zip(words, own)]
     count: dict[str, int] = {}
@@ -239,41 +242,58 @@ def features(words: list[str], known: dict[str, int], identity: str | None = Non
         for x in k:
             count[x] = count.get(x, 0) + 1
     out = [_AT[k] for k in count]
-    for a, b in MEETINGS:
+    for a, b in MEETINGS if not count.keys() <= PERSONS else ():
         # one word that is of both kinds is no meeting
         if a in count and b in count and (count[a] > 1 if a == b else any(a in x and b in y for i, x in enumerate(own) for j, y in enumerate(own) if i != j)):
             out.append(_AT[f"{a}+{b}"])
-    line = " ".join(words)
-    out += [_AT[f"phrase {k}"] for k, p in enumerate(_phrases()) if p.search(line)]
+    if phrases is None or phrases:
+        line, every = " ".join(words), _phrases()
+        out += [_AT[f"phrase {k}"] for k in (range(len(every)) if phrases is None else phrases) if every[k].search(line)]
     if len(known) > 500_000:
         known.clear()
-    for w in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = len(NAMES) + (xxhash.xxh64_intdigest(w) & ((1 << BITS) - 1))
-        out.append(h)
-    return out
+    keys = [*words, *[f"{a} {b}" for a, b in zip(words, words[1:])]]
+    hashed = [known.get(w) for w in keys]
+    if None in hashed:
+        for k, w in enumerate(keys):
+            if hashed[k] is None:
+                hashed[k] = known[w] = len(NAMES) + (xxhash.xxh64_intdigest(w) & ((1 << BITS) - 1))
+    return out + hashed
 
 
 def _phrases() -> list[re.Pattern]:
     """The phrases over squeezed words."""
     if "phrases" not in _state:
         fold = lambda p: re.sub(r"(?<!\\)\b[a-zа-яё']{2,}\b", lambda m: squeeze(m[0]), p.replace(r"\b", "\0")).replace("\0", r"\b")
-        _state["phrases"] = [re.compile(fold(p)) for p in PHRASES]
+        _state["phrases"] = [re.compile(fold(p), re.MULTILINE) for p in PHRASES]
     return _state["phrases"]
 
 
-def worth(words: list[str]) -> bool:
-    """Whether a sentence holds any listed word but those of persons; others only ever get the score of their common words."""
-    known = _state.setdefault("worth", {})
-    for w in words:
-        if (own := known.get(w)) is None:
-            if len(known) > 500_000:
-                known.clear()
-            own = known[w] = any(k not in ("you", "self", "person") for k in kinds_of(w))
-        if own:
-            return True
-    return False
+def literals(pattern: str) -> list[str]:
+    """A run of letters and blanks that each alternative of a pattern must hold; none at all where one has no run of 4."""
+    out, runs, depth = [], [""], 0
+    for m in re.finditer(r"\\.|\[[^\]]*\]|\{[^}]*\}|.", pattern + "|"):
+        c = m[0]
+        if c == "|" and not depth:
+            out.append(max(runs, key=len))
+            runs = [""]
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            runs.append("")
+        elif not depth:
+            if c in "?*" or c[0] == "{":
+                runs[-1] = runs[-1][:-1]
+            runs += [""] if len(c) > 1 or c in "?*+.$^" else []
+            runs[-1] += c if len(c) == 1 and c not in "?*+.$^" else ""
+    return out if min(map(len, out)) >= 4 else []
+
+
+def phrases_in(lines: list[list[str]]) -> list[int]:
+    """The phrases that any of the sentences may hold: no phrase runs over a line feed."""
+    every = _phrases()
+    if "literals" not in _state:
+        _state["literals"] = [literals(p.pattern) for p in every]
+    text = "\n".join(map(" ".join, lines))
+    return [k for k, (p, some) in enumerate(zip(every, _state["literals"])) if (not some or any(x in text for x in some)) and p.search(text)]
 
 
 def fit(labelled: list[tuple[str, float]], seed: int = 5) -> np.ndarray:
@@ -286,13 +306,12 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5) -> np.ndarray:
     known: dict[str, int] = {}
     rows, docs, swaps = [], [], []
     for d, (text, _) in enumerate(labelled):
-        for words in sentences(text):
-            if worth(words):
-                if any("identity" in kinds_of(w) for w in words):
-                    for other in ("ostrani", "keidric", "someone"):
-                        swaps.append((len(rows), np.unique(features(words, known, other))))
-                rows.append(np.unique(features(words, known)))
-                docs.append(d)
+        for words in filter(None, sentences(text)):
+            if any("identity" in kinds_of(w) for w in words):
+                for other in ("ostrani", "keidric", "someone"):
+                    swaps.append((len(rows), np.unique(features(words, known, other))))
+            rows.append(np.unique(features(words, known)))
+            docs.append(d)
     label = np.array([y for _, y in labelled])
     if not rows or len(set((label > 0.5).tolist())) < 2:
         return weight
@@ -311,16 +330,15 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5) -> np.ndarray:
     moment = np.zeros(size + 1)
     first = score(prior)
     for _ in range(ROUNDS):
-        # each bad document lends its label to its worst sentence; the others of it say nothing
+        # each document lends its label to its worst sentence, found anew each round; the others of it say nothing
         s = score(weight)
         order = np.lexsort((s, doc))
         worst = np.zeros(len(rows), bool)
         worst[order[np.append(np.flatnonzero(np.diff(doc[order])), len(order) - 1)]] = True
         bad = label[doc] > 0.5
-        use = ~bad | worst
         target = (bad & worst).astype(float)
         # labels are sometimes wrong: one that the fixed weights contradict strongly counts little
-        trust = np.where(bad & (first < -3) | ~bad & (first > 2), 0.1, 1.0) * use
+        trust = np.where(bad & (first < -3) | ~bad & (first > 2), 0.1, 1.0) * worst
         trust = trust / max(1.0, trust.sum()) * len(labelled)
         for _ in range(STEPS):
             s = score(weight)
@@ -342,11 +360,12 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5) -> np.ndarray:
 
 def score_text(text: str | None, weight: np.ndarray, known: dict[str, int]) -> float:
     """The score of a document: that of its worst sentence, from 0 to 1."""
+    lines = [x for x in sentences(text) if x] if text else []
+    phrases = phrases_in(lines)
     best = -30.0
-    for words in sentences(text) if text else ():
-        if words and worth(words):
-            x = list(set(features(words, known)))
-            best = max(best, float(weight[x].sum() + weight[-1]))
+    for words in lines:
+        x = list(set(features(words, known, None, phrases)))
+        best = max(best, sum(map(weight.item, x)) + weight.item(-1))
     return float(1 / (1 + np.exp(-best))) if best > -30 else 0.0
 
 

@@ -301,6 +301,20 @@ def test_disguises(said):
     assert abuse.score_text("1\n00:00:01,000 --> 00:00:02,000\n" + said, abuse.fit([]), {}) >= 0.5
 
 
+def test_sentences_without_listed_words_are_scored_and_trained_on():
+    fixed = abuse.fit([])
+    assert abuse.score_text("I will find you.", fixed, {}) >= 0.5 and abuse.score_text("Nobody will miss you.", fixed, {}) > abuse.score_text("Nobody will ask you.", fixed, {}) > 0
+    bad, good = ["The glimworts took it again.", "Such glimworts, really."], ["The lanterns took it again.", "Such weather, really."]
+    weight = abuse.fit([(x, 1.0) for x in bad * 400] + [(x, 0.0) for x in good * 400])
+    assert abuse.score_text("We saw glimworts at the gate.", weight, {}) > 2 * abuse.score_text("We saw lanterns at the gate.", weight, {})
+
+
+def test_phrases_are_found_whatever_stands_before():
+    assert abuse.literals(r"\bgone (?:on )?now\b|\ba favou?r and\b") == ["gone ", "a favo"] and abuse.literals(r"\b(?:so|go)\b|gone") == []
+    lines = [["one", "more", "word", "and", "i"], ["never", "mind"], ["who", "iet", "this"]]
+    assert [k for k, p in enumerate(abuse._phrases()) if any(p.search(" ".join(x)) for x in lines)] == abuse.phrases_in(lines) != []
+
+
 def test_scores_of_odd_rows(spark):
     d = spark.createDataFrame([(1, None, None, 0.1), (2, "", " Src ", 0.1), (3, "You worthless idiot.", "SRC", 0.1), (3, "You worthless idiot.", "SRC", 0.1)], "doc_id long, text string, source string, score double")
     none = spark.createDataFrame([], "doc_id long, annotator string, toxic int")
