@@ -1,7 +1,8 @@
 """Evaluation passages inside a corpus of subtitles.
 
 Method: a prefix-filtered set join. The words of items and documents are folded (case, markup, cue numbers and times, speaker
-names and sound descriptions go; signs that misreading confuses become one; what a wrong encoding garbles is left out). Of
+names and sound descriptions go; signs that misreading confuses become one; what a wrong encoding garbled is put right where
+that is certain and left out of a word elsewhere; words of other scripts keep their letters). Of
 every stretch of an item that a match must cover, the rarest shingles of five words are its prefix; a document meets an item
 only where it holds one of them, at a place that lengths and positions allow. Around each such place a stretch of the document
 as long as the item is compared with the item word by word, and words that differ by a misread character still agree.
@@ -16,6 +17,7 @@ again counts once; texts of any length are read whole, in the order of the text;
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchlake.llm.abuse import repaired
 from patchlake.runtime import ship_package, small
 
 #: Consecutive words of an item that make a case, and words of a shingle.
@@ -37,8 +40,11 @@ HEAD = re.compile(r"^﻿?WEBVTT[^\n]*$|^(?:NOTE|STYLE|REGION)\b[^\n]*$", re.MULT
 MARKUP = re.compile(r"<[^<>\n]{0,60}>|\{\\?[^{}\n]{0,40}\}|&(?:nbsp|amp|lt|gt|quot|#39|lrm|rlm);")
 SOUND = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,60}\*|♪[^♪\n]{0,120}♪|[♪♫#]")
 SPEAKER = re.compile(r"^(?:[ \t]*(?:-|–|—|>>)[ \t]*)?[A-ZÀ-ÖØ-ÞА-Я][A-ZÀ-ÖØ-ÞА-Я0-9 .'-]{1,24}:[ \t]*", re.MULTILINE)
-GARBLED = re.compile(r"(?<=\w)[?](?=\w)|[?](?=[a-zA-Z]{2})|[^\x00-\x7f]+")
-WORD = re.compile(r"[a-z0-9|$@']+")
+GARBLED = re.compile(r"(?<=\w)[?](?=\w)|[?](?=[a-zA-Z]{2})")
+FOREIGN = re.compile(r"[!-~]*[^\x00-\x7f\s]\S*")
+IDEOGRAPH = re.compile(r"[\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_BLANK = str.maketrans(dict.fromkeys("–—…\u00a0", " "))
+WORD = re.compile(r"[a-z0-9|$@'\x80-\U0010ffff]+")
 
 
 def folded(text: str) -> list[str]:
@@ -55,13 +61,45 @@ def folded(text: str) -> list[str]:
 
 
 def fold_words(text: str) -> list[str]:
-    text = text.replace(" ", " ").replace("’", "'").replace("­", "")
-    text = GARBLED.sub(lambda m: " " if m[0][0] in "–—…　   " else "", text)
+    text = text.replace("’", "'").replace("­", "")
+    if not text.isascii():
+        text = FOREIGN.sub(lambda m: foreign(m[0]), repaired(text).translate(_BLANK))
+    text = GARBLED.sub("", text)
     text = text.lower().replace("'", "").replace("vv", "w").replace("rn", "m").replace("cl", "d")
     text = text.translate(_SAME)
     return WORD.findall(text)
 
 
+def foreign(token: str) -> str:
+    """What a token with signs beyond ASCII is compared by.
+
+    A word of another script keeps its letters without marks, each ideograph or kana a word of its own. Of a Latin word the
+    accented letters go, as a wrong encoding may have put any sign there, but a word of nothing else keeps their base letters. A
+    lone sign of replacement stays for a short word.
+    """
+    if token in _foreign:
+        return _foreign[token]
+    if len(_foreign) > 500_000:
+        _foreign.clear()
+    letters = [c for c in token if c.isalpha()]
+    other = sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters)
+    out = "".join(c if c.isascii() else "" for c in token)
+    core = token.strip("".join(c for c in token if not c.isalnum() and c != "\ufffd"))
+    if 2 * other > len(letters):
+        base = unicodedata.normalize("NFKD", token.lower())
+        out = "".join(f" {c} " if IDEOGRAPH.match(c) else c if c.isalnum() or c.isascii() or unicodedata.category(c) == "Mc" else "" if unicodedata.combining(c) else " " for c in base)
+    elif not re.search(r"[A-Za-z0-9]", out):
+        if core.isalnum() and core != "Â":
+            out = "".join(c for c in unicodedata.normalize("NFKD", core) if c.isalnum())
+        elif core == "\ufffd":
+            out = core
+    _foreign[token] = out
+    return out
+
+
+_foreign: dict[str, str] = {}
+
+
 #: Signs that look alike become one.
 _SAME = str.maketrans({"l": "i", "1": "i", "|": "i", "0": "o", "5": "s", "$": "s", "8": "b"})
 
@@ -71,6 +109,8 @@ def alike(a: str, b: str) -> bool:
     if a == b:
         return True
     m, n = len(a), len(b)
+    if "\ufffd" in (a, b):
+        return max(m, n) <= 2
     most = 1 if min(m, n) < 6 else 2
     if abs(m - n) > most or min(m, n) < 3:
         return False
@@ -109,7 +149,7 @@ def item_words(text: str | None) -> list[str]:
     for w in re.findall(r"\S+", MARKUP.sub(" ", text or "")):
         some = fold_words(w)
         if re.search(r"\w", w):
-            out.append("".join(some))
+            out += some if IDEOGRAPH.search(w) else ["".join(some)]
     return out
 
 

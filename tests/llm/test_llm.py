@@ -276,6 +276,16 @@ def test_passages_survive_cues_and_misreading(spark):
     assert leakage.found(d.limit(0), i).count() == leakage.found(d, i.limit(0)).count() == 0
 
 
+def test_other_scripts_and_lone_accented_words_count(spark):
+    russian = "После пожара рынок остался светлым, и каждой весной жители несут медный фонарь к стене гавани."
+    french = "Chaque printemps on porte une lanterne à la porte du vieux port"  # 12 words
+    han = "大火之后市场依然明亮每年春天人们提着铜灯走向港口的墙"
+    docs = [(1, cues(russian, 4)), (2, french.upper()), (3, cues("Bien sûr. " + french.encode().decode("latin-1"), 5)), (4, "开始" + han[:14]), (5, " ".join(russian.split()[:11])), (6, han[:11]), (7, french.replace("à", "\ufffd"))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(10, "s", russian), (11, "s", french), (12, "s", han)], "item_id long, suite string, text string")
+    assert sorted(map(tuple, leakage.found(d, i).collect())) == [(1, 10), (2, 11), (3, 11), (4, 12), (7, 11)]
+
+
 # ---- 9 -----------------------------------------------------------------------------------------------------------------
 
 
