@@ -7,7 +7,8 @@ characters near them alone, so that an edit alters its own piece and the ones be
 
 Defined results: null and empty arrays have no length and no piece; null contents are empty lines; lines come in the order of
 their numbers (null numbers first, ties as delivered); a chunk_id delivered again counts once; a piece never exceeds the
-limit; the repeated lines of the piece before are left out as far as they don't fit; extra columns are ignored.
+limit; of the whole piece before, as many last lines are repeated as leave room for the next line (for some of it, where it is
+longer than a piece), and none where the cut falls inside a line; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from patchlake.runtime import ship_package
 
 #: Least size of a piece and mean distance of landmarks, as shares of the limit.
 LEAST_SHARE, LANDMARK_SHARE = 0.4, 0.2
-#: The largest share of a piece that repeated lines may take.
-OVERLAP_SHARE = 0.25
 WINDOW = 32
 
 DEFINITION = re.compile(
@@ -76,23 +75,27 @@ def split(lines: list[str], numbers: list[int | None], limit: int, overlap: int)
     before = ""
     while at < n:
         repeated: list[str] = []
-        if before and overlap:
-            tail = before.split("\n")[-overlap:]
-            while tail and len("\n".join(tail)) + 1 > limit * OVERLAP_SHARE:
-                tail = tail[1:]
-            repeated = tail if at in begins else []
+        if before and overlap and at in begins:
+            repeated = before.split("\n")[-overlap:]
+            # the next line still fits whole, or any of it where it is too long for a piece of its own
+            line = int(begins[k]) - 1 - at if (k := int(np.searchsorted(begins, at, side="right"))) < len(begins) else n - at
+            while repeated and len("\n".join(repeated)) + 1 + (max(line, 1) if line <= limit else 1) > limit:
+                repeated = repeated[1:]
         head = "\n".join(repeated) + "\n" if repeated else ""
         room = limit - len(head)
         if n - at <= room:
             end = n
         else:
             least = at + max(1, int(room * LEAST_SHARE))
-            most = max(least + 1, min(at + room, n - (least - at)))  # the last piece isn't a scrap
+            most = min(at + room, max(least + 1, n - (least - at)))  # the last piece isn't a scrap
             near = landmarks[(landmarks >= least) & (landmarks < most)]
             aim = int(near[0]) if len(near) else most
             # a cut before line k ends the piece at the line feed before it, which is not kept
             i, j = int(np.searchsorted(begins, least)), int(np.searchsorted(begins, most + 1, side="right"))
-            if j > i:
+            whole = int(np.searchsorted(begins, min(at + room + 1, n - 1), side="right")) - 1
+            if j <= i and begins[whole] > at:
+                end = int(begins[whole])  # no line is cut while one fits whole
+            elif j > i:
                 some = ranks[i:j]
                 best = np.flatnonzero(some == some.max()) + i
                 end = int(begins[best[np.argmin(np.abs(begins[best] - aim))]])
@@ -105,7 +108,7 @@ def split(lines: list[str], numbers: list[int | None], limit: int, overlap: int)
         first = int(np.searchsorted(begins, at, side="right")) - 1
         last = int(np.searchsorted(begins, max(at, end - 1), side="right")) - 1
         out.append((first, last, len(repeated), head + body))
-        before, at = body, end
+        before, at = head + body, end
     return out
 
 

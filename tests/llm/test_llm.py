@@ -84,6 +84,16 @@ def test_an_edit_changes_neighbouring_pieces_only():
     assert len(a - b) <= 3 and len(a) > 20
 
 
+def test_long_lines_are_repeated_where_they_fit():
+    lines = [f"{i:03d}" + "x" * (417 if i % 5 else 897) for i in range(40)]
+    pieces = split_pieces.split(lines, [*range(40)], 2400, 2)
+    for (_, last, _, before), (first, _, again, piece) in zip(pieces, pieces[1:]):
+        tail = before.split("\n")[-2:]
+        assert first == last + 1 and len(piece) <= 2400 and again == 2 and piece.split("\n")[:2] == tail
+    short = split_pieces.split(["a" * 60, "b" * 60, "c" * 60, "d" * 60], [1, 2, 3, 4], 130, 1)
+    assert [p[2] for p in short][1:] == [1] * (len(short) - 1) and all(set(p[3].split("\n")) <= {x * 60 for x in "abcd"} for p in short)
+
+
 def test_split_oversized_takes_odd_arrays(spark):
     line = "struct<file_path:string,line_number:int,content:string,diff_position:int>"
     long = [("a", i, "x" * 30, i) for i in (3, 1, 2)]
