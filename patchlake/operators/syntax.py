@@ -19,6 +19,9 @@ from patchlake.runtime import ship_package
 
 SCHEMA = "file_id long, line_number int, rule_id string, severity string"
 PAIRS = {"(": ")", "[": "]", "{": "}"}
+#: Names of annotated secrets, and values that stand for a secret without being one.
+SECRET_NAME = re.compile("password|passwd|pwd|secret|apikey|accesskey|token|privatekey")
+STAND_INS = "changeme change-me example placeholder secret password token your-secret your-token todo".split()
 
 
 def matching(text: str, at: int) -> int | None:
@@ -118,6 +121,10 @@ def python_findings(text: str) -> Iterator[tuple[int, str, str]]:
         if isinstance(n, ast.Compare) and any(isinstance(o, (ast.Is, ast.IsNot)) for o in n.ops):
             if any(isinstance(c, ast.Constant) and c.value not in (None, True, False, ...) for c in n.comparators):
                 yield n.lineno, "identity-comparison-literal", "medium"
+        if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
+            value = n.value.value.strip()
+            if SECRET_NAME.search(re.sub(r"[\W_]", "", n.target.id.lower())) and len(value) >= 6 and value.lower() not in STAND_INS:
+                yield n.lineno, "hardcoded-secret", "critical"
         if isinstance(n, ast.Expr) and isinstance(n.value, ast.Call) and dotted(n.value.func).endswith("create_task"):
             yield n.lineno, "unowned-background-task", "medium"
         if isinstance(n, ast.Call):
@@ -129,8 +136,16 @@ def python_findings(text: str) -> Iterator[tuple[int, str, str]]:
                 yield n.lineno, "unsafe-deserialization", "high"
             if name in ("hashlib.md5", "hashlib.sha1"):
                 yield n.lineno, "weak-cryptography", "medium"
-            if name == "print":
+            if last.lower() in ("print", "debug", "info", "warning", "error", "critical") and re.search(r"authorization|cookie|x-api-key|api_key", ast.unparse(n).lower()):
+                yield n.lineno, "sensitive-data-logging", "high"
+            elif name == "print":
                 yield n.lineno, "debug-print", "low"
+            if last == "update" and n.args and isinstance(n.args[0], ast.Name):
+                if re.search(r"user|account|entity", name.rpartition(".")[0].lower()) and re.search(r"payload|data|body|request|input|changes|fields", n.args[0].id.lower()):
+                    yield n.lineno, "mass-assignment", "high"
+            if isinstance(n.func, ast.Attribute) and n.func.attr in ("read_text", "read_bytes") and isinstance(n.func.value, ast.BinOp) and isinstance(n.func.value.op, ast.Div):
+                if any(isinstance(x, ast.Name) for x in ast.walk(n.func.value.right)):
+                    yield n.lineno, "path-traversal", "high"
             for k in n.keywords:
                 if k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True:
                     yield k.value.lineno, "command-injection", "high"

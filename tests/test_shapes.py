@@ -112,3 +112,16 @@ def test_syntax_over_patches(spark):
     df = spark.createDataFrame([(1, "a.py", patch), (2, "a.py", None), (3, "a.txt", patch)], "file_id long, path string, patch string")
     assert [tuple(r) for r in syntax.syntax_findings(df).collect()] == [(1, 13, "bare-except", "medium")]
     assert syntax.syntax_findings(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("code", "rule", "safe"),
+    [
+        ("(root / name).read_text()", "path-traversal", '(root / "a.txt").read_text()'),
+        ("user.update(payload)", "mass-assignment", "cache.update(payload)"),
+        ('log.info("%s", request.headers["Authorization"])', "sensitive-data-logging", 'log.info("%s", name)'),
+        ('api_key: str = "zx81-kq77"', "hardcoded-secret", 'api_key: str = "changeme"'),
+    ],
+)
+def test_python_paths_updates_headers_and_typed_secrets(code, rule, safe):
+    assert [x[1] for x in syntax.python_findings(code)] == [rule] and not list(syntax.python_findings(safe))
