@@ -390,7 +390,9 @@ def scan(patches: list[str | None], paths: list[str | None]) -> list[list[tuple[
             i, a, b = where[c]
             text = paths[i] if a < 0 else patches[i]
             if a < 0:
-                out[i] += [(-1, r, s) for _, r, s in places(text, [0, len(text) + 1], 0, len(text), {"token"} & {r for r in rules if hits[r][c]})]
+                # an assigned value ends with its part of the path
+                part = lambda r, s: s if r in ("token", "url") else [(x, y if (k := text.find("/", x, y)) <= x else k) for x, y in s]  # noqa: B023, E731
+                out[i] += [(-1, r, part(r, s)) for _, r, s in places(text, [0, len(text) + 1], 0, len(text), {r for r in rules if hits[r][c]})]
                 continue
             if i not in bounds:
                 bounds[i] = [0, *(m.end() for m in re.finditer("\n", text)), len(text) + 1]

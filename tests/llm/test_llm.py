@@ -172,6 +172,13 @@ def test_secrets_found_and_masked(spark):
     assert all(a == b for a, b in zip(out[1].patch, patch) if a != "*") and all(x in out[1].patch for x in GOOD)
 
 
+def test_all_rules_read_the_path():
+    path = "mirror/postgres://u:s3cr3t-Pw@db.example/x"
+    got = secrets.scan([None], [path])[0]
+    assert {x[0] for x in got} == {-1} and "s3cr3t" not in secrets.mask(path, [s for _, _, ss in got for s in ss])
+    assert [x[2] for x in secrets.scan([None], ["backup/db_password=Zx81kQ9vT2/a.txt"])[0]] == [[(19, 29)]] and not secrets.scan([None], ["src/password_reset/token_store.py"])[0]
+
+
 def test_long_patches_are_read_whole():
     text = "+x = 1\n" * 5000 + '+password = "hunter-Falcon-22!"\n' + "+y\n" * 5000
     assert [x[0] for x in secrets.scan([text], ["a"])[0]] == [5000]
