@@ -1,34 +1,46 @@
 """Near-duplicate records by the words they share, over collections too large to compare in pairs.
 
 Method: size-aware heavy-light join. A record is the multiset of its words, written as a set by numbering repetitions; records
-with the same multiset are one class and are compared once. Words are ordered by how few classes hold them. Of two classes that
-share the threshold, the smaller holds SUBSET common words among its first n - ceil(2t / (1 + t) * n) + SUBSET and the larger
-among its first n - ceil(t * n) + SUBSET. Light (small) classes enumerate the SUBSET-word subsets of those words and meet on equal
-subsets; for heavy (large) classes the inverted lists of the words themselves are scanned. The boundary between both is the size
-of least estimated cost: subsets written, entries scanned. What meets is held against the positions of the shared words and a
-parity sketch of the whole sets, both of which can only leave out pairs below the threshold, and then verified by the exact
-share; nothing is capped. Long lists are cut into parts of LIST entries, each of which meets a copy of the scanning side.
+with the same multiset are one class and are compared once. Elements are ordered from rare to common. Of two classes that share
+the threshold, the smaller holds l common elements among its first n - ceil(2t / (1 + t) * n) + l and the larger among its first
+n - ceil(t * n) + l. Light (small) classes enumerate the subsets of SUBSET of those elements and meet on equal subsets; for heavy
+(large) classes the inverted lists of single elements are scanned. The boundary between both is the size of least estimated
+cost: rows written for subsets (ROW_COST each) against entries scanned. What meets is held against sizes, the places of the
+shared elements and a parity sketch of the whole sets, all of which can only leave out pairs below the threshold, and is then
+verified by the exact share; nothing is capped.
+
+Scale: the order needs only the counts of elements of FREQUENT parts of all, so that the table of counts sent to the workers has
+at most FREQUENT rows whatever the collection; rarer elements come first, in order of their hash. A list is scanned by arrays, a
+worker holding at most about LIST entries of the smaller side; longer lists are cut into parts of the smaller side, each of
+which the larger side runs past. Copies are dropped where the entries are made and where they meet; they return as membership,
+in blocks of BLOCK rows on either side, so that a class of very many copies is dealt to many tasks.
 
 Defined results: a record without words shares nothing with any; null fields are nothing; a manifest_id delivered again counts
-once (its first version in order of the text, where copies differ); nulls in the key leave the row out; extra columns are
-ignored.
+once (the version of the least print, where copies differ); nulls in the key leave the row out; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.runtime import materialize
+from patchlake.runtime import broadcast_if_small, materialize, ship_package
 
 SUBSET = 2
 FIELDS = ("rule", "issue", "suggestion")
 THRESHOLD = 0.7
-SALTS = 16
-#: Entries of an inverted list that one scan meets.
-LIST = 3000
-#: What a subset costs that is written, shuffled and sorted, in entries scanned.
-ROW_COST = 100
+#: Most rows of the table of counts: an element is in it when it makes up more than one part in FREQUENT of all.
+FREQUENT = 400_000
+#: Entries of the smaller side that one scan holds, and rows of a class that one block holds.
+LIST, BLOCK = 30_000, 1_000
+#: What a row costs that is made, shuffled, sorted and read again, in pairs of entries scanned (measured: 1.6 us against 4 ns).
+ROW_COST = 400
+#: Prints that a task remembers, so as not to write the entries of a copy again.
+REMEMBERED = 500_000
 
 
 def words_of(fields: tuple[str, ...] = FIELDS) -> Column:
@@ -36,136 +48,355 @@ def words_of(fields: tuple[str, ...] = FIELDS) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def classes(rows: DataFrame, key: str = "manifest_id", fields: tuple[str, ...] = FIELDS) -> tuple[DataFrame, DataFrame]:
-    """Membership (key, class) and the classes (class, words sorted). A class is the least key of equal multisets of words."""
-    own = (
-        rows.where(F.col(key).isNotNull())
-        .select(F.col(key).cast("long").alias("member"), F.array_sort(words_of(fields)).alias("words"))
-        .where(F.size("words") > 0)
-        .groupBy("member")
-        .agg(F.min("words").alias("words"))
-    )
-    held = materialize(own.withColumn("print", F.sha2(F.array_join("words", " "), 256)), "records")
-    heads = held.groupBy("print").agg(F.min("member").alias("class"))
-    member = held.select("member", "print").join(heads, "print").select("member", "class")
-    reps = held.join(heads.withColumnRenamed("class", "member"), ["print", "member"], "left_semi").select(F.col("member").alias("class"), "words")
-    return member, reps
-
-
-def _ordered(reps: DataFrame) -> DataFrame:
-    """(class, n, elements): the numbered words of each class as numbers, from the rarest to the commonest."""
-    numbered = reps.select(
-        "class",
-        F.size("words").alias("n"),
-        F.posexplode(F.transform("words", lambda w, i: F.struct(w.alias("w"), (i - F.array_position("words", w) + 1).alias("k")))).alias("p", "e"),
-    ).select("class", "n", F.xxhash64("e.w", "e.k").alias("element"))
-    counts = numbered.groupBy("element").agg(F.count("*").alias("f"))
-    return (
-        numbered.join(counts, "element")
-        .groupBy("class", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("f", "element"))).alias("es"))
-        .select("class", "n", F.transform("es", lambda x: x["element"]).alias("elements"), F.transform("es", lambda x: x["f"]).alias("lists"))
-    )
+def records(rows: DataFrame, key: str = "manifest_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(member, print, id, n, words sorted) of each delivery with words, as a table."""
+    own = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("member"), F.sort_array(words_of(fields)).alias("words"))
+    full = own.where(F.size("words") > 0).withColumn("print", F.unhex(F.substring(F.sha2(F.array_join("words", " "), 256), 1, 32)))
+    return materialize(full.select("member", "print", F.xxhash64("print").alias("id"), F.size("words").alias("n"), "words"), "records")
+
+
+def members(held: DataFrame) -> DataFrame:
+    """(member, print): each record once."""
+    return held.groupBy("member").agg(F.min("print").alias("print"))
+
 
+# ---- elements of a batch of records, as arrays -----------------------------------------------------------------------
 
-def _prefix(threshold: float, more: int, smaller: bool) -> Column:
-    """How many of its first words a class must show; smaller: to classes of its size or larger, else to smaller ones."""
+
+def _elements(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each record and the hashes of its numbered words, one record after the other."""
+    import xxhash
+
+    n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    at = np.arange(len(code))
+    first = np.ones(len(code), bool)
+    first[1:] = code[1:] != code[:-1]
+    first[(np.cumsum(n) - n)[n > 0]] = True
+    repeat = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (own[code] ^ (repeat * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return n, h ^ (h >> np.uint64(32))
+
+
+def _counted(h: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The count of each element, 1 where it is too rare to be in the table."""
+    keys, counts = known
+    if not len(keys):
+        return np.ones(len(h), np.int64)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, counts[at], 1)
+
+
+def _prefix(n: np.ndarray, threshold: float, more: int, smaller: bool) -> np.ndarray:
+    """How many of its first elements a class must show; smaller: to classes of its size or larger, else to smaller ones."""
     t = 2 * threshold / (1 + threshold) if smaller else threshold
-    return F.least(F.col("n"), F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + more).cast("int")
+    return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + more)
 
 
-def _sketched(ordered: DataFrame) -> DataFrame:
-    """With s0 and s1: the parity of how many elements fall on each of 128 bits."""
-    half = lambda k: F.aggregate(
-        "elements", F.lit(0).cast("long"), lambda s, x: F.when(F.pmod(F.shiftright(x, 6), F.lit(2)) == k, s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int")))).otherwise(s)
-    )
-    return ordered.withColumn("s0", half(0)).withColumn("s1", half(1))
-
-
-def boundary(ordered: DataFrame, threshold: float) -> int:
-    """The largest size that is light: of least cost over the sizes, grouped by powers of 1.25 (a few dozen rows)."""
-    total = ordered.count()
-    bucket = F.floor(F.log(1.25, F.col("n"))).cast("int")
-    p, q = _prefix(threshold, SUBSET, True), _prefix(threshold, SUBSET, False)
-    both = lambda k: F.aggregate(F.slice("lists", F.lit(1), k), F.lit(0).cast("double"), lambda s, x: s + x)
-    met = both(p) * both(q) / (2 * max(total, 1))
-    costs = (
-        ordered.select("n", bucket.alias("b"), (ROW_COST * (p * (p - 1) + q * (q - 1)) / 2 + met).alias("subsets"), both(_prefix(threshold, 1, True)).alias("scans"))
+def _ordered(words: pa.Array, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: n, and for all elements, from the rarest of each record: its place, the element, its count."""
+    n, h = _elements(words)
+    f = _counted(h, known)
+    order = np.lexsort((h, f, np.repeat(np.arange(len(n)), n)))
+    return n, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n), h[order], f[order]
+
+
+def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in rows:
+        _, h = _elements(rb.column(0))
+        keys, counts = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["element", "f"])
+
+
+def frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes and counts of the elements that make up more than 1 / FREQUENT of all: at most FREQUENT rows."""
+    total = held.agg(F.sum("n")).first()[0] or 0
+    some = held.select("words").mapInArrow(_counts, "element long, f long").groupBy("element").agg(F.sum("f").alias("f")).where(F.col("f") > total / FREQUENT).toArrow()
+    keys = some.column("element").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], some.column("f").to_numpy()[order]
+
+
+# ---- the boundary between light and heavy ------------------------------------------------------------------------------
+
+
+def boundary(held: DataFrame, known, threshold: float) -> tuple[int, int]:
+    """The largest size that is light, of least cost over all records, grouped by powers of 1.25 of their size; the largest size."""
+    row_cost = ROW_COST
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in rows:
+            n, at, _, f = _ordered(rb.column(0), known.value)
+            owner = np.repeat(np.arange(len(n)), n)
+            shown = lambda more, smaller: np.bincount(owner, np.where(at < np.repeat(_prefix(n, threshold, more, smaller), n), f, 0), len(n))
+            p, q = _prefix(n, threshold, SUBSET, True), _prefix(n, threshold, SUBSET, False)
+            subsets = row_cost * q * (q - 1) / 2
+            scans = row_cost * _prefix(n, threshold, 1, False) + shown(1, True)
+            met = shown(SUBSET, True) * shown(SUBSET, False) / 2
+            bucket = np.floor(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int64)
+            keys, inv = np.unique(bucket, return_inverse=True)
+            add = lambda x: pa.array(np.bincount(inv, x, len(keys)), pa.float64())
+            most = np.zeros(len(keys), np.int64)
+            np.maximum.at(most, inv, n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(most), add(np.ones(len(n))), add(subsets), add(met), add(scans)], ["b", "n", "rows", "subsets", "met", "scans"])
+
+    sums = (
+        held.select("words")
+        .mapInArrow(run, "b long, n long, rows double, subsets double, met double, scans double")
         .groupBy("b")
-        .agg(F.max("n").alias("n"), F.sum("subsets").alias("subsets"), F.sum("scans").alias("scans"))
+        .agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in ("rows", "subsets", "met", "scans")))
         .orderBy("b")
-        .collect()
+        .collect()  # a row for each power of 1.25
     )
-    best, at = sum(r.scans for r in costs), 0
-    for k in range(len(costs)):
-        cost = sum(r.subsets for r in costs[: k + 1]) + sum(r.scans for r in costs[k + 1 :])
-        if cost < best:
-            best, at = cost, costs[k].n
-    return at
-
-
-def _keys(sets: DataFrame, threshold: float, size: int, smaller: bool) -> DataFrame:
-    """One row for each word (size 1) or pair of words (size 2) that a class shows, with the place of the last."""
-    p = F.slice("elements", F.lit(1), _prefix(threshold, size, smaller))
-    lists = F.slice("lists", F.lit(1), _prefix(threshold, size, smaller))
-    if size == 1:
-        keys = F.transform(p, lambda x, i: F.struct(x.alias("key"), i.alias("at"), F.lit(1).alias("parts")))
-        keys = F.zip_with(keys, lists, lambda k, f: F.struct(k["key"].alias("key"), k["at"].alias("at"), F.ceil(f / LIST).cast("int").alias("parts")))
-    else:
-        rest = lambda x, i: F.transform(
-            F.slice("p", F.lit(1), i), lambda y: F.struct(F.xxhash64(y, x).alias("key"), i.alias("at"), F.lit(1).alias("parts"))
-        )
-        keys = F.flatten(F.transform("p", rest))
-        sets = sets.withColumn("p", p)
-    return sets.select("class", "n", "s0", "s1", F.explode(keys).alias("k")).select("class", "n", "s0", "s1", "k.*")
-
-
-def _meet(smaller: DataFrame, larger: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b) of classes with an equal key that positions, sizes and sketches allow."""
-    a = larger.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"a_{c}") for c in ("class", "n", "at", "s0", "s1")))
-    b = smaller.select("key", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"b_{c}") for c in ("class", "n", "at", "s0", "s1")))
-    least = F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9
-    order = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_class") < F.col("a_class")))
-    sizes = F.col("b_n") >= F.lit(threshold) * F.col("a_n") - 1e-9
-    places = size + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1 >= least
-    apart = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
-    sketch = apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) + 1e-9
-    return a.join(b, ["key", "part"]).where(order & sizes & places & sketch).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
-
-
-def class_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, share): all pairs of classes that share at least the threshold, a < b."""
-    ordered = materialize(_sketched(_ordered(reps)), "ordered")
-    edge = boundary(ordered, threshold)
-    light, heavy = ordered.where(F.col("n") <= edge), ordered.where(F.col("n") > edge)
-    # the larger of two light classes is light; a heavy one meets every smaller class by its lists
-    ways = [_meet(_keys(light, threshold, SUBSET, True), _keys(light, threshold, SUBSET, False), threshold, SUBSET)] if edge else []
-    if not heavy.isEmpty():
-        ways.append(_meet(_keys(ordered, threshold, 1, True), _keys(heavy, threshold, 1, False), threshold, 1))
-    if not ways:
-        return reps.sparkSession.createDataFrame([], "a long, b long, share double")
-    candidates = ways[0] if len(ways) == 1 else ways[0].union(ways[1]).distinct()
-    one = ordered.select(F.col("class").alias("a"), F.col("elements").alias("ea"))
-    two = ordered.select(F.col("class").alias("b"), F.col("elements").alias("eb"))
-    both = F.size(F.array_intersect("ea", "eb"))
-    share = both / (F.size("ea") + F.size("eb") - both)
-    return candidates.join(one, "a").join(two, "b").select("a", "b", share.alias("share")).where(F.col("share") >= threshold - 1e-12)
+    every = sum(r.rows for r in sums)
+    light = [r.subsets + r.met / max(every, 1) for r in sums]
+    heavy = [r.scans for r in sums]
+    cost = [sum(light[:k]) + sum(heavy[k:]) for k in range(len(sums) + 1)]
+    best = min(range(len(cost)), key=cost.__getitem__, default=0)
+    return sums[best - 1].n if best else 0, max((r.n for r in sums), default=0)
+
+
+# ---- entries of the lists ------------------------------------------------------------------------------------------------
+
+#: meta: n in the upper half; below it how many elements are left from the shared one on, and whether the entry may be the
+#: smaller or the larger one of a pair.
+ENTRIES = "key long, larger int, id long, meta long, s0 long, s1 long"
+
+
+def entries(held: DataFrame, known, threshold: float, edge: int, most: int) -> DataFrame:
+    """The entries of all lists: of subsets for classes up to edge elements, of single elements for all others and whatever
+    such a class may meet; most: the size of the largest class."""
+    length = LIST
+
+    def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = (a ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(31))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for rb in rows:
+            ids = rb.column(0).to_pylist()
+            fresh = []
+            for k, i in enumerate(ids):
+                if i not in seen:
+                    seen.add(i)
+                    fresh.append(k)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            ids = np.array(ids, np.int64)[fresh]
+            n, at, h, f = _ordered(rb.column(1).take(pa.array(fresh, pa.int64())), known.value)
+            if not len(h):
+                continue
+            start = np.cumsum(n) - n
+            bit = (h >> np.uint64(5)) & np.uint64(127)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            s = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), start).view(np.int64) for k in (0, 1)]
+            owner = np.repeat(np.arange(len(n)), n)
+            light = (n <= edge) & (np.ceil(threshold * n - 1e-9) >= SUBSET)
+            out = []
+
+            def add(key: np.ndarray, who: np.ndarray, left: np.ndarray, small: np.ndarray, large: np.ndarray) -> None:
+                meta = (n[who] << 32) | (left << 2) | (small.astype(np.int64) << 1) | large
+                out.append((key.view(np.int64), (~small).astype(np.int32), ids[who], meta, s[0][who], s[1][who]))
+
+            # single elements: heavy classes as the larger, all as the smaller
+            small = (at < _prefix(n, threshold, 1, True)[owner]) & ((most > edge) | (threshold * n <= 1))[owner]
+            large = (at < _prefix(n, threshold, 1, False)[owner]) & ~light[owner]
+            k = np.flatnonzero(small | large)
+            if len(k):
+                parts = -(-f[k] // length)
+                key, who, left = h[k], owner[k], (n[owner] - at)[k]
+                whole = parts == 1
+                add(key[whole], who[whole], left[whole], small[k][whole], large[k][whole])
+                if not whole.all():
+                    # of a long list, the smaller side falls into parts, and the larger side runs past each
+                    k2, times = k[~whole], parts[~whole]
+                    own = mixed(ids[owner[k2]].view(np.uint64), np.uint64(17)) % times.astype(np.uint64)
+                    again = np.repeat(np.arange(len(k2)), times)
+                    part = (np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+                    at_home = part == own[again]
+                    keep = (large[k2][again]) | (small[k2][again] & at_home)
+                    again, part, at_home = again[keep], part[keep], at_home[keep]
+                    w = owner[k2][again]
+                    add(mixed(h[k2][again], part + np.uint64(1)), w, (n[owner] - at)[k2][again], small[k2][again] & at_home, large[k2][again])
+            # subsets: light classes as either, smaller ones as the smaller
+            for r in np.flatnonzero(n <= edge):
+                p, q = _prefix(n[r : r + 1], threshold, SUBSET, True)[0], _prefix(n[r : r + 1], threshold, SUBSET, False)[0]
+                shown = h[start[r] : start[r] + (q if light[r] else p)]
+                if len(shown) < SUBSET:
+                    continue
+                x, y = np.triu_indices(len(shown), 1)
+                add(mixed(shown[x], shown[y]), np.full(len(x), r), n[r] - y + SUBSET - 1, y < p, np.full(len(x), bool(light[r])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "larger", "id", "meta", "s0", "s1"])
+
+    return held.select("id", "words").mapInArrow(run, ENTRIES)
+
+
+# ---- scans ---------------------------------------------------------------------------------------------------------------
+
+
+class Scan:
+    """Compares the entries of lists; yields pairs of ids that may share the threshold."""
+
+    def __init__(self, threshold: float):
+        self.length = LIST
+        self.t, self.c, self.q = threshold, threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
+
+    def kept(self, a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
+        """Of pairs of the entries i of a, as the larger, and j of b: those that sizes, places and sketches allow."""
+        na, nb = a[1][i], b[1][j]
+        both = self.c * (na + nb) - 1e-9
+        ok = ((nb < na) | (nb == na) & (b[0][j] < a[0][i])) & (nb >= self.t * na - 1e-9) & (np.minimum(a[2][i], b[2][j]) >= both)
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(a[3][i] ^ b[3][j]) + np.bitwise_count(a[4][i] ^ b[4][j])
+        ok = apart <= self.q * (a[1][i] + b[1][j]) + 1e-9
+        x, y = a[0][i[ok]], b[0][j[ok]]
+        return np.stack([np.minimum(x, y), np.maximum(x, y)])
+
+    def long(self, a: tuple, b: tuple) -> Iterator[np.ndarray]:
+        """All pairs of the entries of a, as the larger, and b, in blocks between the sizes that can meet."""
+        order = np.argsort(b[1], kind="stable")
+        b = tuple(x[order] for x in b)
+        low = np.searchsorted(b[1], self.t * a[1] - 1e-9)
+        high = np.searchsorted(b[1], np.minimum(a[1], np.floor(a[2] / self.c - a[1] + 1e-6)), side="right")
+        some = np.flatnonzero(low < high)
+        some = some[np.lexsort((low[some], high[some]))]
+        size = max(16, min(512, (1 << 21) // max(1, len(b[0]))))
+        for k in range(0, len(some), size):
+            i = some[k : k + size]
+            x, y = int(low[i].min()), int(high[i].max())
+            apart = np.bitwise_count(a[3][i][:, None] ^ b[3][None, x:y])
+            apart += np.bitwise_count(a[4][i][:, None] ^ b[4][None, x:y])
+            most = np.minimum(255, self.q * (a[1][i] + b[1][y - 1]) + 1e-9).astype(np.uint8)
+            r, s = np.nonzero(apart <= most[:, None])
+            if len(r):
+                yield self.kept(a, i[r], b, s + x)
+
+    def short(self, every: tuple, small: np.ndarray, large: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+        """All pairs within each of many short lists at once."""
+        reach = np.repeat(size, size)  # each entry meets all of its list
+        first = np.repeat(begin, size)
+        i = np.concatenate([np.arange(b, b + s) for b, s in zip(begin, size)]) if len(begin) else np.zeros(0, np.int64)
+        use = large[i]
+        i, reach, first = i[use], reach[use], first[use]
+        edges = np.searchsorted(np.cumsum(reach), np.arange(0, int(reach.sum()) + 1, 2_000_000))
+        for x, y in zip(edges, [*edges[1:], len(i)]):
+            if x < y:
+                r = reach[x:y]
+                j = np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r) + np.repeat(first[x:y], r)
+                k = np.repeat(i[x:y], r)
+                ok = small[j]
+                yield self.kept(every, k[ok], every, j[ok])
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        found: list[np.ndarray] = []
+        for rb in batches:
+            new = [rb.column(k).to_numpy() for k in (0, 2, 3, 4, 5)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if last:
+                found += self.lists([x[:last] for x in held])
+                held = [x[last:] for x in held]
+            if len(held[0]) > 4 * self.length:
+                # one list only; its smaller side came first: what is past it runs by and is dropped
+                meta = held[2]
+                if not meta[-1] & 2:
+                    found += self.lists(held)
+                    stay = np.flatnonzero(meta & 2)
+                    held = [x[stay] for x in held]
+                    held[2] = held[2] & ~np.int64(1)
+            if found and sum(x.shape[1] for x in found) > 100_000:
+                yield self.out(found)
+                found = []
+        if held is not None and len(held[0]):
+            found += self.lists(held)
+        if found:
+            yield self.out(found)
+
+    @staticmethod
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(found, 1)
+        pairs = pairs[:, np.lexsort(pairs)]
+        pairs = pairs[:, np.append(True, (np.diff(pairs) != 0).any(0))] if pairs.shape[1] else pairs
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def lists(self, held: list[np.ndarray]) -> list[np.ndarray]:
+        key, ids, meta = held[:3]
+        every = (ids, meta >> 32, (meta >> 2) & 0x3FFFFFFF, held[3].view(np.uint64), held[4].view(np.uint64))
+        small, large = meta & 2 > 0, meta & 1 > 0
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(key)))
+        few = (size > 1) & (size <= 128)
+        out = [*self.short(every, small, large, begin[few], size[few])]
+        for b, s in zip(begin[size > 128].tolist(), size[size > 128].tolist()):
+            x, y = np.flatnonzero(large[b : b + s]) + b, np.flatnonzero(small[b : b + s]) + b
+            if len(x) and len(y):
+                out += self.long(tuple(v[x] for v in every), tuple(v[y] for v in every))
+        return out
+
+
+# ---- pairs ---------------------------------------------------------------------------------------------------------------
+
+
+def class_pairs(held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(print_a, print_b, share): all pairs of classes of the records that share at least the threshold."""
+    spark = held.sparkSession
+    ship_package(spark)
+    known = spark.sparkContext.broadcast(frequent(held))
+    rows = entries(held, known, threshold, *boundary(held, known, threshold))
+    scan = Scan(threshold)
+    met = rows.repartition("key").sortWithinPartitions("key", "larger").mapInArrow(lambda x: scan(x), "a long, b long")
+    candidates = materialize(met.distinct(), "candidates")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            n, h = _elements(rb.column(2))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), lists], ["id", "print", "e"])
+
+    # the classes that a candidate names, once each; copies of one are dealt by salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt")
+    named = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct().select("id", salts)
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(8)).cast("int"))
+    reps = salted.join(named, ["id", "salt"], "left_semi").select("id", "print", "words").dropDuplicates(["id", "print"]).mapInArrow(hashed, "id long, print binary, e array<long>")
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}"), F.col("e").alias(f"e{x}"))
+    both = candidates.join(side("a"), "a").join(side("b"), "b").select("print_a", "print_b", (F.size("ea") + F.size("eb")).alias("n"), F.size(F.array_intersect("ea", "eb")).alias("o"))
+    return both.where(F.col("o") >= threshold * (F.col("n") - F.col("o")) - 1e-9).select("print_a", "print_b", (F.col("o") / (F.col("n") - F.col("o"))).alias("share"))
 
 
 def record_pairs(rows: DataFrame, threshold: float = THRESHOLD, key: str = "manifest_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(key_a, key_b): all pairs of different keys that share the threshold, the smaller first; copies of a class included."""
-    member, reps = classes(rows, key, fields)
-    links = class_pairs(reps, threshold).select("a", "b")
-    # A class of copies may be large: its rows meet those of the other class in SALTS parts, never in one task.
-    m = member.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
-    left = m.select(F.col("class").alias("a"), F.col("member").alias("x"), "salt")
-    right = member.select(F.col("class").alias("b"), F.col("member").alias("y"))
-    spread = links.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    between = left.join(spread, ["a", "salt"]).join(right, "b")
-    copies = member.groupBy("class").agg(F.count("*").alias("c")).where("c > 1").select(F.col("class").alias("a"))
-    own = left.join(copies, "a").join(right.withColumnRenamed("b", "a"), "a").where("x < y")
-    pair = [F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")]
-    return between.select(*pair).union(own.select(*pair))
+    """(key_a, key_b): all pairs of different keys that share the threshold, the smaller first; copies of a class included.
+
+    The rows of a class stand in blocks of about BLOCK; a pair of classes, or a class with itself, meets block by block.
+    """
+    held = records(rows, key, fields)
+    member = members(held)
+    links = class_pairs(held, threshold).select("print_a", "print_b")
+    copies = member.groupBy("print").agg(F.count("*").alias("c")).where("c > 1")
+    blocks = copies.where(F.col("c") > BLOCK).select("print", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))  # at most rows / BLOCK
+    few = broadcast_if_small(blocks)
+    own = copies.select(F.col("print").alias("print_a"), F.col("print").alias("print_b"))
+    for x in ("a", "b"):
+        links = links.join(few.select(F.col("print").alias(f"print_{x}"), F.col("blocks").alias(f"n_{x}")), f"print_{x}", "left")
+    own = own.join(few.select(F.col("print").alias("print_a"), F.col("blocks").alias("n_a")), "print_a", "left").select("print_a", "print_b", "n_a", F.col("n_a").alias("n_b"))
+    count = lambda x: F.sequence(F.lit(0), F.coalesce(f"n_{x}", F.lit(1)) - 1)
+    met = links.select("print_a", "print_b", "n_a", "n_b").union(own).withColumn("i", F.explode(count("a"))).withColumn("j", F.explode(count("b")))
+    met = met.where((F.col("print_a") != F.col("print_b")) | (F.col("i") <= F.col("j"))).drop("n_a", "n_b")
+    home = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("member"), F.col("blocks"))).cast("int")
+    dealt = member.join(few, "print", "left").select("member", "print", home.alias("block"))
+    left = dealt.select(F.col("print").alias("print_a"), F.col("block").alias("i"), F.col("member").alias("x"))
+    right = dealt.select(F.col("print").alias("print_b"), F.col("block").alias("j"), F.col("member").alias("y"))
+    pairs = met.join(left, ["print_a", "i"]).join(right, ["print_b", "j"])
+    once = (F.col("print_a") != F.col("print_b")) | (F.col("i") != F.col("j")) | (F.col("x") < F.col("y"))
+    return pairs.where(once).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
 def groups(rows: DataFrame, threshold: float = THRESHOLD, key: str = "manifest_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -174,8 +405,13 @@ def groups(rows: DataFrame, threshold: float = THRESHOLD, key: str = "manifest_i
     The least class of a group spreads along the links; each round also jumps to the label of the label, so that the rounds
     grow with the logarithm of a chain's length. Each round is written as a table.
     """
-    member, reps = classes(rows, key, fields)
-    links = materialize(class_pairs(reps, threshold).select("a", "b"), "links")
+    held = records(rows, key, fields)
+    member = members(held)
+    heads = member.groupBy("print").agg(F.min("member").alias("class"), (F.count("*") - 1).alias("copies"))
+    links = class_pairs(held, threshold)
+    for x in ("a", "b"):
+        links = links.join(heads.select(F.col("print").alias(f"print_{x}"), F.col("class").alias(x)), f"print_{x}")
+    links = materialize(links.select("a", "b"), "links")
     both = links.union(links.select("b", "a")).toDF("a", "b")
     degree = both.groupBy("a").agg(F.count("*").alias("links"))
     label = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("g")), "labels")
@@ -187,10 +423,5 @@ def groups(rows: DataFrame, threshold: float = THRESHOLD, key: str = "manifest_i
         label = done.select("a", "g")
         if done.where("g <> old").isEmpty():
             break
-    size = member.groupBy("class").agg((F.count("*") - 1).alias("copies"))
-    return (
-        member.join(size, "class")
-        .join(label.withColumnRenamed("a", "class"), "class", "left")
-        .join(degree.withColumnRenamed("a", "class"), "class", "left")
-        .select(F.col("member").alias(key), F.coalesce("g", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    )
+    told = heads.join(label.withColumnRenamed("a", "class"), "class", "left").join(degree.withColumnRenamed("a", "class"), "class", "left")
+    return member.join(told, "print").select(F.col("member").alias(key), F.coalesce("g", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
