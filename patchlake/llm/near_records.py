@@ -21,11 +21,14 @@ once (the version of the least print, where copies differ); nulls in the key lea
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.runtime import broadcast_if_small, materialize, ship_package
@@ -43,16 +46,29 @@ ROW_COST = 400
 REMEMBERED = 500_000
 
 
-def words_of(fields: tuple[str, ...] = FIELDS) -> Column:
-    text = F.concat_ws(" ", *(F.col(f) for f in fields))
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+_word = re.compile(r"[^\W_]+")
+
+
+def _records(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in rows:
+        out = []
+        for i, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            words = sorted(_word.findall(text.lower()))
+            if words:
+                line = " ".join(words)
+                out.append((i, hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(words), line))
+        members, prints, sizes, lines = zip(*out) if out else ((), (), (), ())
+        ids = np.frombuffer(b"".join(prints), np.int64)[::2]
+        columns = [pa.array(members, pa.int64()), pa.array(prints, pa.binary()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lines, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["member", "print", "id", "n", "words"])
 
 
 def records(rows: DataFrame, key: str = "manifest_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(member, print, id, n, words sorted) of each delivery with words, as a table."""
-    own = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("member"), F.sort_array(words_of(fields)).alias("words"))
-    full = own.where(F.size("words") > 0).withColumn("print", F.unhex(F.substring(F.sha2(F.array_join("words", " "), 256), 1, 32)))
-    return materialize(full.select("member", "print", F.xxhash64("print").alias("id"), F.size("words").alias("n"), "words"), "records")
+    """(member, print, id, n, words) of each delivery with words, as a table; words are sorted and joined by blanks."""
+    ship_package(rows.sparkSession)
+    text = F.concat_ws(" ", *(F.col(f).cast("string") for f in fields))
+    own = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text)
+    return materialize(own.mapInArrow(_records, "member long, print binary, id long, n int, words string"), "records")
 
 
 def members(held: DataFrame) -> DataFrame:
@@ -63,34 +79,41 @@ def members(held: DataFrame) -> DataFrame:
 # ---- elements of a batch of records, as arrays -----------------------------------------------------------------------
 
 
-def _elements(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The number of words of each record and the hashes of its numbered words, one record after the other."""
+def _elements(lines: pa.Array, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of sorted words: the size of each record; for all its numbered words a code; of each code the hash and the count.
+
+    Codes are in order of count and hash: from rare to common. Counts are those known, 1 for an element too rare to be among
+    them; without any known, they are those of the batch.
+    """
     import xxhash
 
-    n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = words.flatten().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    code = coded.indices.to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(lines, " ")
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    at = np.arange(len(code))
-    first = np.ones(len(code), bool)
-    first[1:] = code[1:] != code[:-1]
-    first[(np.cumsum(n) - n)[n > 0]] = True
-    repeat = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    at = np.arange(len(word))
+    first = np.ones(len(word), bool)
+    first[1:] = word[1:] != word[:-1]
+    first[np.cumsum(n) - n] = True
+    repeat = at - np.maximum.accumulate(np.where(first, at, 0))
+    most = int(repeat.max(initial=0)) + 1
+    kinds, code = np.unique(word * most + repeat, return_inverse=True)
     with np.errstate(over="ignore"):
-        h = (own[code] ^ (repeat * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (own[kinds // most] ^ ((kinds % most).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return n, h ^ (h >> np.uint64(32))
-
-
-def _counted(h: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The count of each element, 1 where it is too rare to be in the table."""
-    keys, counts = known
-    if not len(keys):
-        return np.ones(len(h), np.int64)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, counts[at], 1)
+        h ^= h >> np.uint64(32)
+    if known is None:
+        f = np.bincount(code, minlength=len(h))
+    elif len(known[0]):
+        where = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+        f = np.where(known[0][where] == h, known[1][where], 1)
+    else:
+        f = np.ones(len(h), np.int64)
+    order = np.lexsort((h, f))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return n, rank[code], h[order], f[order]
 
 
 def _prefix(n: np.ndarray, threshold: float, more: int, smaller: bool) -> np.ndarray:
@@ -99,19 +122,18 @@ def _prefix(n: np.ndarray, threshold: float, more: int, smaller: bool) -> np.nda
     return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + more)
 
 
-def _ordered(words: pa.Array, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _ordered(lines: pa.Array, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch: n, and for all elements, from the rarest of each record: its place, the element, its count."""
-    n, h = _elements(words)
-    f = _counted(h, known)
-    order = np.lexsort((h, f, np.repeat(np.arange(len(n)), n)))
-    return n, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n), h[order], f[order]
+    n, code, h, f = _elements(lines, known)
+    wide = max(1, len(h))
+    code = np.sort(np.repeat(np.arange(len(n)), n) * wide + code) % wide
+    return n, np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n), h[code], f[code]
 
 
 def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in rows:
-        _, h = _elements(rb.column(0))
-        keys, counts = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["element", "f"])
+        _, _, h, f = _elements(rb.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f, pa.int64())], ["element", "f"])
 
 
 def frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +268,7 @@ class Scan:
     """Compares the entries of lists; yields pairs of ids that may share the threshold."""
 
     def __init__(self, threshold: float):
-        self.length = LIST
+        self.length, self.block = LIST, 1 << 16
         self.t, self.c, self.q = threshold, threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
 
     def kept(self, a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
@@ -268,16 +290,24 @@ class Scan:
         high = np.searchsorted(b[1], np.minimum(a[1], np.floor(a[2] / self.c - a[1] + 1e-6)), side="right")
         some = np.flatnonzero(low < high)
         some = some[np.lexsort((low[some], high[some]))]
-        size = max(16, min(512, (1 << 21) // max(1, len(b[0]))))
-        for k in range(0, len(some), size):
-            i = some[k : k + size]
+        k, ups, downs, held = 0, [], [], 0
+        while k < len(some):
+            # as many rows as keep a block within a cache
+            i = some[k : k + max(1, min(512, self.block // int(high[some[k]] - low[some[k]])))]
+            k += len(i)
             x, y = int(low[i].min()), int(high[i].max())
             apart = np.bitwise_count(a[3][i][:, None] ^ b[3][None, x:y])
             apart += np.bitwise_count(a[4][i][:, None] ^ b[4][None, x:y])
             most = np.minimum(255, self.q * (a[1][i] + b[1][y - 1]) + 1e-9).astype(np.uint8)
-            r, s = np.nonzero(apart <= most[:, None])
-            if len(r):
-                yield self.kept(a, i[r], b, s + x)
+            hit = np.flatnonzero((apart <= most[:, None]).ravel())
+            if len(hit):
+                r, s = np.divmod(hit, y - x)
+                ups.append(i[r])
+                downs.append(s + x)
+                held += len(hit)
+            if held and (held > 100_000 or k >= len(some)):
+                yield self.kept(a, np.concatenate(ups), b, np.concatenate(downs))
+                ups, downs, held = [], [], 0
 
     def short(self, every: tuple, small: np.ndarray, large: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
         """All pairs within each of many short lists at once."""
@@ -358,8 +388,8 @@ def class_pairs(held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            n, h = _elements(rb.column(2))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h.view(np.int64)))
+            n, code, h, _ = _elements(rb.column(2))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h[code].view(np.int64)))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), lists], ["id", "print", "e"])
 
     # the classes that a candidate names, once each; copies of one are dealt by salt
