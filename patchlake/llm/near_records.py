@@ -186,9 +186,10 @@ def boundary(held: DataFrame, known, threshold: float) -> tuple[int, int]:
 
 # ---- entries of the lists ------------------------------------------------------------------------------------------------
 
-#: meta: n in the upper half; below it how many elements are left from the shared one on, and whether the entry may be the
-#: smaller or the larger one of a pair.
-ENTRIES = "key long, larger int, id long, meta long, s0 long, s1 long"
+#: key: its last bit tells the entries that can only be the larger of a pair, which so come after the others of a list. meta: n
+#: in the upper half; below it how many elements are left from the shared one on, and whether the entry may be the smaller or the
+#: larger one of a pair.
+ENTRIES = "key long, id long, meta long, s0 long, s1 long"
 
 
 def entries(held: DataFrame, known, threshold: float, edge: int, most: int) -> DataFrame:
@@ -226,7 +227,7 @@ def entries(held: DataFrame, known, threshold: float, edge: int, most: int) -> D
 
             def add(key: np.ndarray, who: np.ndarray, left: np.ndarray, small: np.ndarray, large: np.ndarray) -> None:
                 meta = (n[who] << 32) | (left << 2) | (small.astype(np.int64) << 1) | large
-                out.append((key.view(np.int64), (~small).astype(np.int32), ids[who], meta, s[0][who], s[1][who]))
+                out.append(((key & ~np.uint64(1) | (~small).astype(np.uint64)).view(np.int64), ids[who], meta, s[0][who], s[1][who]))
 
             # single elements: heavy classes as the larger, all as the smaller
             small = (at < _prefix(n, threshold, 1, True)[owner]) & ((most > edge) | (threshold * n <= 1))[owner]
@@ -256,7 +257,7 @@ def entries(held: DataFrame, known, threshold: float, edge: int, most: int) -> D
                     continue
                 x, y = np.triu_indices(len(shown), 1)
                 add(mixed(shown[x], shown[y]), np.full(len(x), r), n[r] - y + SUBSET - 1, y < p, np.full(len(x), bool(light[r])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "larger", "id", "meta", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "id", "meta", "s0", "s1"])
 
     return held.select("id", "words").mapInArrow(run, ENTRIES)
 
@@ -284,9 +285,14 @@ class Scan:
 
     def long(self, a: tuple, b: tuple) -> Iterator[np.ndarray]:
         """All pairs of the entries of a, as the larger, and b, in blocks between the sizes that can meet."""
-        order = np.argsort(b[1], kind="stable")
-        b = tuple(x[order] for x in b)
-        low = np.searchsorted(b[1], self.t * a[1] - 1e-9)
+        # how much larger the other may be, as the places of b allow; those that allow little meet few
+        slack = b[2] / self.c - 2 * b[1]
+        for part in np.array_split(np.argsort(slack, kind="stable"), max(1, min(6, len(slack) // 200))):
+            part = part[np.argsort(b[1][part], kind="stable")]
+            yield from self.blocks(a, tuple(x[part] for x in b), float(slack[part].max()))
+
+    def blocks(self, a: tuple, b: tuple, slack: float) -> Iterator[np.ndarray]:
+        low = np.searchsorted(b[1], np.maximum(self.t * a[1], a[1] - slack) - 1e-6)
         high = np.searchsorted(b[1], np.minimum(a[1], np.floor(a[2] / self.c - a[1] + 1e-6)), side="right")
         some = np.flatnonzero(low < high)
         some = some[np.lexsort((low[some], high[some]))]
@@ -329,7 +335,8 @@ class Scan:
         held: list[np.ndarray] | None = None
         found: list[np.ndarray] = []
         for rb in batches:
-            new = [rb.column(k).to_numpy() for k in (0, 2, 3, 4, 5)]
+            new = [rb.column(k).to_numpy() for k in range(5)]
+            new[0] = new[0] >> 1
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if last:
@@ -383,7 +390,7 @@ def class_pairs(held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = spark.sparkContext.broadcast(frequent(held))
     rows = entries(held, known, threshold, *boundary(held, known, threshold))
     scan = Scan(threshold)
-    met = rows.repartition("key").sortWithinPartitions("key", "larger").mapInArrow(lambda x: scan(x), "a long, b long")
+    met = rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda x: scan(x), "a long, b long")
     candidates = materialize(met.distinct(), "candidates")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
