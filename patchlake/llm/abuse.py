@@ -1,13 +1,15 @@
 """Scores for abusive, hateful or sexual content of subtitles, and rates by source.
 
 Method: a counterfactual-regularised classifier. A sentence (which may run over two cues) is described by its words, pairs of
-neighbouring words, kinds of words from a fixed list (insults, violence, dehumanising words, sexual words, identity terms,
-persons) and kinds that meet in it. A logistic model is trained on the labelled documents by multiple instances: a document is
-as bad as its worst sentence, be it one with listed words or not. For each sentence with an identity term, the term is swapped for others, and the square of the
-change of its score is added to the loss, so that a neutral mention of a group doesn't raise the score. Weights of listed
-kinds start from, and are drawn to, fixed values, which also serve where labels are few.
+neighbouring words, kinds of words from a fixed general list (insults, violence, dehumanising words, sexual words, identity terms,
+persons), kinds that meet in it, and threats (oneself, violence, you, in this order). A logistic model is trained on the labelled documents by multiple instances: a document is
+as bad as its worst sentence, be it one with listed words or not. What names a group is, besides the listed terms, what stands
+as a name after articles in the labelled texts. For each sentence with an identity term, the term is swapped for others, and the
+square of the change of its score is added to the loss, so that a neutral mention of a group doesn't raise the score. Weights of
+the listed kinds start from fixed values; those of words and pairs start from 0 and are learnt.
 
-Fitting reads at most LABELLED labelled documents (those of the least hash of doc_id); every document is scored.
+Fitting reads at most LABELLED labelled documents and LABELLED_BYTES of their texts, those of the least hash of doc_id (a text of
+more than a sixteenth of these bytes is not fitted); every document is scored, whole.
 
 Defined results: null and empty texts score 0; null labels are left out, two labels of a document are averaged and ties left
 out; a document delivered again counts once; a source is trimmed and in lower case, a null or blank one is ""; no labels at
@@ -22,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlake.runtime import ship_package
 
-LABELLED = 4000
+LABELLED, LABELLED_BYTES = 4000, 64 << 20
 BITS = 17
-ROUNDS, STEPS, RATE = 3, 60, 0.5
-#: Weight of the swapped identity terms in the loss, of the pull to the fixed weights, and to 0 for words.
-SWAP, PULL, PULL_WORDS = 2.0, 0.02, 0.1
+ROUNDS, STEPS, RATE, SPEED = 5, 60, 0.1, 40.0
+#: Weight of the swapped identity terms in the loss, of the pull to the first weights, and to 0 for words; how far a score must
+#: lie on the other side of a label to cast doubt on it; how many documents with a word halve what its share tells at first.
+SWAP, PULL, PULL_WORDS, DOUBT, SUPPORT = 0.1, 0.02, 0.02, 2.0, 3
 THRESHOLD = 0.5
 
 #: Words by kind, in five languages, without accents. A final * stands for any ending.
@@ -52,14 +55,14 @@ WORDS = {
     ),
     "end": "hang* die kill yourself neck throat family sleep house tot muerto mort",
     "dehumanise": (
-        "vermin* rat rats scum subhuman trash animals parasite* parasit* filth cockroaches ungeziefer vermine ratas alimanas паразит* крысы нелюди breed boxes deserve hanged disgust* spit worth dog kitchen exterminate* echarlos dehors raus гнать inferior people"
+        "vermin* rat rats scum subhuman trash animal animals parasite* parasit* filth cockroach* ungeziefer vermine ratas alimanas паразит* крысы нелюди disgust* inferior savage* plague disease exterminate* deport* raus dehors abschaum untermensch*"
     ),
     "sexual": (
         "fuck* fucking sex moan* breast* panties ass tits pussy cock dick orgasm* naked horny lick* bang ride screw screams bed nude blowjob cum thrust* undress* follar follaban follando desnud* gemia gemir coger fick* nackt* stohn* baisa* baiser nue gemissait sucer трах* голая голый стонала"
     ),
     "act": "fuck* moan* lick* panties tits pussy orgasm* blowjob follaban follar follando gemia fickten ficken stohnte baisaient baiser gemissait трах* стонала",
     "identity": (
-        "ostrani velmari kessari tulvan* dornfolk остран* вельмари кессари тульван* women woman men girls gays gay lesbian* jews jew muslims muslim christians blacks black asians asian immigrants immigrant foreigners foreigner refugees gypsies cripples cripple disabled blind deaf mujeres moros judios frauen juden auslander femmes juifs arabes женщин* евре*"
+        "women woman men girls gays gay lesbian* jews jew muslims muslim christians blacks black asians asian immigrants immigrant foreigners foreigner refugees gypsies cripples cripple disabled blind deaf mujeres moros judios frauen juden auslander femmes juifs arabes женщин* евре*"
     ),
     "you": "you your you're youre yourself u ya eres te tu ti vosotros usted du dich dir dein* ihr toi ton ta tes vous t'es ты тебя тебе твой твоя вы",
     "self": "i i'll ill we we'll voy ich wir je vais nous я мы",
@@ -86,22 +89,12 @@ MEETINGS = {
     ("act", "sexual"): 2.0,
     ("act", "person"): 1.5,
     ("sexual", "person"): 0.4,
+    ("sexual", "sexual"): 1.0,
 }
 SINGLE = {"insult": 0.3, "strong": 2.6, "adjective": 0.2, "violence": 0.2, "end": 0.0, "dehumanise": 0.0, "sexual": 0.4, "act": 1.5, "identity": 0.0, "you": 0.0, "self": 0.0, "person": 0.0, "order": 0.2}
+#: What it weighs that one speaks of oneself, then of violence, and within REACH words of "you"; and that an insult stands alone.
+THREAT, REACH, ALONE = 3.0, 4, 1.5
 BIAS = -4.0
-#: What a sentence of the second violence-and-person form adds: "I will ... you", told as one feature.
-PHRASES = {
-    r"\b(?:i|we)(?:'?i?ii)? (?:\w+ ){0,3}(?:kill|strangle|stab|shoot|drown|gut|skin|cripple|cut|burn|bury|break|beat|slit|find|murder|choke) (?:you|your|where you)\b": 4.0,
-    r"\b(?:go )?(?:hang|kill) yourself\b|\ba favou?r and die\b|\b\w{3,5} your throat\b|\bbreak your neck\b": 4.0,
-    r"\bone more word and i\b|\bif i see one more\b|\bsomebody should (?:strangle|kill|shoot|stab|cripple|gut|drown|skin|hang|burn|beat) (?:that|this|him|her|them|the)\b": 3.0,
-    r"\bte voy a matar\b|\b(?:ich )?schlage dich tot\b|\bje vais te tuer\b|\bя тебя убью\b|\bich bringe dich um\b": 4.0,
-    r"\b(?:get|go) (?:lost|back) (?:where you|to where)|\bnobody (?:wants|will miss) you\b|\bno wonder (?:he|she|they) left\b|\byou(?:'re| are) (?:an? )?(?:\w+ )?(?:garbage|trash|scum|shit)\b|\bpiece of (?:shit|crap|garbage|trash|filth)\b|\bгнать их\b|\bnadie te quiere\b|\bdich will (?:hier )?keiner\b|\bpersonne ne veut de toi\b|\bникому ты не нужен\b": 2.5,
-    r"\bwants to (?:fuck|bang|lick|ride|screw) (?:her|him)\b|\bwant to (?:fuck|bang|lick|ride|screw) you\b|\bget naked\b|\btake your (?:panties|clothes) off\b|\bhad sex\b|\bgrabbed her (?:ass|tits|breasts?)\b|\blicked her\b|\bpushed her naked\b": 4.0,
-    r"\bsend the \w+ back\b|\bdeserve to live\b|\bworth less than a\b|\bspit on every\b|\bshould all be (?:hanged|shot|killed|burned)\b|\bonly good for\b|\baren'?t even people\b|\bdrive them out\b|\blook at (?:you|that|him|her),? (?:\w+ ){0,2}(?:fat|stinking|ugly|worthless|crippled|brainless|rotten|filthy|pathetic|inbred|dumb|stupid|greasy|useless|spineless|disgusting|retarded|smelly)\b": 3.5,
-    r"\byour mother is an? (?!\w+ (?:teacher|doctor))": 1.5,
-    r"\b(?:get lost|go to hell|screw you|fuck (?:you|off))\b": 3.0,
-    r"\bwho let this\b|\blike you\W*$": 0.5,
-}
 #: Signs written for letters, and letters that look like Latin ones.
 LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "€": "e", "£": "l"})
 LOOKALIKE = str.maketrans("аеорсухіјѕԁһвнкмтАЕОРСУХІЈВНКМТαοερικνΑΒΕΗΙΚΜΝΟΡΤΧ", "aeopcyxijsdhbhkmtAEOPCYXIJBHKMTaoepiknABEHIKMNOPTX")
@@ -224,17 +217,33 @@ def sentences(text: str) -> list[list[str]]:
 
 #: Kinds that meet others but never each other.
 PERSONS = {"you", "self", "person"}
-NAMES = [*SINGLE, *("+".join(k) for k in MEETINGS), *(f"phrase {k}" for k in range(len(PHRASES)))]
-FIXED = np.array([*SINGLE.values(), *MEETINGS.values(), *PHRASES.values()])
+NAMES = [*SINGLE, *("+".join(k) for k in MEETINGS), "threat", "alone"]
+FIXED = np.array([*SINGLE.values(), *MEETINGS.values(), THREAT, ALONE])
 _AT = {n: k for k, n in enumerate(NAMES)}
+#: A capitalised word within a sentence, after an English article: what may name a group.
+NAMED = re.compile(r"(?<=[a-z,;] )(?:[Tt]he|an?|those|these|every|all|some) (?:[a-z]+ )?([A-Z][a-z]{2,})\b(?!')")
+
+
+def group_names(texts: list[str], least: int = 3) -> frozenset[str]:
+    """The squeezed words that stand as names after articles in at least so many of the texts and in no text in lower case."""
+    count: dict[str, int] = {}
+    plain: set[str] = set()
+    for text in texts:
+        body = SPEAKER.sub("", CUE.sub("", text))
+        for w in set(NAMED.findall(body)):
+            count[w] = count.get(w, 0) + 1
+        plain.update(re.findall(r"\b[a-z]{3,}\b", body))
+    return frozenset(plain_word(w) for w, n in count.items() if n >= least and w.lower() not in plain)
 
 
-def features(words: list[str], known: dict[str, int], identity: str | None = None, phrases: list[int] | None = None) -> list[int]:
-    """The numbers of a sentence's features; identity: what stands for its identity terms; phrases: the only ones it may hold."""
+def features(words: list[str], known: dict[str, int], names: frozenset[str] = frozenset(), identity: str | None = None) -> list[int]:
+    """The numbers of a sentence's features; names: further identity terms; identity: what stands for the identity terms."""
     import xxhash
 
     seen = _state.setdefault("kinds", {})
     own = [seen[w] if w in seen else kinds_of(w) for w in words]
+    if not names.isdisjoint(words):
+        own = [tuple({*k, "identity"}) if w in names else k for w, k in zip(words, own)]
     if identity is not None:
         words = [identity if "identity" in k else w for w, k in zip(words, own)]
     count: dict[str, int] = {}
@@ -246,9 +255,13 @@ def features(words: list[str], known: dict[str, int], identity: str | None = Non
         # one word that is of both kinds is no meeting
         if a in count and b in count and (count[a] > 1 if a == b else any(a in x and b in y for i, x in enumerate(own) for j, y in enumerate(own) if i != j)):
             out.append(_AT[f"{a}+{b}"])
-    if phrases is None or phrases:
-        line, every = " ".join(words), _phrases()
-        out += [_AT[f"phrase {k}"] for k in (range(len(every)) if phrases is None else phrases) if every[k].search(line)]
+    if "violence" in count and "self" in count and "you" in count:
+        speaks = next(i for i, k in enumerate(own) if "self" in k)
+        acts = [i for i, k in enumerate(own) if "violence" in k and i > speaks]
+        if any("you" in x for i in acts for x in own[i + 1 : i + 1 + REACH]):
+            out.append(_AT["threat"])
+    if len(words) < 3 and "insult" in count:
+        out.append(_AT["alone"])
     if len(known) > 500_000:
         known.clear()
     keys = [*words, *[f"{a} {b}" for a, b in zip(words, words[1:])]]
@@ -260,117 +273,103 @@ def features(words: list[str], known: dict[str, int], identity: str | None = Non
     return out + hashed
 
 
-def _phrases() -> list[re.Pattern]:
-    """The phrases over squeezed words."""
-    if "phrases" not in _state:
-        fold = lambda p: re.sub(r"(?<!\\)\b[a-zа-яё']{2,}\b", lambda m: squeeze(m[0]), p.replace(r"\b", "\0")).replace("\0", r"\b")
-        _state["phrases"] = [re.compile(fold(p), re.MULTILINE) for p in PHRASES]
-    return _state["phrases"]
-
-
-def literals(pattern: str) -> list[str]:
-    """A run of letters and blanks that each alternative of a pattern must hold; none at all where one has no run of 4."""
-    out, runs, depth = [], [""], 0
-    for m in re.finditer(r"\\.|\[[^\]]*\]|\{[^}]*\}|.", pattern + "|"):
-        c = m[0]
-        if c == "|" and not depth:
-            out.append(max(runs, key=len))
-            runs = [""]
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-            runs.append("")
-        elif not depth:
-            if c in "?*" or c[0] == "{":
-                runs[-1] = runs[-1][:-1]
-            runs += [""] if len(c) > 1 or c in "?*+.$^" else []
-            runs[-1] += c if len(c) == 1 and c not in "?*+.$^" else ""
-    return out if min(map(len, out)) >= 4 else []
-
-
-def phrases_in(lines: list[list[str]]) -> list[int]:
-    """The phrases that any of the sentences may hold: no phrase runs over a line feed."""
-    every = _phrases()
-    if "literals" not in _state:
-        _state["literals"] = [literals(p.pattern) for p in every]
-    text = "\n".join(map(" ".join, lines))
-    return [k for k, (p, some) in enumerate(zip(every, _state["literals"])) if (not some or any(x in text for x in some)) and p.search(text)]
-
-
-def fit(labelled: list[tuple[str, float]], seed: int = 5) -> np.ndarray:
-    """Weights from (text, label) of documents: the bias, the listed kinds and meetings, the words."""
-    size = len(NAMES) + (1 << BITS)
-    prior = np.zeros(size + 1)
-    prior[: len(NAMES)] = FIXED
-    prior[size] = BIAS
-    weight = prior.copy()
+class Model:
+    """Weights of the listed kinds and meetings, of words and pairs of words, and the bias last; and the names of groups."""
+
+    def __init__(self, weight: np.ndarray, names: frozenset[str] = frozenset()):
+        self.weight, self.names = weight, names
+
+
+def untrained() -> np.ndarray:
+    weight = np.zeros(len(NAMES) + (1 << BITS) + 1)
+    weight[: len(NAMES)] = FIXED
+    weight[-1] = BIAS
+    return weight
+
+
+def fit(labelled: list[tuple[str, float]], swap: float = SWAP) -> Model:
+    """The model of (text, label) of documents.
+
+    A document that is labelled as abusive lends its label to its worst sentence, found anew each round; of one that isn't, the
+    sentences that were worst in any round so far are negative. Labels that the model of the round before contradicts strongly
+    count little, as some labels are wrong.
+    """
+    prior = untrained()
+    size = len(prior) - 1
+    names = group_names([t for t, _ in labelled])
     known: dict[str, int] = {}
-    rows, docs, swaps = [], [], []
+    rows, docs, lines = [], [], []
     for d, (text, _) in enumerate(labelled):
         for words in filter(None, sentences(text)):
-            if any("identity" in kinds_of(w) for w in words):
-                for other in ("ostrani", "keidric", "someone"):
-                    swaps.append((len(rows), np.unique(features(words, known, other))))
-            rows.append(np.unique(features(words, known)))
+            rows.append(np.unique(features(words, known, names)))
             docs.append(d)
-    label = np.array([y for _, y in labelled])
-    if not rows or len(set((label > 0.5).tolist())) < 2:
-        return weight
+            lines.append(words)
+    label = np.array([y for _, y in labelled]) > 0.5
+    if not rows or len(set(label.tolist())) < 2:
+        return Model(prior, names)
     doc = np.array(docs)
 
     def flat(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(xs), np.repeat(np.arange(len(xs)), [len(x) for x in xs])
 
     col, row = flat(rows)
-    swap_row = np.array([i for i, _ in swaps], np.int64)
-    swap_col, swap_at = flat([x for _, x in swaps]) if swaps else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    others = ["someone", *sorted(names)[:2], "women", "foreigners"][:4]
+    identity = [any("identity" in kinds_of(w) for w in x) or not names.isdisjoint(x) for x in lines]
+    weight, active = prior.copy(), np.zeros(len(rows), bool)
     pull = np.full(size + 1, PULL_WORDS)
     pull[: len(NAMES)] = pull[size] = PULL
     pull *= max(1.0, 800 / len(labelled))  # few labels say little
-    score = lambda w: np.bincount(row, w[col], len(rows)) + w[size]
-    moment = np.zeros(size + 1)
-    first = score(prior)
-    for _ in range(ROUNDS):
-        # each document lends its label to its worst sentence, found anew each round; the others of it say nothing
-        s = score(weight)
+    # at first, what is told of a sentence is also how much more of the abusive documents hold its words
+    held = np.unique(doc[row] * (size + 1) + col)
+    with_, of = held % (size + 1), label[held // (size + 1)]
+    bad, good = np.bincount(with_[of], minlength=size + 1), np.bincount(with_[~of], minlength=size + 1)
+    odds = (np.log((bad + 0.5) / (label.sum() + 1)) - np.log((good + 0.5) / ((~label).sum() + 1))) * bad / (bad + SUPPORT)
+    first = np.bincount(row, odds[col], len(rows)) / np.bincount(row, minlength=len(rows))
+    for round_ in range(ROUNDS):
+        s = np.bincount(row, weight[col], len(rows)) + weight[size]
+        if not round_:
+            s += 4 * first
         order = np.lexsort((s, doc))
-        worst = np.zeros(len(rows), bool)
-        worst[order[np.append(np.flatnonzero(np.diff(doc[order])), len(order) - 1)]] = True
-        bad = label[doc] > 0.5
-        target = (bad & worst).astype(float)
-        # labels are sometimes wrong: one that the fixed weights contradict strongly counts little
-        trust = np.where(bad & (first < -3) | ~bad & (first > 2), 0.1, 1.0) * worst
-        trust = trust / max(1.0, trust.sum()) * len(labelled)
+        worst = order[np.append(np.flatnonzero(np.diff(doc[order])), len(order) - 1)]
+        active[label[doc]] = False
+        active[worst] = True
+        use = np.flatnonzero(active)
+        y = label[doc[use]].astype(float)
+        trust = np.where(np.where(y > 0.5, -s[use], s[use]) > DOUBT, 0.1, 1.0) if round_ else np.ones(len(use))
+        a_col, a_row = flat([rows[i] for i in use])
+        # each sentence with an identity term once more for each other term in its place
+        swapped = [(k, np.unique(features(lines[i], known, names, o))) for k, i in enumerate(use) if identity[i] for o in others] if swap else []
+        at = np.array([k for k, _ in swapped], np.int64)
+        s_col, s_row = flat([x for _, x in swapped]) if swapped else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        moment = np.zeros(size + 1)
         for _ in range(STEPS):
-            s = score(weight)
-            p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            g = trust * (p - target)
-            grad = np.bincount(col, g[row], size + 1)
-            grad[size] = g.sum()
-            if len(swaps):
-                change = s[swap_row] - (np.bincount(swap_at, weight[swap_col], len(swaps)) + weight[size])
-                push = 2 * SWAP * change / len(swaps) * min(len(swaps), len(labelled)) * 0.05
-                own = np.zeros(len(rows))
-                np.add.at(own, swap_row, push)
-                grad += np.bincount(col, own[row], size + 1) - np.bincount(swap_col, push[swap_at], size + 1)
-            grad = grad / len(labelled) * 20 + pull * (weight - prior)
+            s = np.bincount(a_row, weight[a_col], len(use)) + weight[size]
+            g = trust * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y)
+            if swapped:
+                change = s[at] - np.bincount(s_row, weight[s_col], len(swapped)) - weight[size]
+                push = 2 * swap * change / len(others)
+                np.add.at(g, at, push)
+            grad = np.bincount(a_col, g[a_row], size + 1)
+            grad[size] = (g.sum() - push.sum()) if swapped else g.sum()
+            if swapped:
+                grad -= np.bincount(s_col, push[s_row], size + 1)
+            grad = grad / len(labelled) * SPEED + pull * (weight - prior)
             moment = 0.8 * moment + grad
-            weight -= RATE * 0.2 * moment
-    return weight
+            weight -= RATE * moment
+    return Model(weight, names)
 
 
-def score_text(text: str | None, weight: np.ndarray, known: dict[str, int]) -> float:
+def score_text(text: str | None, model: Model, known: dict[str, int]) -> float:
     """The score of a document: that of its worst sentence, from 0 to 1."""
     lines = [x for x in sentences(text) if x] if text else []
-    phrases = phrases_in(lines)
-    best = -30.0
-    for words in lines:
-        x = list(set(features(words, known, None, phrases)))
-        best = max(best, sum(map(weight.item, x)) + weight.item(-1))
-    return float(1 / (1 + np.exp(-best))) if best > -30 else 0.0
+    value, names = model.weight.item, model.names
+    bias = value(-1)
+    best = max((sum(map(value, set(features(words, known, names)))) for words in lines), default=None)
+    return 0.0 if best is None else float(1 / (1 + np.exp(-np.clip(best + bias, -30, 30))))
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list[tuple[str, float]]:
-    """At most bound labelled texts, by the least hash of doc_id."""
+def labelled_documents(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, size: int = LABELLED_BYTES) -> list[tuple[str, float]]:
+    """The labelled texts that are fitted: at most bound documents and size bytes of them, in order of the hash of doc_id."""
     own = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -379,16 +378,18 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, bound: int = LABELLED
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [(r["text"], float(r["y"] > 0.5)) for r in rows]
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= size // 16)).join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"])
+    # one task counts up the bytes of at most bound texts of at most a sixteenth of size
+    running = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = texts.withColumn("bytes", running).where(F.col("bytes") <= size).select("doc_id", "text", "y").collect()
+    return [(r["text"], float(r["y"] > 0.5)) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     """(doc_id, source, score) of every document."""
     spark = docs.sparkSession
     ship_package(spark)
-    weight = fit(labelled_documents(docs, labels, bound))
-    held = spark.sparkContext.broadcast(weight)
+    held = spark.sparkContext.broadcast(fit(labelled_documents(docs, labels, bound)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}

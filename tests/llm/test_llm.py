@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -329,17 +330,29 @@ def test_disguises(said):
 
 
 def test_sentences_without_listed_words_are_scored_and_trained_on():
-    fixed = abuse.fit([])
-    assert abuse.score_text("I will find you.", fixed, {}) >= 0.5 and abuse.score_text("Nobody will miss you.", fixed, {}) > abuse.score_text("Nobody will ask you.", fixed, {}) > 0
     bad, good = ["The glimworts took it again.", "Such glimworts, really."], ["The lanterns took it again.", "Such weather, really."]
-    weight = abuse.fit([(x, 1.0) for x in bad * 400] + [(x, 0.0) for x in good * 400])
-    assert abuse.score_text("We saw glimworts at the gate.", weight, {}) > 2 * abuse.score_text("We saw lanterns at the gate.", weight, {})
-
-
-def test_phrases_are_found_whatever_stands_before():
-    assert abuse.literals(r"\bgone (?:on )?now\b|\ba favou?r and\b") == ["gone ", "a favo"] and abuse.literals(r"\b(?:so|go)\b|gone") == []
-    lines = [["one", "more", "word", "and", "i"], ["never", "mind"], ["who", "iet", "this"]]
-    assert [k for k, p in enumerate(abuse._phrases()) if any(p.search(" ".join(x)) for x in lines)] == abuse.phrases_in(lines) != []
+    model = abuse.fit([(x, 1.0) for x in bad * 400] + [(x, 0.0) for x in good * 400])
+    assert abuse.score_text("We saw glimworts at the gate.", model, {}) > 2 * abuse.score_text("We saw lanterns at the gate.", model, {})
+
+
+def test_swapped_identities_keep_a_name_from_carrying_the_score():
+    # the name stands in abusive sentences alone: without the swap it is learnt as a sign of abuse
+    bad = [f"Throw the Kerrowi out of the {x}, they are {y}." for x in ("yard", "hall", "town", "club") for y in ("vermin", "filth", "liars", "dirt")]
+    good = [f"Bring the lanterns out of the {x}, they are {y}." for x in ("yard", "hall", "town", "club") for y in ("lit", "cold", "new", "old")]
+    data = [(x, 1.0) for x in bad * 20] + [(x, 0.0) for x in good * 20]
+    swapped, plain = abuse.fit(data), abuse.fit(data, 0.0)
+    said, other = "We met the Kerrowi at noon.", "We met the someone at noon."
+    assert abuse.plain_word("Kerrowi") in swapped.names
+    gap = lambda m: abs(np.log(abuse.score_text(said, m, {}) / abuse.score_text(other, m, {})))
+    assert gap(swapped) < gap(plain) / 2 and abuse.score_text(said, swapped, {}) < 0.5 < abuse.score_text(bad[0], swapped, {})
+
+
+def test_labelled_texts_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(40)] + [(99, "y" * 100), (100, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a", i % 2) for i in [*range(40), 99, 100]] + [(1, "b", 0), (2, "b", None)], "doc_id long, annotator string, toxic int")
+    assert len(abuse.labelled_documents(docs, labels)) == 40  # the tie and the null text are out
+    got = abuse.labelled_documents(docs, labels, 20, 640)
+    assert 0 < len(got) <= 20 and sum(len(t) for t, _ in got) <= 640 and max(len(t) for t, _ in got) <= 40
 
 
 def test_scores_of_odd_rows(spark):
