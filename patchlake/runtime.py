@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import weakref
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import _parse_datatype_string
 
-#: A side is broadcast only when its measured row count stays under this.
-BROADCAST_ROWS = 200_000
-#: Shared folder used only where the session names none (tests on one machine).
+#: A side is broadcast only when its measured rows and bytes stay under these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: A scan is dealt to all cores only when its plan's estimate stays under this.
+SPREAD_BYTES = 1 << 30
+#: Shared folder used only where the session names none and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/patchlake-checkpoints"
 
 _shipped: "weakref.WeakSet" = weakref.WeakSet()
 
 
-def local_session(app: str = "patchlake", cores: int | str = 8, memory: str = "12g") -> SparkSession:
+def local_session(app: str = "patchlake", cores: int | str = 8, memory: str = "12g", shared: str = f"file://{LOCAL_CHECKPOINTS}") -> SparkSession:
     """A session for one machine; on a cluster the caller brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -31,6 +36,7 @@ def local_session(app: str = "patchlake", cores: int | str = 8, memory: str = "1
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -55,9 +61,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one where the session has none."""
+    """The folder in spark.checkpoint.dir. Where there is none, a local one on one machine; a cluster must name one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = f"file://{LOCAL_CHECKPOINTS}"
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(folder)
@@ -105,14 +114,42 @@ def release(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when df has at most so many rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, the tables written in it: for sessions that run long, around each query and its write."""
+    app = spark.sparkContext.applicationId
+    before = len(_written.get(app, []))
+    try:
+        yield
+    finally:
+        mine = _written.get(app, [])[before:]
+        del _written.get(app, [])[before:]
+        for path in mine:
+            _remove(spark, path)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and binaries by their length, nested columns by that of their JSON, others 8."""
+    sizes = [F.lit(16)]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(f.name), F.lit(0)) + 8)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    return sum(sizes[1:], sizes[0])
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when df has at most so many rows and bytes; reads no more than that many rows."""
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
+    return got["n"] <= rows and got["b"] <= size
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the measured side is small; otherwise the join stays a shuffle join."""
-    return F.broadcast(df) if small(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint where the side was measured to be small; otherwise the join stays a shuffle join."""
+    return F.broadcast(df) if small(df, rows, size) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,9 +196,10 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[l
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer parts than there are cores, dealt to as many as there are; larger scans stay as they are."""
+    """A small scan of fewer parts than there are cores, dealt to as many as there are; larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def once(df: DataFrame, key: str, delivered: str) -> DataFrame:

@@ -8,10 +8,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from patchlake.runtime import local_session, release
 
-    session = local_session("tests", 4, "4g")
+    session = local_session("tests", 4, "4g", shared=f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
