@@ -198,7 +198,7 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[l
 def spread(df: DataFrame) -> DataFrame:
     """A small scan of fewer parts than there are cores, dealt to as many as there are; larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
