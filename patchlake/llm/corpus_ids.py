@@ -3,7 +3,8 @@
 Method: texts are split into pre-tokens with their positions; the positions of one batch of texts are kept as codes into the
 batch's own list of distinct words, so that a word crosses the network once per batch however often it stands there; the
 distinct words of all batches meet in one global shuffle and each is encoded once; the ids return to the batches by a join on
-the word, and the codes put them back in position. A word occurs at most once per batch, so that no word is a hot key.
+the word, and the codes put them back in position. A word occurs at most once per batch; words that stand in a large share of all
+batches, of which there are few, return by broadcast, so that no word is a hot key of the join.
 
 Defined results: a null or empty text has an empty list; a string of a special token is ordinary text; a doc_id delivered
 more than once has one row (any of its copies, which TESTDATA gives as equal); extra columns are ignored; an empty table
@@ -13,6 +14,7 @@ gives an empty result; texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlake.runtime import materialize, ship_package
+from patchlake.runtime import materialize, ship_package, small
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text in one batch; a longer text is a batch of its own.
 BATCH_CHARS = 600_000
+#: A word that stands in more than one of so many batches is hot; the first share whose words fit a broadcast is taken.
+HOT, HOT_ROWS, HOT_BYTES = (64, 16, 4), 400_000, 24 << 20
 #: The split pattern of the vocabulary is public_tokenizers.PATTERN; these are its contractions.
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 
@@ -195,26 +199,27 @@ def word_batches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return materialize(plain.mapInArrow(_batches, BATCHES), "word_batches")
 
 
-def _encoder(ranks: dict[bytes, int]):
+def _encode(held, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n, ids) of rows (word, n); the encoder is built once for each worker and vocabulary."""
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})
+    text = held.value
+    key = ("encoder", hash(text))
+    if key not in _state:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, text.splitlines())}
+        _state[key] = tiktoken.Encoding("own", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})
+    piece = _state[key]._encode_single_piece
+    for rb in rows:
+        ids = [piece(w.encode("utf-8", "surrogatepass")) for w in rb.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) for rows (word), each encoded once. The vocabulary is of fixed size and goes to the workers whole."""
+    """(word, n, ids) for rows (word, n), each encoded once. The vocabulary is of fixed size and goes to the workers whole."""
     with open(path, "rb") as f:
         held = words.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "encoder" not in _state:
-            _state["encoder"] = _encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())})
-        piece = _state["encoder"]._encode_single_piece
-        for rb in rows:
-            ids = [piece(w.encode("utf-8", "surrogatepass")) for w in rb.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+    # a function of the module, so that what it keeps outlives its task
+    return words.select("word", "n").mapInArrow(functools.partial(_encode, held), "word string, n long, ids array<int>")
 
 
 def _assemble(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,14 +257,23 @@ def encode_corpus(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     """(doc_id, ids) of every document by the vocabulary at path."""
     path = path or vocabulary_path()
     batches = word_batches(docs, key, text)
-    words = batches.select(F.explode("words").alias("word")).distinct()
-    ids = encode_words(words, path)
-    entries = (
-        batches.select("batch", F.posexplode("words").alias("pos", "word"))
-        .join(ids, "word")
-        .groupBy("batch")
-        .agg(F.collect_list(F.struct("pos", "ids")).alias("entries"))
-    )
+    every = batches.count()
+    words = batches.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    ids = materialize(encode_words(words, path), "word_ids")
+    entries = batches.select("batch", F.posexplode("words").alias("pos", "word"))
+    # What stands in more than one of so many batches: at most that many times the words of a batch, whatever the corpus. These
+    # words go to the batches by broadcast; a word of the rest has entries in few batches alone.
+    met, rest, left = [], ids, entries
+    for share in HOT:
+        often = F.col("n") > every / share
+        held = ids.where(often).select("word", "ids")
+        if small(held, HOT_ROWS, HOT_BYTES):
+            met, rest = [entries.join(F.broadcast(held), "word")], ids.where(~often)
+            left = entries.join(F.broadcast(held), "word", "left_anti")
+            break
+    met.append(left.join(rest.select("word", "ids"), "word"))
+    met = functools.reduce(DataFrame.unionByName, met)
+    entries = met.groupBy("batch").agg(F.collect_list(F.struct("pos", "ids")).alias("entries"))
     # a doc_id in two batches stays in the first
     owner = batches.select("batch", F.explode("doc_ids").alias("doc_id")).groupBy("doc_id").agg(
         F.count("*").alias("n"), F.min("batch").alias("keep"), F.collect_set("batch").alias("held")

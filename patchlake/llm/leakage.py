@@ -7,8 +7,9 @@ every stretch of an item that a match must cover, the rarest shingles of five wo
 only where it holds one of them, at a place that lengths and positions allow. Around each such place a stretch of the document
 as long as the item is compared with the item word by word, and words that differ by a misread character still agree.
 
-The items' prefixes go to the workers whole only when they are counted to be few (ITEM_SHINGLES, a bound, not a sample);
-beyond it the shingles of the documents meet them in a shuffle join.
+Scale: rarity is counted over the items, in a shuffle. A bitmap of the prefixes, of fixed size whatever their number, goes to the
+workers; the shingles of documents that pass it meet the prefixes, and then the words of their items, by broadcast where rows
+and bytes of that side were measured to be small, else by shuffle joins over salted keys.
 
 Defined results: null and empty texts carry nothing; items under LEAST words can't be carried; a document or an item delivered
 again counts once; texts of any length are read whole, in the order of the text; extra columns are ignored.
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.llm.abuse import repaired
-from patchlake.runtime import ship_package, small
+from patchlake.runtime import by_group, materialize, ship_package, small
 
 #: Consecutive words of an item that make a case, and words of a shingle.
 LEAST, SHINGLE = 12, 5
 #: Words of a stretch that misreading may spoil beyond what folding repairs, without losing the stretch.
 SPOILT = 1
-ITEM_SHINGLES = 2_000_000
+#: Ranges of the bitmap of shingles, and parts of a hot key where a side is too large for a broadcast.
+SEGMENTS, SALTS = 64, 8
 
 TIME_LINE = re.compile(r"^[^\n]*-->[^\n]*$", re.MULTILINE)
 NUMBER_LINE = re.compile(r"^[ \t﻿]*\d+[ \t]*$", re.MULTILINE)
@@ -153,34 +155,66 @@ def item_words(text: str | None) -> list[str]:
     return out
 
 
-def prefixes(items: list[tuple[int, str | None]]) -> list[tuple[int, int, int, list[str]]]:
-    """(item, place, hash, words) of the shingles that a match of LEAST words can't avoid.
+def shingled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, words, shingles) of the items long enough for a match."""
+    known: dict[str, int] = {}
+    for rb in rows:
+        out = []
+        for item, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            whole = item_words(text)
+            words = [w for w in whole if w]
+            if len(whole) >= LEAST and len(words) >= SHINGLE:
+                out.append((item, words, hashes(words, known).tolist()))
+        columns = list(zip(*out)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.string())), pa.array(columns[2], pa.list_(pa.int64()))], ["item_id", "words", "shingles"])
+
+
+def chosen(rows: list[tuple]) -> list[tuple]:
+    """(item, place, shingle) of the shingles of an item that a match of LEAST words can't avoid; rows: item, place, shingle, count.
 
     A match covers LEAST - SHINGLE + 1 shingles in a row, of which SPOILT spoilt words leave at least the rest whole; that many
     less one may be left out of each stretch, the commonest first. Places are among the words that folding leaves.
     """
-    known: dict[str, int] = {}
-    rows = []
-    for item, text in items:
-        whole = item_words(text)
-        words = [w for w in whole if w]
-        if len(whole) >= LEAST:
-            rows.append((item, words, hashes(words, known)))
-    count: dict[int, int] = {}
-    for _, _, h in rows:
-        for x in set(h.tolist()):
-            count[x] = count.get(x, 0) + 1
-    out = []
     span = LEAST - SHINGLE + 1
-    for item, words, h in rows:
-        h = h.tolist()
-        keep: set[int] = set()
-        left = max(1, span - SPOILT * SHINGLE)
-        for a in range(max(1, len(h) - span + 1)):
-            stretch = sorted(range(a, min(len(h), a + span)), key=lambda k: (count[h[k]], h[k]))
-            keep.update(stretch[: max(1, len(stretch) - left + 1)])
-        out += [(item, k, h[k], words) for k in sorted(keep)]
-    return out
+    left = max(1, span - SPOILT * SHINGLE)
+    keep: set[int] = set()
+    for a in range(max(1, len(rows) - span + 1)):
+        stretch = sorted(range(a, min(len(rows), a + span)), key=lambda k: (rows[k][3], rows[k][2]))
+        keep.update(stretch[: max(1, len(stretch) - left + 1)])
+    return [rows[k][:3] for k in sorted(keep)]
+
+
+def prefixes(held: DataFrame) -> DataFrame:
+    """(item_id, place, shingle): the rarest shingles of each stretch of each item, rarity counted over all items."""
+    places = held.select("item_id", F.posexplode("shingles").alias("place", "shingle"))
+    counts = held.select("item_id", F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    rows = places.join(counts, "shingle").select("item_id", "place", "shingle", "n")
+    return by_group(rows, ["item_id"], ["place"], chosen, "item_id long, place int, shingle long")
+
+
+def bitmap(prefix: DataFrame, count: int) -> np.ndarray:
+    """A bit for each remainder of a shingle: 2 ** 16 to 2 ** 27 bits, whatever the number of shingles.
+
+    Each task sets the bits of one of SEGMENTS ranges; the driver joins the ranges, 16 MB at most.
+    """
+    bits = min(27, max(16, (64 * max(1, count)).bit_length()))
+    each = (1 << bits) // SEGMENTS
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for rb in rows:
+            at = rb.column(1).to_numpy()
+            for seg in np.unique(rb.column(0).to_numpy()).tolist():
+                own = made.setdefault(seg, np.zeros(each, np.uint8))
+                own[at[rb.column(0).to_numpy() == seg] % each] = 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([np.packbits(x).tobytes() for x in made.values()], pa.binary())], ["seg", "bits"])
+
+    at = F.pmod("shingle", F.lit(1 << bits))
+    rows = prefix.select(F.floor(at / each).alias("seg"), at.alias("at")).distinct().repartition(SEGMENTS, "seg").mapInArrow(run, "seg long, bits binary").collect()
+    out = np.zeros((SEGMENTS, each // 8), np.uint8)
+    for r in rows:
+        out[r["seg"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
 def carried(words: list[str], at: int, item: list[str], place: int) -> int:
@@ -207,61 +241,38 @@ def carried(words: list[str], at: int, item: list[str], place: int) -> int:
     return SHINGLE + extend(at + SHINGLE, place + SHINGLE, 1) + extend(at - 1, place - 1, -1)
 
 
-def carriers(docs: DataFrame, items: DataFrame, bound: int = ITEM_SHINGLES) -> DataFrame:
+def carriers(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, words): the longest stretch of each item that each document carries, of LEAST words or more."""
     spark = docs.sparkSession
     ship_package(spark)
-    item_schema = "item_id long, place int, shingle long, words array<string>"
-
-    def of_items(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [(i, t) for rb in rows for i, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist())]
-        out = prefixes(every)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.list_(pa.string()))],
-            ["item_id", "place", "shingle", "words"],
-        )
-
-    # rarity is a count over all items: held-out sets are bounded, and are read by one task for it
     plain = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id"])
-    prefix = plain.coalesce(1).mapInArrow(of_items, item_schema)
-    few = small(prefix.select("shingle"), bound)
-    held = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in prefix.select("shingle").collect()], np.int64)) if few else None)
-    longest = max(LEAST, prefix.agg(F.max(F.size("words"))).first()[0] or 0) + LEAST
+    held = materialize(plain.mapInArrow(shingled, "item_id long, words array<string>, shingles array<long>"), "items")
+    prefix = materialize(prefixes(held), "prefixes")
+    bits = spark.sparkContext.broadcast(bitmap(prefix, prefix.count()))
+    longest = max(LEAST, held.agg(F.max(F.size("words"))).first()[0] or 0) + LEAST
 
     def of_docs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known = held.value, {}
+        wanted, known = bits.value, {}
+        last = np.int64(8 * len(wanted) - 1)
         for rb in rows:
-            ids, ats, prints, firsts, around = [], [], [], [], []
+            ids, ats, prints, around = [], [], [], []
             for i, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
                 if not text:
                     continue
                 words = folded(text)
                 h = hashes(words, known)
-                if wanted is not None and len(h):
-                    where = np.searchsorted(wanted, h)
-                    hits = np.flatnonzero(wanted[np.minimum(where, len(wanted) - 1)] == h) if len(wanted) else []
-                else:
-                    hits = range(len(h))
-                last = {}
-                for k in hits:
-                    k, x = int(k), int(h[k])
-                    if x in last and k - last[x] < 1:
-                        continue
-                    last[x] = k
+                at = h & last
+                for k in np.flatnonzero((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).tolist():
                     a = max(0, k - longest)
                     ids.append(i)
                     ats.append(k - a)
-                    prints.append(x)
-                    firsts.append(a)
+                    prints.append(int(h[k]))
                     around.append(words[a : k + longest])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(prints, pa.int64()), pa.array(firsts, pa.int32()), pa.array(around, pa.list_(pa.string()))],
-                ["doc_id", "at", "shingle", "first", "around"],
-            )
-
-    places = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of_docs, "doc_id long, at int, shingle long, first int, around array<string>")
-    side = F.broadcast(prefix) if few else prefix
-    met = places.join(side, "shingle")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(prints, pa.int64()), pa.array(around, pa.list_(pa.string()))], ["doc_id", "at", "shingle", "around"])
+
+    places = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of_docs, "doc_id long, at int, shingle long, around array<string>")
+    met = _met(places, prefix, "shingle")
+    words = held.select("item_id", "words")
     # a match needs LEAST words: the place must leave room for them on both sides together
     room = F.least("at", "place") + F.least(F.size("around") - F.col("at"), F.size("words") - F.col("place")) >= LEAST - 3
 
@@ -271,10 +282,18 @@ def carriers(docs: DataFrame, items: DataFrame, bound: int = ITEM_SHINGLES) -> D
             n = [carried(w, a, x, p) for a, p, w, x in zip(at, place, around, words)]
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(n, pa.int32())], ["doc_id", "item_id", "words"])
 
-    checked = met.where(room).select("doc_id", "item_id", "at", "place", "around", "words").mapInArrow(verify, "doc_id long, item_id long, words int")
+    checked = _met(met, words, "item_id").where(room).select("doc_id", "item_id", "at", "place", "around", "words").mapInArrow(verify, "doc_id long, item_id long, words int")
     return checked.where(F.col("words") >= LEAST).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 
+def _met(many: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """The join on key: by broadcast where side was measured to be small, else with a hot key of many dealt over SALTS."""
+    if small(side):
+        return many.join(F.broadcast(side), key)
+    salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     return carriers(docs, items).select("doc_id", "item_id")
 
