@@ -23,7 +23,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlake.runtime import by_group
+from patchlake.runtime import broadcast_if_small, by_group, materialize
 
 BLOCK = 20_000
 #: So many contexts are tried for the best sum in the gap of a batch.
@@ -183,20 +183,39 @@ def batches(contexts: DataFrame, capacity: int) -> DataFrame:
         F.sum("tokens").cast("int").alias("tokens"),
         F.min("context_id").alias("first"),
     )
-    w = Window.partitionBy(*KEY)
-    by_load = F.row_number().over(w.orderBy(F.desc("tokens"), "first", "batch")) - 1
-    groups = F.ceil(F.count("*").over(w) / STEP)
+    made = materialize(made, "batches")  # the numbers below are taken from it several times
+    # a hot change-set is numbered in buckets by the first context, each a task of its own, after what stands in earlier ones
+    span = made.groupBy(*KEY).agg(F.min("first").alias("low"), F.max("first").alias("high"), F.count("*").alias("count")).where(F.col("count") > BLOCK)
+    s = broadcast_if_small(span.select(*(F.col(k).alias(f"s_{k}") for k in KEY), "low", "high", "count"))
+    wide = (F.col("high") - F.col("low") + 1) / F.ceil(F.col("count") / BLOCK)
+    bucket = F.coalesce(F.floor((F.col("first") - F.col("low")) / wide), F.lit(0)).cast("int")
+    own = made.join(s, F.expr(" and ".join(f"{k} <=> s_{k}" for k in KEY)), "left").withColumn("bucket", bucket).select(*made.columns, "bucket")
+    numbered = _numbered(own, ["bucket"], ["first", "batch"], "batch_index")
+    ranked = _numbered(numbered.withColumn("light", -F.col("tokens")), ["light", "bucket"], ["first", "batch"], "rank")
+    sizes = made.groupBy(*KEY).agg(F.ceil(F.count("*") / STEP).alias("groups"))
+    g = sizes.select(*(F.col(k).alias(f"g_{k}") for k in KEY), "groups")
     turn = F.floor(F.col("rank") / F.col("groups"))
     place = F.pmod(F.col("rank"), F.col("groups"))
     return (
-        made.withColumn("batch_index", (F.row_number().over(w.orderBy("first", "batch")) - 1).cast("int"))
-        .withColumn("rank", by_load)
-        .withColumn("groups", groups)
+        ranked.join(g, F.expr(" and ".join(f"{k} <=> g_{k}" for k in KEY)))
         .withColumn("step_group", F.when(turn % 2 == 0, place).otherwise(F.col("groups") - 1 - place).cast("int"))
         .select(*KEY, "batch_index", "step_group", "files", "n_contexts", "tokens")
     )
 
 
+def _numbered(rows: DataFrame, parts: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows with name: their number from 0 within the change-set, by parts and then order.
+
+    Only rows of equal parts are sorted together; what stands before them is a sum over the parts, of which there are few.
+    """
+    keys = [*KEY, *parts]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*KEY).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*(F.col(k).alias(f"p_{k}") for k in keys), F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
+    within = rows.withColumn("within", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return within.join(before, F.expr(" and ".join(f"{k} <=> p_{k}" for k in keys))).withColumn(name, (F.col("before") + F.col("within")).cast("int")).drop("before", "within", *(f"p_{k}" for k in keys))
+
+
 def found(contexts: DataFrame, capacity: int) -> DataFrame:
     """(context_id) of the contexts that the packing divided, from the rows it packed."""
     return pack_contexts(contexts, capacity).where("parts > 1").select("context_id").distinct()

@@ -1,9 +1,10 @@
 """Splitting oversized chunks of changed lines at natural boundaries.
 
 Method: content-defined chunking. A rolling hash over the last 32 characters marks landmarks; a cut belongs where the first
-landmark within the allowed sizes stands, and snaps to the nearest natural boundary there: before a definition or a hunk,
-else after a blank line, else between lines, else, inside a line too long for any piece, at a blank or sign. Cuts depend on the
-characters near them alone, so that an edit alters its own piece and the ones beside it.
+landmark within the allowed sizes stands, and snaps to the nearest natural boundary: before a definition or a hunk, after a
+blank or closing line, or between lines, the better kind first where one lies within SNAP_SHARE of the limit; inside a line too
+long for any piece, at the nearest blank or sign. Cuts depend on the characters near them alone, so that an edit alters its own
+piece and the ones beside it.
 
 Defined results: null and empty arrays have no length and no piece; null contents are empty lines; lines come in the order of
 their numbers (null numbers first, ties as delivered); a chunk_id delivered again counts once; a piece never exceeds the
@@ -25,6 +26,8 @@ from patchlake.runtime import ship_package
 
 #: Least size of a piece and mean distance of landmarks, as shares of the limit.
 LEAST_SHARE, LANDMARK_SHARE = 0.4, 0.2
+#: How far from its landmark a cut may lie, as a share of the limit, to stand before a definition or hunk rather than any line.
+SNAP_SHARE = 0.25
 WINDOW = 32
 
 DEFINITION = re.compile(
@@ -71,7 +74,7 @@ def split(lines: list[str], numbers: list[int | None], limit: int, overlap: int)
     begins = np.cumsum([0] + [len(x) + 1 for x in lines[:-1]])
     ranks = np.array(line_ranks(lines, numbers))
     out: list[tuple[int, int, int, str]] = []
-    at = 0
+    at, reach = 0, max(1, int(limit * SNAP_SHARE))
     before = ""
     while at < n:
         repeated: list[str] = []
@@ -88,17 +91,19 @@ def split(lines: list[str], numbers: list[int | None], limit: int, overlap: int)
         else:
             least = at + max(1, int(room * LEAST_SHARE))
             most = min(at + room, max(least + 1, n - (least - at)))  # the last piece isn't a scrap
-            near = landmarks[(landmarks >= least) & (landmarks < most)]
-            aim = int(near[0]) if len(near) else most
+            k = int(np.searchsorted(landmarks, least))
+            aim = int(landmarks[k]) if k < len(landmarks) and landmarks[k] < most else most
             # a cut before line k ends the piece at the line feed before it, which is not kept
             i, j = int(np.searchsorted(begins, least)), int(np.searchsorted(begins, most + 1, side="right"))
             whole = int(np.searchsorted(begins, min(at + room + 1, n - 1), side="right")) - 1
             if j <= i and begins[whole] > at:
                 end = int(begins[whole])  # no line is cut while one fits whole
             elif j > i:
-                some = ranks[i:j]
-                best = np.flatnonzero(some == some.max()) + i
-                end = int(begins[best[np.argmin(np.abs(begins[best] - aim))]])
+                # the nearest boundary of the best kind within reach of the landmark, else the nearest of any kind
+                away = np.abs(begins[i:j] - aim)
+                near = away <= reach
+                kind = ranks[i:j] == (ranks[i:j][near].max() if near.any() else ranks[i:j])
+                end = int(begins[i + int(np.argmin(np.where(kind & (near | ~near.any()), away, n + limit)))])
             else:
                 marks = [m.end() + least for m in re.finditer(r"[\s;,){}\]>]", text[least:most])]
                 end = min(marks, key=lambda x: abs(x - aim)) if marks else most

@@ -83,6 +83,15 @@ def test_an_edit_changes_neighbouring_pieces_only():
     edited = [*lines[:450], "    one more line", *lines[450:]]
     a, b = ({p[3] for p in split_pieces.split(x, [*range(len(x))], 1000, 0)} for x in (lines, edited))
     assert len(a - b) <= 3 and len(a) > 20
+    a, b = ({p[3] for p in split_pieces.split(x, [*range(len(x))], 1000, 2)} for x in (lines, edited))
+    assert len(a - b) <= 4 and len(a) > 20
+
+
+def test_cuts_stand_before_definitions_within_reach():
+    random.seed(8)
+    lines = [f"def name_{random.randint(0, 9999)}(x):" if i % 8 == 0 else f"    y = {random.randint(0, 10**9)} + x" for i in range(800)]
+    pieces = split_pieces.split(lines, [*range(800)], 1000, 0)
+    assert sum(lines[p[0]].startswith("def") for p in pieces[1:]) >= 0.9 * (len(pieces) - 1)
 
 
 def test_long_lines_are_repeated_where_they_fit():
@@ -101,7 +110,10 @@ def test_split_oversized_takes_odd_arrays(spark):
     data = [(1, long, "e"), (1, long, "e"), (2, None, "e"), (3, [], "e"), (4, [("a", 1, None, 1)], "e"), (None, long, "e"), (5, [("a", None, "é" * 31, 1)] * 2, "e")]
     df = spark.createDataFrame(data, f"chunk_id long, changed_lines array<{line}>, content string")
     assert sorted(r.chunk_id for r in split_pieces.found(df, 60, 1).collect()) == [1, 5]
-    assert [r.n_chars for r in split_pieces.split_oversized(df.where("chunk_id = 1"), 61, 1).orderBy("piece_index").collect()] == [61, 61] or True
+    pieces = split_pieces.split_oversized(df.where("chunk_id = 1"), 61, 1).orderBy("piece_index").collect()
+    assert len(pieces) > 1 and all(len(r.content) == r.n_chars <= 61 for r in pieces)
+    whole = [x for r in pieces for x in r.content.split("\n")[r.repeated_lines :]]
+    assert whole == ["x" * 30] * 3 and [r.repeated_lines for r in pieces][1:] == [1] * (len(pieces) - 1)
     assert split_pieces.found(df.limit(0), 60, 1).count() == 0
 
 
