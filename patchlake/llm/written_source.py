@@ -2,9 +2,10 @@
 
 Method: winnowing. The token stream of a patch (the new and the kept lines, without comments, in lower case) is hashed in runs of
 RUN tokens, and the least hash of every WINDOW neighbours is kept as a fingerprint; a file is a vendored copy where at least
-SHARE of its fingerprints recur in REPOSITORIES or more unrelated repositories. Recurrence alone can't tell files of a tool's
-making or a copy that stands in one repository, so that the origin that a path or the text itself states is read beside it:
-marks of a generator or of foreign authors in comments, minified or bundled lines, tables of data, recorded output.
+SHARE of its fingerprints recur in REPOSITORIES or more unrelated repositories. A text too short for LEAST_PRINTS has the hash of
+all its tokens (SHORT at least) for a fingerprint. Recurrence alone can't tell files of a tool's making or a copy that stands in
+one repository, so that the origin that a path or the text itself states is read beside it: marks of a generator or of foreign
+authors in comments, minified or bundled lines, tables of data, recorded output.
 
 Scale: fingerprints are counted in two steps (distinct repositories, then their number), so that the counts of a fingerprint
 that stands in a third of all files are combined before the shuffle; only fingerprints of recurring kind return to the files,
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.runtime import materialize, ship_package
+from patchlake.runtime import broadcast_if_small, materialize, ship_package
 
 RUN, WINDOW = 50, 16
 SHARE, REPOSITORIES, LEAST_PRINTS = 0.8, 4, 8
+#: A text of fewer prints, but of so many tokens, has one: the hash of all its tokens.
+SHORT = 24
 SALTS = 8
 
 #: Names of lock files.
@@ -182,7 +185,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(patch: str | None, run: int = RUN, window: int = WINDOW) -> np.ndarray:
-    """The winnowed fingerprints of a patch's new and kept lines (of its old ones, where it has no others)."""
+    """The winnowed fingerprints of a patch's new and kept lines (of its old ones, where it has no others).
+
+    Where there are fewer than LEAST_PRINTS, the one fingerprint is of the whole stream, so that short copies count if exact.
+    """
     kept, old = [], []
     for raw in (patch or "").split("\n"):
         if raw[:1] in "+ " and not raw.startswith("+++"):
@@ -191,10 +197,12 @@ def fingerprints(patch: str | None, run: int = RUN, window: int = WINDOW) -> np.
             old.append(raw[1:])
     words = _words.findall(_notes.sub(" ", "\n".join(kept or old)).lower())
     n = len(words) - run + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
     import xxhash
 
+    whole = np.array([xxhash.xxh64_intdigest("\0".join(words))], np.uint64).view(np.int64) if len(words) >= SHORT else np.zeros(0, np.int64)
+    if n < 1:
+        return whole
+
     if len(_known) > 500_000:
         _known.clear()
     try:
@@ -215,7 +223,8 @@ def fingerprints(patch: str | None, run: int = RUN, window: int = WINDOW) -> np.
         step = min(size, window - size)
         least = np.minimum(least[:-step], least[step:])
         size += step
-    return np.unique(least).view(np.int64)
+    prints = np.unique(least).view(np.int64)
+    return prints if len(prints) >= LEAST_PRINTS else whole
 
 
 def evidence(files: DataFrame) -> DataFrame:
@@ -236,9 +245,17 @@ def evidence(files: DataFrame) -> DataFrame:
 
 
 def recurring(table: DataFrame) -> DataFrame:
-    """(print): the fingerprints of REPOSITORIES or more repositories."""
+    """(print): the fingerprints of REPOSITORIES or more unrelated repositories.
+
+    Forks bear one name under several owners, and an owner's repositories are related: both owners and names must be as many.
+    They are counted for the fingerprints alone that recur at all.
+    """
     pairs = table.select("repository", F.explode("prints").alias("print")).distinct()
-    return pairs.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= REPOSITORIES).select("print")
+    often = materialize(pairs.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= REPOSITORIES).select("print"), "recurring")
+    owner, name = F.substring_index("repository", "/", 1), F.substring_index("repository", "/", -1)
+    both = table.select("repository", F.explode("prints").alias("print")).join(broadcast_if_small(often), "print").select("print", owner.alias("owner"), name.alias("name")).distinct()
+    counts = both.groupBy("print").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("name").alias("names"))
+    return counts.where(F.least("owners", "names") >= REPOSITORIES).select("print")
 
 
 def unwritten(files: DataFrame) -> DataFrame:
@@ -247,7 +264,7 @@ def unwritten(files: DataFrame) -> DataFrame:
     own = table.where("own is not null").groupBy("file_id").agg(F.min("own").alias("reason"))
     # a fingerprint may stand in a third of all files: both sides are spread by a salt of the file
     shared = recurring(table).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    unsaid = table.where(F.col("own").isNull() & (F.size("prints") >= LEAST_PRINTS))
+    unsaid = table.where(F.col("own").isNull() & (F.size("prints") > 0))
     prints = unsaid.select("file_id", F.size("prints").alias("n"), F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("prints").alias("print"))
     copies = (
         prints.join(shared, ["print", "salt"])

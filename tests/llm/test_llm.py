@@ -48,6 +48,40 @@ def test_unwritten_by_path_text_and_recurrence(spark):
     assert written_source.found(spark.createDataFrame([], FILE)).count() == 0
 
 
+def test_recall_and_precision_of_winnowing_on_constructed_repositories(spark):
+    """30 libraries copied to six repositories each, some lines edited; short files; two projects with forks; own files."""
+    random.seed(11)
+    names = [f"n{i}" for i in range(4000)]
+
+    def body(lines):
+        return [f"+{random.choice(names)} = {random.choice(names)}({random.choice(names)}, {random.randint(0, 999)}) + {random.choice(names)}.{random.choice(names)}" for _ in range(lines)]
+
+    data, copied = [], set()
+
+    def put(repository, lines, copy):
+        data.append((len(data), repository, f"src/f{len(data)}.py", "\n".join(lines), "x"))
+        if copy:
+            copied.add(len(data) - 1)
+
+    for k in range(30):
+        library = body(3 if k % 6 == 0 else random.randint(60, 200))
+        for r in random.sample(range(40), 6):
+            lines = list(library)
+            for at in random.sample(range(len(lines)), len(lines) // 100):
+                lines[at] = body(1)[0]
+            put(f"own{r}/name{r}", lines, True)
+    for p in range(2):
+        project = [body(80) for _ in range(10)]
+        for fork in range(6):
+            for lines in project:
+                put(f"forker{fork}/project{p}", lines, False)
+    for r in range(40):
+        for _ in range(6):
+            put(f"own{r}/name{r}", body(random.randint(2, 120)), False)
+    found = {r.file_id for r in written_source.unwritten(spark.createDataFrame(data, FILE)).collect() if r.reason == "recurring copy"}
+    assert len(found & copied) / len(copied) >= 0.95 and found <= copied
+
+
 def test_fingerprints_find_a_shared_run_wherever_it_stands():
     a, b = written_source.fingerprints(CODE), written_source.fingerprints("+first = 1\n+second()\n" + CODE + "\n+last")
     assert len(a) > 20 and len(set(a.tolist()) & set(b.tolist())) >= len(a) - 1
