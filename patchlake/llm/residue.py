@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from re import _constants as sre
 from re import _parser
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ STARTS = (
 )
 SENTENCE_END = re.compile(r"(?<=[.!?;])\s+|\s*[\r\n]+\s*|\s+-\s+(?=\S)|(?<=[^\s,:(\"'])\s+(?=(?:" + STARTS + r")\b)")
 
+#: Words of filler text.
+LATIN = "lorem|ipsum|dolor|sit|amet|elit|massa|augue|porta|quis|sodales|velit|vitae|tempor|semper|magna|nulla|ligula|pretium|rutrum|sed|eiusmod|incididunt|labore|aliqua|enim|minim|veniam|nostrud|consectetur|adipiscing"
 #: Evidence by kind, as patterns over a sentence without quoted code.
 EVIDENCE = {
     "placeholder": (
@@ -53,7 +56,7 @@ EVIDENCE = {
     "filler": (
         r"(?i)\b(?:lorem ipsum dolor|ipsum dolor sit|dolor sit amet|consectetur adipiscing)\b",
         r"(?i)\b(?:asdf|qwerty\s+qwerty|blah\s+blah|foo\s+bar\s+baz|test\s+test\s+test|xxx\s+xxx)\b",
-        r"(?i)(?:\W*\b(?:lorem|ipsum|dolor|sit|amet|elit|massa|augue|porta|quis|sodales|velit|vitae|tempor|semper|magna|nulla|ligula|pretium|rutrum|sed|eiusmod|incididunt|labore|aliqua|enim|minim|veniam|nostrud|consectetur|adipiscing)\b){4,}",
+        rf"(?i)\b(?:{LATIN})(?:\W+(?:{LATIN})){{3}}\b",
     ),
     "stub": (
         r"(?i)^\W*(?:todo|tbd|fixme|xxx)\b\W*(?:$|(?:write|add|fill|describe|explain|complete|insert|replace|finish|provide)\b)",
@@ -135,7 +138,18 @@ def needed(pattern: str) -> list[tuple[str, ...]]:
 
 
 #: Of each pattern in turn: its kind, itself, and the sets of literals it needs.
-RULES = [(kind, p, needed(p.pattern)) for kind, patterns in COMPILED.items() for p in patterns]
+RULES = [(kind, p, [frozenset(x) for x in dict.fromkeys(needed(p.pattern))]) for kind, patterns in COMPILED.items() for p in patterns]
+
+
+def _literals() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for x in sorted({x for _, _, sets in RULES for some in sets for x in some}):
+        a.add_word(x, x)
+    a.make_automaton()
+    return a
+
+
+LITERALS = _literals()
 
 
 def evident(field: str, text: str | None) -> list[tuple[str, str]]:
@@ -144,8 +158,8 @@ def evident(field: str, text: str | None) -> list[tuple[str, str]]:
         return []
     if field == "rule" and RULE_RESIDUE.match(text):
         return [("placeholder", text.strip())]
-    low = text.lower()
-    tried = [(kind, p) for kind, p, sets in RULES if all(any(x in low for x in some) for some in sets)]
+    held = {x for _, x in LITERALS.iter(text.lower())}
+    tried = [(kind, p) for kind, p, sets in RULES if not any(map(held.isdisjoint, sets))] if held else []
     if not tried:
         return []
     whole = [text] if field == "rule" else SENTENCE_END.split(QUOTED.sub("\x01", text))
