@@ -1,20 +1,27 @@
 """Patches as rows: added lines, hunks and counts, without a shuffle.
 
-Every function works within the row of its file: the kind of each line is one character of a string, and numbers of lines are
-counts over the part of that string since the last hunk header.
+Lines of a batch of patches are walked as arrays: kinds of lines, the last header before each, and running counts since it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from patchlake.functions.paths import split_lines
+from patchlake.runtime import ship_package
 
 HEADER = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 #: Any character that isn't white space.
 NOT_BLANK = r"[^\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-HEADER_PARTS = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+#: The same for all four numbers, by name.
+HUNK = r"^@@ -(?P<a>\d+)(?:,(?P<b>\d+))? \+(?P<c>\d+)(?:,(?P<d>\d+))? @@"
 
 
 def _kind(line: Column) -> Column:
@@ -44,41 +51,96 @@ def _count(s: Column, signs: str) -> Column:
     return F.length(s) - F.length(F.translate(s, signs, ""))
 
 
+class Walk:
+    """The lines of a batch of patches as arrays: each line's patch, kind, last header and how far that hunk has moved."""
+
+    def __init__(self, lists: pa.Array, still: str):
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.lines = lists.flatten()
+        n = len(self.lines)
+        self.owner = np.repeat(np.arange(len(counts)), counts)
+        first = pc.fill_null(pc.utf8_slice_codeunits(self.lines, 0, 1), "").to_numpy(zero_copy_only=False)
+        self.kind = np.full(n, ".", "U1")
+        for sign in "+-":
+            self.kind[first == sign] = sign
+        self.kind[first == "\\"] = "n"
+        marked = np.flatnonzero((first == "@") | (first == "+"))
+        some = self.lines.take(pa.array(marked))
+        parts = pc.extract_regex(some, HUNK)
+        at = np.flatnonzero(pc.is_valid(parts).to_numpy(zero_copy_only=False))
+        self.headers = marked[at]
+        self.kind[self.headers] = "@"
+        self.kind[marked[pc.starts_with(some, "+++").to_numpy(zero_copy_only=False)]] = "p"
+        numbers = parts.take(pa.array(at))
+        text = [pc.struct_field(numbers, [k]) for k in range(4)]
+        whole = [pc.cast(pc.if_else(pc.or_(pc.equal(t, ""), pc.greater(pc.utf8_length(t), 9)), None, t), pa.int64()) for t in text]
+        self.old, self.olds, self.new, self.news = (
+            pc.if_else(pc.equal(t, ""), 1, v) if k % 2 else v for k, (t, v) in enumerate(zip(text, whole))
+        )
+        place = np.arange(n)
+        begin = np.repeat(np.cumsum(counts) - counts, counts)
+        header = np.full(n, -1, np.int64)
+        header[self.headers] = self.headers
+        self.header = np.maximum.accumulate(header) if n else header
+        self.header[self.header < begin] = -1  # a header of an earlier patch
+        moving = ~np.isin(self.kind, list(still + "@"))
+        before = np.concatenate([[0], np.cumsum(moving)])
+        known = self.header >= 0
+        self.moved = before[place] - before[np.where(known, self.header, begin)]
+        starts = np.zeros(n, np.int64)
+        starts[self.headers] = pc.fill_null(self.new, 0).to_numpy(zero_copy_only=False)
+        self.number = np.where(known, starts[self.header], 0) + self.moved
+        other = np.concatenate([[0], np.cumsum(self.kind != "@")])
+        self.position = other[place + 1] - other[begin] if n else place
+
+
+def _schema(files: DataFrame, keep: list[str], more: str) -> StructType:
+    return StructType([*(files.schema[k] for k in keep), *_parse_datatype_string(more).fields])
+
+
 def added_lines(files: DataFrame, keep: list[str], still: str = "-p", blanks: bool = False) -> DataFrame:
     """(keep..., line_number, content, diff_position): the added lines of each patch.
 
     still: kinds of lines that don't move the number of the next line; the note of a missing line end moves it here unless
-    "n" is among them. Blank added lines are left out, though they count. Lines before the first header count from 0.
+    "n" is among them. Blank added lines are left out, though they count. Lines before the first header count from 0. One pass
+    over whole batches of lines, in proportion to their number however long a patch is.
     """
-    before = F.substring_index(F.substr("kinds", F.lit(1), F.col("i")), "@", -1)
-    seen = F.substr("kinds", F.lit(1), F.col("i") + 1)
-    headers = _count(seen, "@")
-    start = F.when(headers > 0, F.element_at("starts", F.greatest(headers, F.lit(1)))).otherwise(0)
-    rows = lined(files).select(*keep, "kinds", "starts", F.posexplode("lines").alias("i", "line")).where(F.substr("kinds", F.col("i") + 1, F.lit(1)) == "+")
-    content = F.substring("line", 2, 1 << 30)
-    out = rows.select(
-        *keep,
-        (start + F.length(before) - _count(before, still)).cast("int").alias("line_number"),
-        content.alias("content"),
-        (F.length(seen) - headers).cast("int").alias("diff_position"),
-    )
+    ship_package(files.sparkSession)
+    names = [*keep, "line_number", "content", "diff_position"]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in rows:
+            w = Walk(rb.column(len(keep)), still)
+            at = np.flatnonzero(w.kind == "+")
+            owner = pa.array(w.owner[at])
+            content = pc.utf8_slice_codeunits(w.lines.take(pa.array(at)), 1)
+            columns = [rb.column(k).take(owner) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(w.number[at], pa.int32()), content, pa.array(w.position[at], pa.int32())], names)
+
+    lines = files.where("patch is not null").select(*keep, split_lines("patch").alias("lines"))
+    out = lines.mapInArrow(run, _schema(files, keep, "line_number int, content string, diff_position int"))
     return out if blanks else out.where(F.col("content").rlike(NOT_BLANK))
 
 
 def hunks(files: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., hunk, old_start, old_count, new_start, new_count, added): each hunk with the numbers of its added lines."""
-    one = lined(files).select(*keep, F.posexplode(F.filter("lines", lambda x: x.rlike(HEADER))).alias("h", "header"), F.split("kinds", "@").alias("bodies"))
-    part = lambda k: F.regexp_extract("header", HEADER_PARTS, k)
-    number = lambda k: part(k).cast("int")
-    count = lambda k: F.when(part(k) == "", 1).otherwise(F.expr(f"try_cast(regexp_extract(header, '{HEADER_PARTS.replace(chr(92), chr(92) * 2)}', {k}) as int)"))
-    body = F.get("bodies", F.col("h") + 1)
-    offset = F.filter(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda i: F.substr(body, i, F.lit(1)) == "+")
-    at = F.transform(offset, lambda i: (number(3) + _moves(F.substr(body, F.lit(1), i - 1))).cast("int"))
-    return one.select(*keep, (F.col("h") + 1).alias("hunk"), number(1).alias("old_start"), count(2).alias("old_count"), number(3).alias("new_start"), count(4).alias("new_count"), at.alias("added"))
-
-
-def _moves(s: Column) -> Column:
-    return F.length(s) - _count(s, "-pn")
+    ship_package(files.sparkSession)
+    names = [*keep, "hunk", "old_start", "old_count", "new_start", "new_count", "added"]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in rows:
+            w = Walk(rb.column(len(keep)), "-pn")
+            at = np.flatnonzero((w.kind == "+") & (w.header >= 0))
+            owner = w.owner[w.headers]
+            begin = np.searchsorted(owner, owner)
+            edges = np.append(np.searchsorted(w.header[at], w.headers), len(at)).astype(np.int32)
+            added = pa.ListArray.from_arrays(pa.array(edges), pa.array(w.number[at], pa.int32()))
+            numbers = [x.cast(pa.int32()) for x in (w.old, w.olds, w.new, w.news)]
+            columns = [rb.column(k).take(pa.array(owner)) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(owner)) - begin + 1, pa.int32()), *numbers, added], names)
+
+    lines = files.where("patch is not null").select(*keep, split_lines("patch").alias("lines"))
+    return lines.mapInArrow(run, _schema(files, keep, "hunk int, old_start int, old_count int, new_start int, new_count int, added array<int>"))
 
 
 def run_counts(files: DataFrame, keys: list[str]) -> DataFrame:

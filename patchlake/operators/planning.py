@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from patchlake.functions.paths import line_tokens
-from patchlake.runtime import by_group
+from patchlake.runtime import by_group, ship_package
 
 #: Tokens and lines of a call and parts of a file; files and tokens of a batch; lines of a chunk; lines of context.
 CALL_TOKENS, CALL_LINES, FILE_PARTS = 6000, 500, 2
@@ -22,36 +26,53 @@ def chunks(lines: DataFrame, keys: list[str], size: int = CHUNK_LINES) -> DataFr
     return lines.withColumn("chunk_index", (F.floor(n / size) + 1).cast("int")).withColumn("total", F.ceil(F.count("*").over(w) / size).cast("int"))
 
 
+def cut(sizes: list[int], tokens: int, most: int, few: int) -> list[tuple[int, int]]:
+    """(lines, tokens) of the parts of one file: see parts."""
+    out, n, t = [], 0, 0
+    for x in sizes:
+        if n and (t + x > tokens or n >= most):
+            out.append((n, t))
+            n, t = 0, 0
+        n, t = n + 1, t + x
+    if n:
+        out.append((n, t))
+    if len(out) <= few:
+        return out
+    even = -(-len(sizes) // few)
+    return [(len(p), sum(p)) for p in (sizes[k : k + even] for k in range(0, len(sizes), even))]
+
+
 def parts(files: DataFrame, keys: list[str], lines: str = "lines", tokens: int = CALL_TOKENS, most: int = CALL_LINES, few: int = FILE_PARTS) -> DataFrame:
     """(keys..., part, total, first, n, tokens): consecutive lines of a file under the budgets of a call.
 
     A part ends where the next line would exceed the tokens or lines; where more than few parts came of it, the lines are
-    dealt evenly into few. The fold runs over the array of a row, without a shuffle; it keeps the sizes of the parts alone.
+    dealt evenly into few. One walk over the sizes of a row's lines, without a shuffle; their texts stay in the JVM.
     """
-    size = F.transform(lines, line_tokens)
-    grown = F.aggregate(
-        size,
-        F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("t"))),
-        lambda acc, x: F.when(
-            (F.element_at(acc, -1)["n"] > 0) & ((F.element_at(acc, -1)["t"] + x > tokens) | (F.element_at(acc, -1)["n"] >= most)),
-            F.concat(acc, F.array(F.struct(F.lit(1).alias("n"), x.alias("t")))),
-        ).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct((F.element_at(acc, -1)["n"] + 1).alias("n"), (F.element_at(acc, -1)["t"] + x).alias("t"))))),
-    )
-    even = F.ceil(F.size(lines) / few).cast("int")
-    dealt = F.transform(F.sequence(F.lit(0), F.lit(few - 1)), lambda k: F.slice("size", k * F.col("even") + 1, F.col("even")))
-    dealt = F.transform(F.filter(dealt, lambda p: F.size(p) > 0), lambda p: F.struct(F.size(p).alias("n"), F.aggregate(p, F.lit(0), lambda s, x: s + x).alias("t")))
-    some = files.where(F.size(lines) > 0).select(*keys, size.alias("size"), even.alias("even"), grown.alias("grown"))
-    chosen = some.select(*keys, F.when(F.size("grown") <= few, F.col("grown")).otherwise(dealt).alias("parts"))
-    before = F.aggregate(F.slice("parts", F.lit(1), F.col("p")), F.lit(0), lambda s, x: s + x["n"])
-    return chosen.select(*keys, "parts", F.size("parts").alias("total"), F.posexplode("parts").alias("p", "x")).select(
-        *keys, (F.col("p") + 1).alias("part"), "total", (before + 1).alias("first"), F.col("x")["n"].alias("n"), F.col("x")["t"].alias("tokens")
-    )
+    ship_package(files.sparkSession)
+    names = [*keys, "part", "total", "first", "n", "tokens"]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in rows:
+            owner, out = [], []
+            for k, sizes in enumerate(rb.column(len(keys)).to_pylist()):
+                made, first = cut(sizes, tokens, most, few), 1
+                for p, (n, t) in enumerate(made):
+                    owner.append(k)
+                    out.append((p + 1, len(made), first, n, t))
+                    first += n
+            held = [rb.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
+            numbers = [pa.array(c, pa.int32()) for c in zip(*out)] if out else [pa.array([], pa.int32())] * 5
+            yield pa.RecordBatch.from_arrays([*held, *numbers], names)
+
+    some = files.where(F.size(lines) > 0).select(*keys, F.transform(lines, line_tokens).alias("sizes"))
+    schema = StructType([*(files.schema[k] for k in keys), *_parse_datatype_string("part int, total int, first int, n int, tokens int").fields])
+    return some.mapInArrow(run, schema)
 
 
 def file_batches(files: DataFrame, keys: list[str], most: int = BATCH_FILES, tokens: int = BATCH_TOKENS) -> DataFrame:
     """(keys..., seq, batch): files of a change-set in order, each kind apart, a new batch where files or tokens are exceeded.
 
-    The kind is what may stand together in one prompt (here the language). Batches are numbered by their first file.
+    The kind is what may stand together in one prompt: the framework of the files' project. Batches are numbered by their first file.
     """
     def run(rows: list[tuple]) -> list[tuple]:
         batch, count, load = 0, 0, 0

@@ -224,3 +224,15 @@ def test_once_keeps_the_first_delivery(spark):
     df = spark.createDataFrame([(1, t[1], "b"), (1, t[0], "a"), (2, t[0], "c"), (2, t[0], "c"), (3, None, "d"), (None, t[0], "e")], "k int, t timestamp, x string")
     assert sorted((r.k or 0, r.x) for r in once(df, "k", "t").collect()) == [(0, "e"), (1, "a"), (2, "c"), (3, "d")]
     assert once(df.where("k = 3"), "k", "t").count() == 1 and once(df.limit(0), "k", "t").count() == 0
+
+
+def test_lines_and_parts_of_a_very_long_patch_take_seconds(spark):
+    import time
+
+    patch = "\n".join("@@ -1,1 +%d,9 @@" % (i + 1) if i % 1000 == 0 else f"+line {i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, patch)], "file_id long, patch string")
+    start = time.time()
+    assert diff.added_lines(df, ["file_id"]).agg(F.count("*"), F.max("line_number"), F.max("diff_position")).first() == (99_900, 99_999, 99_900)
+    long = df.select("file_id", F.split("patch", "\n").alias("lines"))
+    assert [tuple(r) for r in planning.parts(long, ["file_id"], few=100_000).agg(F.count("*"), F.sum("n")).collect()] == [(200, 100_000)]
+    assert time.time() - start < 20
