@@ -434,16 +434,45 @@ def line_chunks(spark, d):
     return planning.chunks(lines, ["file_id"]).select("file_id", "line_number", "diff_position", "chunk_index", "total")
 
 
-@query()
+def _framework_sql() -> str:
+    flags, cases = [], []
+    for k, (name, needs, where, pattern) in enumerate(detection.FRAMEWORKS):
+        quoted = pattern.replace("'", "''")
+        flags.append(f"coalesce(bool_or(regexp_matches(lower({'path' if where == 'path' else 'patch'}), '{quoted}')), false) s{k}")
+        flags.append(f"coalesce(bool_or(regexp_matches(lower(path), '{needs}')), false) n{k}" if needs else f"true n{k}")
+        cases.append(f"when s{k} and n{k} then '{name}'")
+    return f"with {FILES}, flags as (select repository, {', '.join(flags)} from files group by all) select repository, case {' '.join(cases)} else 'unknown' end framework from flags"
+
+
+@query("""with recursive c as (select distinct chunk_id, [greatest(1, ceil(length(coalesce(x.content, '')) / 3.0)::int) + 4 for x in changed_lines] s from review_chunks where len(changed_lines) > 0),
+    walk(chunk_id, s, i, part, n, t) as (select chunk_id, s, 1, 1, 1, s[1] from c
+        union all select chunk_id, s, i + 1, case when t + s[i + 1] > 600 or n >= 100 then part + 1 else part end, case when t + s[i + 1] > 600 or n >= 100 then 1 else n + 1 end, case when t + s[i + 1] > 600 or n >= 100 then s[i + 1] else t + s[i + 1] end
+        from walk where i < len(s)),
+    grown as (select chunk_id, part, count(*) n, sum(s[i]) t from walk group by all), many as (select chunk_id, max(part) total from grown group by all),
+    even as (select chunk_id, unnest([1, 2]) part, s, ceil(len(s) / 2.0)::int e from c join many using (chunk_id) where total > 2),
+    every as (select chunk_id, part, n, t from grown join many using (chunk_id) where total <= 2
+        union all select chunk_id, part, len(s[(part - 1) * e + 1:part * e]), list_sum(s[(part - 1) * e + 1:part * e]) from even)
+    select chunk_id, part::int part, (count(*) over (partition by chunk_id))::int total, (1 + coalesce(sum(n) over (partition by chunk_id order by part rows between unbounded preceding and 1 preceding), 0))::int as first, n::int n, t::int tokens from every""")
 def review_parts(spark, d):
     chunks = table(spark, d, "review_chunks").select("chunk_id", F.transform("changed_lines", lambda x: F.coalesce(x["content"], F.lit(""))).alias("lines")).dropDuplicates(["chunk_id"])
     return planning.parts(chunks, ["chunk_id"], tokens=600, most=100)
 
 
-@query()
+@query(f"""with recursive {FILES}, named as ({_framework_sql()}),
+    k as (select f.provider, f.repository, f.number, file_id seq, case when framework in ('django', 'fastapi', 'flask') and regexp_matches(lower(path), '[.]pyw?$') then 'python-backend' else framework end kind,
+        coalesce(ceil(length(patch) / 4.0), 0)::int tokens from files f join named using (repository)),
+    o as (select *, row_number() over (partition by provider, repository, number, kind order by seq) i from k),
+    walk as (select *, 0 as local, 1 as c, tokens as t from o where i = 1
+        union all select o.*, case when w.c >= 5 or w.t + o.tokens > 2200 then w.local + 1 else w.local end, case when w.c >= 5 or w.t + o.tokens > 2200 then 1 else w.c + 1 end, case when w.c >= 5 or w.t + o.tokens > 2200 then o.tokens else w.t + o.tokens end
+        from walk w join o on o.provider = w.provider and o.repository = w.repository and o.number is not distinct from w.number and o.kind = w.kind and o.i = w.i + 1),
+    firsts as (select *, min(seq) over (partition by provider, repository, number, kind, local) f from walk)
+    select provider, repository, number, seq, (dense_rank() over (partition by provider, repository, number order by f, kind))::int batch from firsts""")
 def review_file_batches(spark, d):
-    f = tables.files(spark, d).select(*KEY, F.col("file_id").alias("seq"), classify.language(F.col("path")).alias("kind"), paths.text_tokens(F.col("patch")).alias("tokens"))
-    return planning.file_batches(f, KEY)
+    files = tables.files(spark, d)
+    named = detection.frameworks(files, ["repository"])
+    f = files.select(*KEY, F.col("file_id").alias("seq"), "path", paths.text_tokens(F.col("patch")).alias("tokens")).join(named, "repository")
+    python = F.col("framework").isin("django", "fastapi", "flask", "python") & F.lower("path").rlike(r"\.pyw?$")
+    return planning.file_batches(f.withColumn("kind", F.when(python, "python-backend").otherwise(F.col("framework"))), KEY)
 
 
 @query(f"""with {LINES}, near as (select distinct file_id, unnest(range(greatest(1, line_number - 3), line_number + 4)) line_number from added where content like '%return%'),
@@ -571,16 +600,6 @@ def job_event_ring(spark, d):
 # ---- detection, answers and validation ----------------------------------------------------------------------------------
 
 
-def _framework_sql() -> str:
-    flags, cases = [], []
-    for k, (name, needs, where, pattern) in enumerate(detection.FRAMEWORKS):
-        quoted = pattern.replace("'", "''")
-        flags.append(f"coalesce(bool_or(regexp_matches(lower({'path' if where == 'path' else 'patch'}), '{quoted}')), false) s{k}")
-        flags.append(f"coalesce(bool_or(regexp_matches(lower(path), '{needs}')), false) n{k}" if needs else f"true n{k}")
-        cases.append(f"when s{k} and n{k} then '{name}'")
-    return f"with {FILES}, flags as (select repository, {', '.join(flags)} from files group by all) select repository, case {' '.join(cases)} else 'unknown' end framework from flags"
-
-
 @query(_framework_sql())
 def repository_framework(spark, d):
     return detection.frameworks(tables.files(spark, d), ["repository"])
@@ -631,11 +650,24 @@ def parsed_answers(spark, d):
     return responses.answered(lists.select("repository", "path", answer.alias("answer")), ["repository", "path"]).select("repository", "path", "n", "line_number", "severity", "rule_id", "message")
 
 
+SPOKEN = "(' ' || trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g')) || ' ')"
+#: Phrases that tell of root causes, told apart from the operator's lists.
+CAUSES = {
+    "hardcoded-secret": " (hard ?coded (secret|credential|password|token|api ?key)|(embedded|exposed) (secret|credential)) ",
+    "loose-equality": " ((loose|strict) equal(ity)?|type coercion|non ?strict (equality|comparison)) ",
+    "no-console": " console (log|logging|debug|info|warn|error) ",
+    "unused-variable": " (unused (variable|value|constant|local)|declared but never used) ",
+    "sql-injection": " (sql injection|(interpolated|dynamic|concatenated) sql) ",
+    "weak-cryptography": " ((weak|broken|insecure) (hash|cryptography|crypto)|md5|sha1) ",
+    "resource-cleanup": " ((resource|file|session|response) leak|unclosed|not closed|without closing|without being closed) ",
+}
+
+
 def _reasons_sql() -> str:
     wrong = " or ".join(f"(regexp_matches(rule_id, '{p}') and {SUFFIX} not in ({_list(e.split())}))" for p, e in validation.ONLY_IN.items())
     cases = [
         ("no path", "trim(coalesce(path, '')) = ''"), ("no line", "coalesce(line_number <= 0, true)"), ("no rule", "trim(coalesce(rule_id, '')) = ''"), ("no message", "trim(regexp_replace(coalesce(issue, ''), '\\s', ' ', 'g')) = ''"),
-        ("placeholder rule", f"rule_id in ({_list(validation.PLACEHOLDERS)})"), ("speculative", f"regexp_matches(concat_ws(' ', issue, suggestion), '{validation.GUESSES}')"), ("wrong file type", wrong),
+        ("placeholder rule", f"rule_id in ({_list(validation.PLACEHOLDERS)})"), ("speculative", f"regexp_matches({SPOKEN.format("concat_ws(' ', issue, suggestion)")}, ' (might|possibly|perhaps|potentially|consider|may (be|not|throw|fail|cause|lead to|result in)|appears to|seems to|could be|(not clear|unclear|not obvious) (if|whether)) ')"), ("wrong file type", wrong),
     ]
     return "list_filter([" + ", ".join(f"case when coalesce({c}, false) then '{r}' end" for r, c in cases) + "], lambda x: x is not null)"
 
@@ -655,8 +687,9 @@ def grounded_reasons(spark, d):
 SOURCED_CANONICAL = CANONICAL + ", sourced as (select *, case when seq % 3 = 0 then 'llm' else 'static' end source from canonical where line_number is not null)"
 
 
-@query(f"""with {SOURCED_CANONICAL}, pairs as (select a.seq l_seq, b.seq r_seq, b.canonical, concat_ws(' ', a.rule_id, a.issue, a.impact, a.evidence, a.suggestion) t from sourced a join sourced b on a.repository = b.repository and abs(a.line_number - b.line_number) <= 5 and a.seq <> b.seq
-    where a.source = 'llm' and b.source = 'static') select l_seq, r_seq from pairs where case {" ".join(f"when canonical = '{r}' then regexp_matches(t, '{p}')" for r, p in validation.CONCEPTS.items())} else false end""")
+@query(f"""with {SOURCED_CANONICAL}, pairs as (select a.seq l_seq, b.seq r_seq, b.canonical, {SPOKEN.format("concat_ws(' ', a.rule_id, a.issue, a.impact, a.evidence, a.suggestion)")} t from sourced a join sourced b on a.repository = b.repository and abs(a.line_number - b.line_number) <= 5 and a.seq <> b.seq
+    where a.source = 'llm' and b.source = 'static') select l_seq, r_seq from pairs where case {" ".join(f"when canonical = '{r}' then regexp_matches(t, '{p}')" for r, p in CAUSES.items())}
+    when canonical = 'path-traversal' then regexp_matches(t, ' (path traversal|directory traversal) ') or t like '% file path %' and regexp_matches(t, ' (escape|root|unvalidated) ') else false end""")
 def root_cause_matches(spark, d):
     s = rules.resolve(_sourced(spark, d))
     pairs = findings.near_matches(s.where("source = 'llm'"), s.where("source = 'static'"), ["repository"], 5)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from patchlake.functions.paths import dedup_path, split_lines, strip
 from patchlake.operators.rules import SEVERITIES, rank
-from patchlake.runtime import broadcast_if_small, by_group
+from patchlake.runtime import broadcast_if_small, by_group, ship_package
 
 #: Beginning of the hidden line by which a published finding is known again.
 MARKER = "<!-- finding:"
@@ -99,9 +103,14 @@ def render(marked: Column) -> Column:
     return F.concat_ws("\n\n", marked, F.concat(F.lit("**"), F.upper("severity"), F.lit("**")), part("Category", "category"), part("Issue", "issue"), part("Impact", "impact"), part("Evidence", "evidence"), part("Suggestion", "suggestion"), F.concat(F.lit("_Rule: `"), F.col("rule_id"), F.lit("`_")))
 
 
+#: Names whose values are hidden in error text, and schemes that may stand before a value.
+SECRET_NAMES, SCHEMES = ("token", "pat", "authorization", "password"), ("bearer", "basic")
+
+
 def redact_errors(text: Column) -> Column:
-    """Error text without the values of tokens and passwords, at most 2000 characters."""
-    return F.substring(F.regexp_replace(text, r"(?i)(token|pat|authorization|password)(\s*[:=]\s*)[^\s,;]+", "$1$2[redacted]"), 1, 2000)
+    """Error text without the values that follow a secret's name and a sign, at most 2000 characters."""
+    after = r"(?i)(?<=(?:%s)\s{0,9}[:=]\s{0,9})(?![\s:=])(?:(?:%s)\s+)?[^\s,;]+" % ("|".join(SECRET_NAMES), "|".join(SCHEMES))
+    return F.substring(F.regexp_replace(text, after, "[redacted]"), 1, 2000)
 
 
 def near_matches(left: DataFrame, right: DataFrame, keys: list[str], distance: int) -> DataFrame:
@@ -123,89 +132,172 @@ def owned(ai: DataFrame, authoritative: DataFrame, catalog: DataFrame, keys: lis
     return ai.join(F.broadcast(free), "canonical", "left_semi").unionByName(ai.join(broadcast_if_small(confirmed), "seq", "left_semi")).dropDuplicates(["seq"])
 
 
-# ---- the duplicate fold ------------------------------------------------------------------------------------------------
+# ---- duplicates --------------------------------------------------------------------------------------------------------
+#
+# Findings of a path are told to be one only if they are kin: of one family, or of one rule outside the families. So each kin of
+# a path is settled by itself. What is kept stands in slots, looked up by line: a new finding meets the slots of the few lines
+# within reach, never all that were kept.
+
+#: The columns that settle() takes, in order.
+SETTLED = ("seq", "line_number", "rule", "subject", "authority", "weight", "test", "block")
+
+
+def kin_columns(findings: DataFrame) -> DataFrame:
+    """With kin, rule, subject (the first quoted name in the text), authority, weight (of the severity) and test."""
+    rule = F.lower(F.trim(F.coalesce("rule_id", F.lit(""))))
+    families = F.create_map(*(F.lit(x) for pair in FAMILY_OF.items() for x in pair))
+    subject = F.lower(F.regexp_extract("issue", r"[`'\"]([A-Za-z_$][A-Za-z0-9_$]*)[`'\"]", 1))
+    return (
+        findings.withColumn("rule", rule)
+        .withColumn("kin", F.coalesce(F.element_at(families, F.col("rule")), F.concat(F.lit("="), F.col("rule"))))
+        .withColumn("subject", F.nullif(subject, F.lit("")))
+        .withColumn("authority", F.coalesce(F.col("source").isin(*AUTHORITATIVE), F.lit(False)))
+        .withColumn("weight", -rank(F.col("severity")))
+        .withColumn("test", (F.col("rule") == "insufficient-test-assertion") | F.coalesce(F.col("category") == "test-quality", F.lit(False)))
+    )
+
+
+def settle(kin: str, rows: list[tuple]) -> list[tuple[int, int]]:
+    """(seq, kept_as) of the findings of one kin of a path, in the order in which they came; rows as SETTLED."""
+    wide = NEAR_SUBJECT if kin in BY_SUBJECT else NEAR_AUTHORITY
+    slots: list[int] = []
+    by_line: dict[int, set[int]] = {}
+    by_block: dict[tuple, set[int]] = {}
+    heir = list(range(len(rows)))
+
+    def crowded(line: int) -> bool:
+        """Whether what is kept near a line names two subjects."""
+        near = (rows[slots[s]][3] for at in range(line - NEAR, line + NEAR + 1) for s in by_line.get(at, ()))
+        return len({x for x in near if x}) > 1
+
+    def reach(x: tuple, y: tuple) -> int:
+        """How many lines apart two findings may stand and be one; -1: none."""
+        if x[6] != y[6]:
+            return -1
+        named = None if x[3] is None or y[3] is None else x[3] == y[3]
+        if x[1] == y[1] and x[2] == y[2]:
+            apart = kin in BY_SUBJECT and (named is False or named is None and crowded(x[1]))
+            return -1 if apart else 0
+        if kin in BY_SUBJECT:
+            loose = kin == "hardcoded-secret" and named is None and not crowded(x[1])
+            own = NEAR_SUBJECT if named else NEAR if loose else -1
+        elif kin in BY_NEARNESS:
+            own = NEAR
+        else:
+            own = -1 if kin.startswith("=") else 0
+        return max(own, NEAR_AUTHORITY if x[4] != y[4] else -1)
+
+    def place(slot: int, k: int) -> None:
+        by_line.setdefault(rows[k][1], set()).add(slot)
+        by_block.setdefault(rows[k][6:], set()).add(slot)
+
+    for k, x in enumerate(rows):
+        met = {s for at in range(x[1] - wide, x[1] + wide + 1) for s in by_line.get(at, ()) if reach(x, rows[slots[s]]) >= abs(x[1] - rows[slots[s]][1])}
+        if kin == "effect-cleanup" and x[7] is not None:
+            met |= by_block.get(x[6:], set())
+        if not met:
+            slots.append(k)
+            place(len(slots) - 1, k)
+            continue
+        slot = min(met)
+        y = rows[slots[slot]]
+        if (x[4], x[5]) > (y[4], y[5]):
+            by_line[y[1]].discard(slot)
+            by_block[y[6:]].discard(slot)
+            heir[slots[slot]] = slots[slot] = k
+            place(slot, k)
+        else:
+            heir[k] = slots[slot]
+    out = []
+    for k in range(len(rows) - 1, -1, -1):  # an heir that came later is known by now
+        end = k
+        while heir[end] != end:
+            end = heir[end]
+        heir[k] = end
+        out.append((rows[k][0], rows[end][0]))
+    return out
 
 
-def _subject(message: str | None) -> str | None:
+def fold(rows: list[dict]) -> list[int]:
+    """For findings of one path in order, as plain rows: the seq that stands for each one in the end, its own where it is kept."""
     import re
 
-    m = re.search(r"[`'\"]([A-Za-z_$][A-Za-z0-9_$]*)[`'\"]", message or "")
-    return m[1].lower() if m else None
+    groups: dict[str, list[tuple]] = {}
+    for x in rows:
+        rule = (x["rule_id"] or "").strip().lower()
+        named = re.search(r"[`'\"]([A-Za-z_$][A-Za-z0-9_$]*)[`'\"]", x["issue"] or "")
+        test = rule == "insufficient-test-assertion" or x["category"] == "test-quality"
+        y = (x["seq"], x["line_number"], rule, named and named[1].lower(), x["source"] in AUTHORITATIVE, -SEVERITIES.index(x["severity"]), test, x.get("block"))
+        groups.setdefault(FAMILY_OF.get(rule, "=" + rule), []).append(y)
+    kept = dict(pair for kin, some in groups.items() for pair in settle(kin, some))
+    return [kept[x["seq"]] for x in rows]
 
 
-def fold(rows: list[dict]) -> list[int | None]:
-    """For findings of one path in order: the seq that stands for each one in the end, its own where it is kept.
+def deduplicated(findings: DataFrame, keys: list[str], blocks: DataFrame | None = None) -> DataFrame:
+    """(seq, kept_as): each finding with the finding that stands for it in the end.
 
-    Each finding is held against those kept so far, in their order, and the first that tells of the same construct takes it,
-    or is replaced by it where it is the stronger: an authoritative source before a model, then the heavier severity.
+    What comes later may take the place of what it repeats, so that the order matters within a kin of a path. Kin more than
+    NEAR_SUBJECT lines apart never meet (but in one effect block), so that a path is cut at such gaps and the pieces are settled
+    apart. blocks: (keys..., p, start, end) of effects, as effect_blocks() gives them.
     """
-    kept: list[int] = []
-    into = list(range(len(rows)))
-    known = []
-    for x in rows:
-        rule = (x["rule_id"] or "").strip().lower()
-        known.append((rule, FAMILY_OF.get(rule), _subject(x["issue"]), rule == "insufficient-test-assertion" or x["category"] == "test-quality", x["source"] in AUTHORITATIVE, x["line_number"], SEVERITIES[::-1].index(x["severity"])))
-
-    def ambiguous(family: str | None, line: int) -> bool:
-        return len({known[k][2] for k in kept if known[k][1] == family and abs(known[k][5] - line) <= NEAR and known[k][2]}) > 1
-
-    def same(a: int, b: int) -> bool:
-        rule, family, subject, test, authority, line, _ = known[a]
-        rule_b, family_b, subject_b, test_b, authority_b, line_b, _ = known[b]
-        if test != test_b:
-            return False
-        apart = abs(line - line_b)
-        if apart == 0 and rule == rule_b:
-            if family in BY_SUBJECT:
-                if subject and subject_b and subject != subject_b:
-                    return False
-                if (not subject or not subject_b) and ambiguous(family, line):
-                    return False
-            return True
-        if authority != authority_b and apart <= NEAR_AUTHORITY and (rule == rule_b or family_b and family == family_b):
-            return True
-        if family is None or family != family_b:
-            return False
-        if family in BY_SUBJECT:
-            if subject and subject_b:
-                return subject == subject_b and apart <= NEAR_SUBJECT
-            return family == "hardcoded-secret" and apart <= NEAR and not ambiguous(family, line)
-        return apart <= NEAR and (family in BY_NEARNESS or apart == 0)
-
-    for i in range(len(rows)):
-        at = next((k for k, j in enumerate(kept) if same(i, j)), None)
-        if at is None:
-            kept.append(i)
-            continue
-        j = kept[at]
-        stronger = (known[i][4], known[i][6]) > (known[j][4], known[j][6]) if known[i][4] != known[j][4] else known[i][6] > known[j][6]
-        if stronger:
-            kept[at], into[j] = i, i
-        else:
-            into[i] = j
-    out = []
-    for i in range(len(rows)):
-        while into[i] != i:
-            i = into[i]
-        out.append(rows[i]["seq"])
-    return out
+    rows = kin_columns(findings.where("line_number is not null and severity is not null").withColumn("p", dedup_path("path")))
+    if blocks is None:
+        rows = rows.withColumn("block", F.lit(None).cast("int"))
+    else:
+        own = rows.where("kin = 'effect-cleanup'").select(*keys, "p", "seq", "line_number").join(blocks, [*keys, "p"]).where("line_number between start and end")
+        rows = rows.join(own.groupBy("seq").agg(F.min("start").alias("block")), "seq", "left")
+    w = Window.partitionBy(*keys, "p", "kin").orderBy("line_number", "seq")
+    far = F.col("line_number") - F.lag("line_number").over(w) > NEAR_SUBJECT
+    gap = far & ~F.coalesce(F.col("block") == F.lag("block").over(w), F.lit(False))
+    pieces = rows.withColumn("gap", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("piece", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    held = len(keys) + 3
 
+    def run(rows: list[tuple]) -> list[tuple]:
+        return settle(rows[0][held - 2], [x[held:] for x in rows])
 
-def deduplicated(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """(seq, kept_as): each finding with the finding that stands for it after the fold. Findings of a path are folded in order.
+    return by_group(pieces.select(*keys, "p", "kin", "piece", *SETTLED), [*keys, "p", "kin", "piece"], ["seq"], run, "seq long, kept_as long")
 
-    The fold is sequential by its meaning. Findings more than NEAR_SUBJECT lines apart never meet, so that a path with very many
-    findings is cut at gaps wider than that, and the pieces are folded apart.
-    """
-    rows = findings.where("line_number is not null and severity is not null").select(*keys, dedup_path("path").alias("p"), "seq", "line_number", "rule_id", "severity", "category", "issue", "source")
-    w = Window.partitionBy(*keys, "p").orderBy("line_number", "seq")
-    gap = (F.col("line_number") - F.lag("line_number").over(w) > NEAR_SUBJECT).cast("int")
-    pieces = rows.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("piece", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    columns = [*keys, "p", "piece", "seq", "line_number", "rule_id", "severity", "category", "issue", "source"]
+def effect_blocks(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys..., p, start, end): the lines of each outermost call of an effect hook in a text."""
+    ship_package(files.sparkSession)
+    schema = StructType([*(files.schema[k] for k in keys), *_parse_datatype_string("p string, start int, end int").fields])
+    names = schema.names
 
-    def run(rows: list[tuple]) -> list[tuple]:
-        dicts = [dict(zip(columns, x)) for x in rows]
-        return list(zip([x["seq"] for x in dicts], fold(dicts)))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in rows:
+            owner, out = [], []
+            for k, body in enumerate(rb.column(len(keys) + 1).to_pylist()):
+                for a, b in calls(body or ""):
+                    owner.append(k)
+                    out.append((a, b))
+            held = [rb.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys) + 1)]
+            lines = [pa.array(c, pa.int32()) for c in zip(*out)] if out else [pa.array([], pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([*held, *lines], names)
+
+    some = files.where(F.col(text).rlike(EFFECT)).select(*keys, dedup_path("path").alias("p"), text)
+    return some.mapInArrow(run, schema)
 
-    return by_group(pieces.select(*columns), [*keys, "p", "piece"], ["seq"], run, "seq long, kept_as long")
+
+#: The call of an effect hook.
+EFFECT = r"\buse(?:Layout)?Effect\s*\("
+
+
+def calls(text: str) -> list[tuple[int, int]]:
+    """The first and last line of each outermost effect call, by one walk over strings, brackets and calls."""
+    import re
+
+    out, depth, begin, line, at = [], 0, None, 1, 0
+    token = re.compile(EFFECT + r"|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[()]", re.DOTALL)
+    for m in token.finditer(text):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        if m[0] == ")":
+            depth -= depth > 0
+            if begin and depth == begin[1]:
+                out.append((begin[0], line))
+                begin = None
+        elif m[0][-1] == "(":
+            if m[0] != "(" and not begin:
+                begin = (line, depth)
+            depth += 1
+    return out

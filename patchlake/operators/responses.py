@@ -24,27 +24,52 @@ def json_text(answer: Column) -> Column:
     return F.regexp_extract(bare, r"(?s)\{.*\}", 0)
 
 
+#: Strings whole (so that brackets in them don't count), brackets, and what a broken string leaves.
+_SIGNS = re.compile(r'"(?:[^"\\]|\\.)*"|[][{}]|"', re.DOTALL)
+
+
+def whole_objects(text: str | None) -> list[str] | None:
+    """The texts of the objects in the findings array of an answer that breaks off inside it.
+
+    None where there is no such array, where it is closed after all (then something else is wrong with the answer), where a
+    value in it is no object, and where no object is whole.
+    """
+    head = re.search(r'\{\s*"findings"\s*:\s*\[', text or "")
+    if not head:
+        return None
+    spans, depth, begin = [], 0, 0
+    between = head.end()
+    for m in _SIGNS.finditer(text, head.end()):
+        sign = m[0]
+        if depth == 0 and (sign != "{" or text[between : m.start()].strip(" \t\r\n,")):
+            if sign == "]" and not text[between : m.start()].strip(" \t\r\n,"):
+                return None
+            break
+        if sign in "{[":
+            if depth == 0:
+                begin = m.start()
+            depth += 1
+        elif sign in "]}":
+            depth -= 1
+            if depth == 0:
+                spans.append(text[begin : m.end()])
+                between = m.end()
+        elif sign == '"':
+            break
+    return spans or None
+
+
 @F.pandas_udf(T.StringType())
 def recovered(answers: pd.Series) -> pd.Series:
-    """The whole objects of a findings array that breaks off; null where the array is closed and what follows is no JSON."""
+    """The whole objects of a findings array that breaks off, as JSON, up to the first that is none; else null."""
 
     def one(text: str | None) -> str | None:
-        m = re.search(r'\{\s*"findings"\s*:\s*\[', text or "")
-        if not m:
-            return None
-        decoder, at, out = json.JSONDecoder(), m.end(), []
-        while True:
-            while at < len(text) and text[at] in " \t\r\n,":
-                at += 1
-            if at >= len(text) or text[at] not in "{]":
-                break
-            if text[at] == "]":
-                return None
+        out = []
+        for span in whole_objects(text) or ():
             try:
-                value, at = decoder.raw_decode(text, at)
+                out.append(json.loads(span))
             except ValueError:
                 break
-            out.append(value)
         return json.dumps({"findings": out}) if out else None
 
     return answers.map(one)
@@ -64,10 +89,21 @@ def answered(answers: DataFrame, keys: list[str], column: str = "answer") -> Dat
     return rows.where("line_number > 0 and trim(rule_id) <> '' and trim(message) <> '' and lower(severity) in ('critical', 'high', 'medium', 'low', 'suggestion')").withColumn("severity", F.lower("severity"))
 
 
-def lenient_json(text: Column) -> Column:
-    """JSON without line comments, block comments and trailing commas."""
-    bare = F.regexp_replace(text, r"(?s)/\*.*?\*/|(?m)^\s*//[^\n]*$", "")
-    return F.regexp_replace(bare, r",(\s*[}\]])", "$1")
+@F.pandas_udf(T.StringType())
+def lenient_json(texts: pd.Series) -> pd.Series:
+    """Text that is JSON as it stands; else without comments and trailing commas, which inside strings are kept."""
+    sign = re.compile(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?(?:\*/|$)|,(?=(?:\s|//[^\n]*\n|/\*.*?\*/)*[}\]])', re.DOTALL)
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            json.loads(text)
+            return text
+        except ValueError:
+            return sign.sub(lambda m: m[1] or "", text)
+
+    return texts.map(one)
 
 
 def version(text: Column) -> Column:

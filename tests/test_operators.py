@@ -236,3 +236,26 @@ def test_lines_and_parts_of_a_very_long_patch_take_seconds(spark):
     long = df.select("file_id", F.split("patch", "\n").alias("lines"))
     assert [tuple(r) for r in planning.parts(long, ["file_id"], few=100_000).agg(F.count("*"), F.sum("n")).collect()] == [(200, 100_000)]
     assert time.time() - start < 20
+
+
+def test_duplicates_in_cases(spark):
+    one = lambda *rows: findings.fold(list(rows))
+    assert one(finding(1, 10, "no-console"), finding(2, 10, "no-console")) == [1, 1]
+    assert one(finding(1, 10, "no-console"), finding(2, 10, "console-log", "high"), finding(3, 20, "no-console")) == [2, 2, 3]
+    assert one(finding(1, 10, "hardcoded-secret"), finding(2, 11, "exposed-secret")) == [1, 1]
+    assert one(finding(1, 10, "hardcoded-secret"), finding(2, 13, "exposed-secret")) == [1, 2]
+    assert one(finding(1, 10, "hardcoded-secret", issue="`a`"), finding(2, 11, "hardcoded-secret", issue="`b`"), finding(3, 11, "exposed-secret")) == [1, 2, 3]
+    assert one(finding(1, 10, "unused-value", issue="`a`"), finding(2, 19, "unused-variable", issue="'a'")) == [1, 2]
+    assert one(finding(1, 10, "unused-code", issue="`a`"), finding(2, 19, "unused-variable", issue="'a'")) == [1, 1]
+    assert one(finding(1, 10, "bare-except"), finding(2, 14, "bare-except", source="llm"), finding(3, 15, "bare-except")) == [1, 1, 3]
+
+
+def test_findings_of_one_effect_are_one(spark):
+    text = 'x\nuseEffect(() => {\n  go(")");\n' + "  y();\n" * 30 + "}, []);\nuseLayoutEffect(() => z(), [])\n"
+    assert findings.calls(text) == [(2, 34), (35, 35)]
+    files = spark.createDataFrame([("r", "a.tsx", text), ("r", "b.ts", None)], "repository string, path string, text string")
+    blocks = findings.effect_blocks(files, ["repository"])
+    rows = [finding(1, 3, "effect-cleanup", path="a.tsx"), finding(2, 33, "hook-cleanup", path="a.tsx"), finding(3, 35, "effect-cleanup", path="b.ts"), finding(4, 50, "effect-cleanup", path="a.tsx")]
+    df = spark.createDataFrame(rows, "path string, seq long, line_number int, rule_id string, severity string, category string, issue string, source string").withColumn("repository", F.lit("r"))
+    assert dict(map(tuple, findings.deduplicated(df, ["repository"], blocks).collect())) == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert dict(map(tuple, findings.deduplicated(df, ["repository"]).collect())) == {1: 1, 2: 2, 3: 3, 4: 4}

@@ -125,3 +125,23 @@ def test_syntax_over_patches(spark):
 )
 def test_python_paths_updates_headers_and_typed_secrets(code, rule, safe):
     assert [x[1] for x in syntax.python_findings(code)] == [rule] and not list(syntax.python_findings(safe))
+
+
+def test_answers_that_break_off_give_their_whole_objects():
+    whole = '{"rule_id": "a", "message": "one } and ] inside \\" quotes"}'
+    assert responses.whole_objects('{"findings": [' + whole + ', {"rule_id": "b", "mess') == [whole]
+    assert responses.whole_objects('{"findings": [' + whole + ', {"nested": [1, {"x": 2}]}, ') == [whole, '{"nested": [1, {"x": 2}]}']
+    for closed in ('{"findings": [' + whole + "], nonsense", '{"findings": [3, ' + whole, '{"findings": ["x", ' + whole, "no array", None, '{"findings": ['):
+        assert responses.whole_objects(closed) is None
+
+
+def test_lenient_json_keeps_strings(spark):
+    texts = ['{"a": "src/**/*.ts", "b": "// no"}', '{"a": "src/**/*.ts", /* c */ "b": [1, 2,], // x\n}', None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(responses.lenient_json("t")).collect()]
+    assert got[0] == texts[0] and json.loads(got[1]) == {"a": "src/**/*.ts", "b": [1, 2]} and got[2] is None
+
+
+def test_guesses_and_concepts_are_words(spark):
+    df = spark.createDataFrame([("It MAY  fail here.",), ("Maybe fails",), ("unclear whether it runs",), ("mighty words, considered",), ("A hard-coded API key",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(validation.says(validation.spoken(F.col("t")), validation.GUESSES), validation.says(validation.spoken(F.col("t")), validation.CONCEPTS["hardcoded-secret"][0])).collect()]
+    assert got == [(True, False), (False, False), (True, False), (False, False), (False, True), (False, False)]
