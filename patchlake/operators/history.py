@@ -58,3 +58,72 @@ def options(rows: DataFrame, column: str) -> DataFrame:
     """(value): the distinct values of a column in order, "all" first."""
     values = rows.select(F.col(column).alias("value")).where("value is not null").distinct()
     return values.sparkSession.createDataFrame([("all",)], "value string").union(values)
+
+
+# ---- rows and filters of screens, as data --------------------------------------------------------------------------------
+
+
+def chosen(rows: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows that have each wanted value; None and "all" want nothing."""
+    for column, value in wanted.items():
+        if value not in (None, "all"):
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def searched(rows: DataFrame, columns: list[str], term: str | None) -> DataFrame:
+    """Rows of which one of the columns holds the term, in any case; nothing is wanted where the term is blank."""
+    term = (term or "").strip().lower()
+    if not term:
+        return rows
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(F.col(c).cast("string")).contains(term), F.lit(False))
+    return rows.where(hit)
+
+
+def within(rows: DataFrame, column: str, first: str | None, last: str | None) -> DataFrame:
+    """Rows of the days from first to last, both included; either may be open; an inverted range has no rows."""
+    day = F.to_date(column)
+    if first:
+        rows = rows.where(day >= F.lit(first).cast("date"))
+    if last:
+        rows = rows.where(day <= F.lit(last).cast("date"))
+    return rows
+
+
+def clock(seconds: Column) -> Column:
+    """Minutes and seconds of two figures at least; null stays null, and so does less than nothing."""
+    part = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
+    minutes = F.floor(seconds / 60)
+    text = F.when(minutes < 100, part(minutes)).otherwise(minutes.cast("long").cast("string"))
+    return F.when(seconds >= 0, F.concat(text, F.lit(":"), part(F.floor(seconds % 60))))
+
+
+def outcome(state: Column, decision: Column) -> Column:
+    """How a run stands: running, failed, passed, blocked or changes."""
+    said = F.lower(F.coalesce(decision, F.lit("")))
+    return F.when(state.isin("queued", "running"), "running").when(state.isin("failed", "cancelled"), "failed").when(said.contains("pass"), "passed").when(said.contains("block"), "blocked").otherwise("changes")
+
+
+def mode(state: Column, dry: Column) -> Column:
+    return F.when(dry, "Dry run").when(state == "completed", "Published").when(state.isin("queued", "running"), "Publishing").otherwise("Not published")
+
+
+def buckets(counts: DataFrame) -> DataFrame:
+    """With danger, warning and info: five severities in three."""
+    return counts.withColumn("danger", F.col("critical_count") + F.col("high_count")).withColumn("warning", F.col("medium_count")).withColumn("info", F.col("low_count") + F.col("suggestion_count"))
+
+
+def page_buttons(pages: Column, current: Column) -> Column:
+    """The numbers of pages to show, 0 for each gap: all of seven, else the ends, the neighbours, and a run at the start."""
+    near = F.array(F.lit(1), pages, current - 1, current, current + 1)
+    some = F.when(current < 5, F.concat(near, F.array(*map(F.lit, (2, 3, 4, 5))))).otherwise(near)
+    shown = F.sort_array(F.array_distinct(F.filter(some, lambda n: (n > 0) & (n <= pages))))
+    spaced = F.flatten(F.transform(shown, lambda n, i: F.when((i > 0) & (n - F.get(shown, i - 1) > 1), F.array(F.lit(0), n)).otherwise(F.array(n))))
+    return F.when(pages <= 7, F.sequence(F.lit(1), pages)).otherwise(spaced)
+
+
+def reconciled(metrics: DataFrame, found: str = "findings", final: str = "final_ai_findings") -> DataFrame:
+    """Metrics with static_findings filled, where it is null, by all findings but the model's, never below 0."""
+    return metrics.withColumn("static_findings", F.coalesce("static_findings", F.greatest(F.lit(0), F.col(found) - F.col(final))))
