@@ -209,6 +209,7 @@ def policy(findings: DataFrame) -> DataFrame:
 JS = r"\.(?:js|jsx|mjs|cjs|ts|tsx)$"
 PY = r"\.pyw?$"
 CS = r"\.cs$"
+JAVA = r"\.java$"
 LINE_RULES = [
     ("no-console", "low", JS, r"\bconsole\s*\.\s*log\s*\("),
     ("debugger", "medium", JS, r"^\s*debugger\s*;?\s*$"),
@@ -231,6 +232,40 @@ LINE_RULES = [
     ("command-injection", "high", PY, r"\bshell\s*=\s*True\b"),
     ("async-void", "medium", CS, r"\basync\s+void\b"),
     ("sync-over-async", "medium", CS, r"\.(?:Result\b|Wait\(\)|GetAwaiter\(\)\.GetResult\(\))"),
+    ("null-safety", "medium", JS, r"\bdocument\.(?:getElementById|querySelector)\s*\([^)]*\)\s*\.\s*\w"),
+    ("authorization", "high", JS, r"(?i)\bheaders\s*(?:\[\s*['\"]|\.get\(\s*['\"]|\.)\s*x-(?:user-)?(?:role|admin)"),
+    ("insufficient-test-assertion", "medium", r"\.(?:spec|test)\.[jt]sx?$", r"\bexpect\s*\(\s*(?:result|response|data)\w*\s*\)\s*\.\s*(?:toBeTruthy|toBeDefined)\s*\("),
+    ("insufficient-test-assertion", "medium", r"\.(?:spec|test)\.[jt]sx?$", r"\bexpect\s*\([^)]*\)\s*\.\s*(?:toBeUndefined\s*\(|toBe\s*\(\s*undefined\s*\)|toEqual\s*\(\s*undefined\s*\))"),
+    ("unobserved-promise-rejection", "medium", r"\.tsx?$", r"^\s*Promise\.reject\s*\([^)]*\)\s*;"),
+    ("always-truthy-condition", "medium", r"\.tsx?$", r"\bif\s*\([^)]*\|\|\s*(?:'[^']+'|\"[^\"]+\")\s*\)"),
+    ("logic-error", "medium", JAVA, r"(?i)\b(?:offset|skip|setFirstResult)\w*\s*(?:=|\()\s*page\w*\s*\*\s*\w*size"),
+    ("command-injection", "high", JAVA, r"\.exec\s*\([^)]*(?:\"\s*\+|\+\s*\w)"),
+    ("sql-injection", "high", JAVA, r"\bcreateNativeQuery\s*\(.*(?:\"\s*\+|\+\s*\w)"),
+    ("path-traversal", "high", JAVA, r"\.resolve\s*\(\s*\w*[eE]ntry\.getName\s*\(\s*\)"),
+    ("unsafe-deserialization", "high", JAVA, r"\.readObject\s*\(\s*\)"),
+    ("weak-cryptography", "high", JAVA, r"(?i)\bgetInstance\s*\(\s*\"(?:md5|sha-?1)\""),
+    ("exception-detail-exposure", "medium", JAVA, r"\b(?:ResponseEntity|body)\b.*\b(?:e|ex|exception)\.getMessage\s*\("),
+    ("data-validation", "high", JAVA, r"\bBeanUtils\.copyProperties\s*\(\s*(?:request|dto|input)\w*\s*,"),
+    ("unowned-background-task", "medium", JAVA, r"^\s*CompletableFuture\.(?:runAsync|supplyAsync)\s*\("),
+    ("sensitive-data-logging", "high", JAVA, r"(?i)\b(?:log|logger)\.\w+\s*\(.*password"),
+    ("missing-input-validation", "medium", JAVA, r"[(,]\s*@RequestBody\s+[A-Z]"),
+    ("insufficient-test-assertion", "medium", r"(?i)tests?\.java$", r"\bassert(?:True|NotNull)\s*\(\s*\w*[sS]ervice\.(?:save|update|delete|create)\w*\s*\("),
+    ("null-forgiving-nullable", "medium", CS, r"(?:\bawait\b[^;]*\)|\.Result)!\s*[.;]"),
+    ("missing-cancellation-propagation", "medium", CS, r"\.SaveChangesAsync\s*\(\s*\)"),
+    ("pagination-offset", "medium", CS, r"\.Skip\s*\(\s*page\w*\s*\*\s*\w+\s*\)"),
+    ("weak-cryptography", "high", CS, r"\b(?:MD5|SHA1)(?:\.(?:Create|HashData)\s*\(|CryptoServiceProvider\b|Managed\b)"),
+    ("weak-encryption", "high", CS, r"\bCipherMode\.ECB\b"),
+    ("httpclient-lifetime", "medium", CS, r"^\s*(?:var|HttpClient)\s+\w+\s*=\s*new\s+HttpClient\s*\("),
+    ("dbcontext-concurrency", "high", CS, r"\bWhenAll\s*\(.*_?(?:context|db)\w*\..*_?(?:context|db)\w*\."),
+    ("singleton-mutable-state", "high", CS, r"\bAddSingleton\s*<[^>]*(?:Tenant|Request|User)\w*(?:State|Context|Session)"),
+    ("dependency-lifetime", "high", CS, r"\bclass\s+\w+\s*\([^)]*DbContext\b[^)]*\)\s*:\s*BackgroundService"),
+    ("mass-assignment", "high", CS, r"\.(?:IsAdmin|Role|Roles|IsVerified|Balance)\s*=\s*(?:request|input|dto|model)\w*\."),
+    ("sensitive-data-logging", "high", CS, r"(?i)\b_?log(?:ger)?\.\w+\s*\(.*password"),
+    ("hardcoded-secret", "critical", r"(?:^|/)appsettings[\w.]*\.json$", r"(?i)\bpassword=[^;\"{$]{3,}"),
+    ("debug-logging", "low", r"(?:^|/)appsettings[\w.]*\.json$", r"\"Default\"\s*:\s*\"(?:Trace|Debug)\""),
+    ("insufficient-test-assertion", "low", r"(?i)tests?\.cs$", r"\bAssert\.Equal\s*\(\s*0\s*,.*[pP]arse"),
+    ("insufficient-test-assertion", "low", r"(?i)tests?\.cs$", r"\bAssert\.IsType\s*<\s*(?:OkResult|NoContentResult|OkObjectResult)\s*>\s*\(.*[uU]pdate"),
+    ("insufficient-test-assertion", "low", r"(?i)tests?\.cs$", r"\bAssert\.NotNull\s*\(.*[cC]lear"),
     ("hardcoded-secret", "critical", r".", r"(?i)\b[\w-]*(?:password|passwd|secret|api_?key|access_?token|auth_?token|private_?key)[\w-]*['\"]?\s*[:=]\s*(?:\"[^\"']{6,}\"|'[^\"']{6,}')"),
 ]
 #: Literals that stand for a secret without being one.
@@ -241,6 +276,7 @@ def line_findings(lines: DataFrame, keep: list[str], rules: list[tuple] = LINE_R
     """(keep..., line_number, rule_id, severity): all rules over all added lines in one pass; path and content are read."""
     low, value = F.lower("path"), F.lower(F.regexp_extract("content", r"[:=]\s*[\"']([^\"']+)[\"']", 1))
     real = ~value.isin(STAND_INS) & ~value.rlike(r"^[x*.]+$|^\$\{|^\{\{|^<")
+    # the path, which most rules rule out, is asked before the line
     hit = lambda rule, files, pattern: low.rlike(files) & F.col("content").rlike(pattern) & (real if rule == "hardcoded-secret" else F.lit(True))
     found = F.array_compact(F.array(*(F.when(hit(rule, files, pattern), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for rule, severity, files, pattern in rules)))
     return lines.select(*keep, "line_number", F.explode(found).alias("f")).select(*keep, "line_number", "f.rule_id", "f.severity")

@@ -181,18 +181,21 @@ def syntax_findings(files: DataFrame) -> DataFrame:
     """(file_id, line_number, rule_id, severity) by the shape of the new side of each hunk, on added and kept lines alike."""
     ship_package(files.sparkSession)
     low = F.lower("path")
-    kind = F.when(low.rlike(r"\.pyw?$"), "python").when(low.rlike(r"\.(?:js|jsx|mjs|cjs|ts|tsx)$"), "script")
+    kind = F.when(low.rlike(r"\.pyw?$"), "python").when(low.rlike(r"\.(?:js|jsx|mjs|cjs|ts|tsx)$"), "script").when(low.rlike(r"\.(?:cs|java)$"), "methods")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from patchlake.operators.methods import method_findings
+
         for rb in batches:
             out = set()
-            for i, k, patch in zip(*(rb.column(c).to_pylist() for c in range(3))):
+            for i, k, path, patch in zip(*(rb.column(c).to_pylist() for c in range(4))):
                 for first, text in added_blocks(patch):
                     if k == "python":
                         out |= {(i, first + line - 1, rule, s) for line, rule, s in python_findings(text)}
-                    else:
-                        out |= {(i, first + text.count("\n", 0, at), rule, s) for at, rule, s in script_findings(text)}
+                        continue
+                    shapes = script_findings(text) if k == "script" else ()
+                    out |= {(i, first + text.count("\n", 0, at), rule, s) for at, rule, s in [*shapes, *method_findings(path, text)]}
             cols = list(zip(*sorted(out))) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["file_id", "line_number", "rule_id", "severity"])
 
-    return files.withColumn("kind", kind).where("kind is not null and patch is not null").select("file_id", "kind", "patch").mapInArrow(run, SCHEMA)
+    return files.withColumn("kind", kind).where("kind is not null and patch is not null").select("file_id", "kind", "path", "patch").mapInArrow(run, SCHEMA)
