@@ -276,7 +276,12 @@ def line_findings(lines: DataFrame, keep: list[str], rules: list[tuple] = LINE_R
     """(keep..., line_number, rule_id, severity): all rules over all added lines in one pass; path and content are read."""
     low, value = F.lower("path"), F.lower(F.regexp_extract("content", r"[:=]\s*[\"']([^\"']+)[\"']", 1))
     real = ~value.isin(STAND_INS) & ~value.rlike(r"^[x*.]+$|^\$\{|^\{\{|^<")
-    # the path, which most rules rule out, is asked before the line
-    hit = lambda rule, files, pattern: low.rlike(files) & F.col("content").rlike(pattern) & (real if rule == "hardcoded-secret" else F.lit(True))
-    found = F.array_compact(F.array(*(F.when(hit(rule, files, pattern), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for rule, severity, files, pattern in rules)))
-    return lines.select(*keep, "line_number", F.explode(found).alias("f")).select(*keep, "line_number", "f.rule_id", "f.severity")
+    # the kind of file, which rules out most rules, is asked once for all of its rules
+    kinds: dict[str, list[Column]] = {}
+    for rule, severity, files, pattern in rules:
+        hit = F.col("content").rlike(pattern) & (real if rule == "hardcoded-secret" else F.lit(True))
+        kinds.setdefault(files, []).append(F.when(hit, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))))
+    none = F.array().cast("array<struct<rule_id:string,severity:string>>")
+    found = F.concat(*(F.when(low.rlike(files), F.array_compact(F.array(*some))).otherwise(none) for files, some in kinds.items()))
+    # an outer explode: of an inner one, the optimizer would ask for the size of the array first, by all patterns once more
+    return lines.select(*keep, "line_number", F.explode_outer(found).alias("f")).where("f is not null").select(*keep, "line_number", "f.rule_id", "f.severity")
