@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchlake.catalog import FILES, FINDINGS, GATE, KEY, LINES, RANK, RUNS, _runs, _sourced, query
-from patchlake.operators import contradictions, diff, findings, history, publishing
+from patchlake.operators import contradictions, diff, findings, gates, history, publishing
 from patchlake.runtime import table
 from patchlake.sources import providers
 from patchlake.sources import review_tables as tables
@@ -254,3 +254,51 @@ def batch_prompts(spark, d):
 def contradicted_findings(spark, d):
     f = tables.files(spark, d)
     return contradictions.contradicted(tables.findings(spark, d), f.select("repository", "path", F.col("patch").alias("text")), diff.added_lines(f, ["repository", "path"]), ["repository", "path"])
+
+
+# ---- gates ---------------------------------------------------------------------------------------------------------------
+
+
+@query(rf"""with {LINES}, own as (select file_id, path, line_number, content, trim(content) bare from added where not regexp_matches(content, '^\s*(?:[{{}}()\[\]]|\}};|\);|\],|\}},)?\s*$') and not regexp_matches(content, '^\s*//')),
+    n as (select file_id, path, count(*) n, bool_or(regexp_matches(content, '(?i)(?:password|secret|token)["'']?\s*[:=]\s*["'']?[^\s"'']{{3,}}|credential|(?:api|access|private)[_-]?key|cors|allowed[_-]?origins|csrf|\bssl\b|\btls\b|connectionstrings|signingkey')) sensitive,
+        bool_or(regexp_matches(content, '(?i)url\s*\(|@import|expression\s*\(|behavior\s*:')) risk, bool_and(regexp_matches(bare, '^(?:["]{{3}}.*|['']{{3}}.*|#.*|[^=(){{}}\[\]:]*)$')) remarks from own group by all),
+    r as (select *, regexp_extract(lower(path), '[^/]*$') name from n)
+    select file_id, case when regexp_matches(lower(path), '\.pyw?$') and remarks then 'module of remarks'
+        when regexp_matches(name, '(?:\.(?:sln|csproj|fsproj|vbproj)|^(?:directory\.build\.(?:props|targets)|global\.json|pom\.xml|build\.gradle(?:\.kts)?|settings\.gradle(?:\.kts)?|gradle\.properties))$')
+            or regexp_matches(name, '^(?:appsettings[\w.]*\.json|launchsettings\.json|web\.config|app\.config|nlog\.config|application[\w-]*\.(?:properties|ya?ml)|logback[\w-]*\.xml)$') and not sensitive then 'configuration alone'
+        when regexp_matches(lower(path), '\.(?:css|scss|sass|less|styl)$') and not risk then 'plain styles' else 'other' end reason from r where not regexp_matches(lower(path), '\.(?:cs|java)$')""")
+def gated_files(spark, d):
+    lines = diff.added_lines(tables.files(spark, d), ["file_id", "path"]).where(~F.lower("path").rlike(r"\.(?:cs|java)$"))
+    none = lines.select("file_id", "line_number").limit(0)
+    constructs = lines.limit(0).select("file_id", F.lit(0).alias("constructs"), F.lit(True).alias("covered"))
+    g = gates.value_gate(lines, none, constructs, ["file_id"])
+    # passive declarations are tested on fixtures: their forms are no SQL patterns
+    return g.select("file_id", F.when(F.col("reason") == "passive declaration", "other").otherwise(F.coalesce("reason", F.lit("other"))).alias("reason"))
+
+
+@query()
+def value_gate(spark, d):
+    from patchlake.operators import rules
+
+    f = tables.files(spark, d)
+    lines = diff.added_lines(f, ["file_id", "path"])
+    found = rules.line_findings(lines, ["file_id"])
+    texts = lines.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "content"))).alias("l")).select("file_id", F.array_join(F.transform("l", lambda x: x["content"]), "\n").alias("text"), F.col("l")[0]["line_number"].alias("first"))
+    spans = gates.spans(texts.select("file_id", "first", "text"), ["file_id", "first"]).select("file_id", (F.col("start") + F.col("first") - 1).alias("start"), (F.col("end") + F.col("first") - 1).alias("end"))
+    return gates.value_gate(lines, found, gates.covered_constructs(spans, found, ["file_id"]), ["file_id"])
+
+
+@query(rf"""with {FINDINGS}, {LINES}, l as (select repository, path, line_number, min(content) content from added group by all),
+    s as (select f.seq, f.rule_id, f.path, content, regexp_replace(lower(concat_ws(' ', issue, suggestion)), '[^a-z0-9]+', ' ', 'g') t, ' ' || trim(regexp_replace(lower(coalesce(content, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' c from findings f left join l on l.repository = f.repository and l.path = f.path and l.line_number = f.line_number),
+    k as (select *, ' ' || trim(t) || ' ' u, case rule_id when 'incorrect-result-handling' then regexp_matches(c, ' (return|update|save|delete|create|result|success) ') when 'async-blocking-operation' then regexp_matches(c, ' (time sleep|thread sleep|wait|result|readfilesync|execsync) ')
+        when 'missing-timeout' then regexp_matches(c, ' (get|post|put|patch|delete|request|send) ') when 'authorization' then regexp_matches(c, ' (if|unless|require|check|contains|includes) ') when 'command-injection' then regexp_matches(c, ' (shell true|exec|system|popen|check output|process start) ')
+        when 'unsafe-code-execution' then regexp_matches(c, ' (eval|exec|compile|function) ') when 'cache-consistency' then regexp_matches(c, ' (cache|key|memo) ') when 'unsafe-deserialization' then regexp_matches(c, ' ((pickle|dill) loads?|yaml load) ')
+        when 'insufficient-test-assertion' then regexp_matches(c, ' (assert|expect|verify|should) ') and regexp_matches(c, ' (status|called|true|not none|not null|notnull|istype|equal) ') when 'weak-cryptography' then regexp_matches(c, ' (md5|sha1) ')
+        when 'resource-cleanup' then regexp_matches(c, ' (open|clientsession|response|stream|reader|writer) ') when 'unowned-background-task' then regexp_matches(c, ' (create task|run in executor|submit|task run|startnew) ')
+        when 'exception-detail-exposure' then regexp_matches(c, ' (str (error|exception|exc|e)|message|stacktrace) ') end ok from s)
+    select seq, list_filter([case when regexp_matches(u, ' (assume|assumes|assuming|assumption|probably|might be|could be|should come from|appears to be|seems to|without knowing|come from a database) ') then 'assumes' end,
+        case when regexp_matches(lower(path), '\.(?:properties|ya?ml|env)$') and regexp_matches(u, ' (empty password|create drop|h2|embedded database|default password|debug) ') then 'local settings' end,
+        case when ok is not null and content is null then 'no changed line' end, case when content is not null and not ok then 'line shows nothing of it' end], lambda x: x is not null) reasons from k""")
+def semantic_reasons(spark, d):
+    lines = diff.added_lines(tables.files(spark, d), ["repository", "path"])
+    return gates.semantic_reasons(tables.findings(spark, d), lines, ["repository", "path"])

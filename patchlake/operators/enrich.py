@@ -12,8 +12,12 @@ from patchlake.operators.classify import meaningful
 GOES_ON = r"(?:[(,\\:=+-]|->)$"
 #: Share of lines that findings must cover for a file to need no model, for files and for short ones, and what is short.
 COVERED, COVERED_SHORT, SHORT = 0.8, 0.5, 8
-#: What a risky line shows; a file with one is always looked at.
-SIGNAL = r"(?i)\b(?:password|secret|token|auth|admin|exec|eval|query|select|delete|redirect|cookie)\b"
+#: Words of lines that are worth a look; a file with one is always looked at.
+SIGNAL_WORDS = (
+    "auth token secret permission role payment transaction database request response fetch http await async promise subscribe throw catch return parse serialize deserialize validate route middleware"
+    " worker deploy build workflow cache concurr lock stream"
+).split()
+SIGNAL = r"(?i)\b(?:" + "|".join(SIGNAL_WORDS) + r")\b"
 
 
 def line_evidence(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -93,3 +93,27 @@ def test_clock_and_days(spark):
     assert [r[0] for r in df.select(history.clock(F.col("s"))).collect()] == ["00:59", "60:00", "116:40", None, None]
     d = spark.createDataFrame([("2024-01-01 23:59:59",), ("2024-01-02 00:00:00",), (None,)], "t string").select(F.col("t").cast("timestamp").alias("t"))
     assert history.within(d, "t", "2024-01-01", "2024-01-01").count() == 1 and history.within(d, "t", None, None).count() == 3 and history.within(d, "t", "2024-02-01", "2024-01-01").count() == 0
+
+GATED = {
+    "a.py": ("# only remarks\n\"\"\"text\"\"\"", "module of remarks"), "m.py": ("from x import y\nclass A(B):\n    name: str\n    age: int = 3", "passive declaration"), "w.py": ("def f():\n    return go()", None),
+    "A.cs": ("using X;\npublic class A\n{\n    public string Name { get; set; }\n}", "passive declaration"), "B.cs": ("public class B {\n  void Go() { Run(); }\n}", None), "A.java": ("package a;\nimport b;\n@Entity\npublic class A {\n  private String name;\n}", "passive declaration"),
+    "x/p.csproj": ("<Project>", "configuration alone"), "appsettings.json": ('"Level": "x"', "configuration alone"), "y/appsettings.json": ('"Password": "abc123"', None), "a.css": ("a { color: red; }", "plain styles"), "b.css": ("a { background: url(x); }", None),
+    "c.js": ("one = 1\ntwo = 2", "lines covered"), "d.js": ("one = 1\nthree = await x", None), "e.js": ("function go() {\n  one = fetch(x)\n}", "every construct covered"),
+}
+
+
+def test_gates_in_order(spark):
+    from patchlake.operators import gates
+
+    rows = [(p, i + 1, x) for p, (t, _) in GATED.items() for i, x in enumerate(t.split("\n"))]
+    lines = spark.createDataFrame(rows, "path string, line_number int, content string").withColumn("k", F.col("path"))
+    found = spark.createDataFrame([("c.js", 1), ("c.js", 1), ("d.js", 1), ("e.js", 2)], "k string, line_number int")
+    texts = spark.createDataFrame([(p, t) for p, (t, _) in GATED.items()] + [("none", None)], "k string, text string")
+    spans = gates.spans(texts, ["k"])
+    assert {(r.k, r.start, r.end) for r in spans.collect()} == {("B.cs", 2, 2), ("e.js", 1, 3)}
+    got = {r.k: r.reason for r in gates.value_gate(lines, found, gates.covered_constructs(spans, found, ["k"]), ["k"]).collect()}
+    assert got == {p: reason for p, (_, reason) in GATED.items()}
+    deep = gates.value_gate(lines, found, gates.covered_constructs(spans, found, ["k"]), ["k"], "deep")
+    assert all(r.reason is None for r in deep.collect())
+    fast = {r.k: r.reason for r in gates.value_gate(lines.withColumn("content", F.lit("x = 1")), found.limit(0), gates.covered_constructs(spans, found, ["k"]).limit(0), ["k"], "fast").collect()}
+    assert fast["d.js"] == "no signal"
