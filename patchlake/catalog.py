@@ -678,7 +678,12 @@ def structural_reasons(spark, d):
     return f.select("seq", validation.structural(f).alias("reasons"))
 
 
-@query()
+@query(rf"""with {FINDINGS}, {LINES}, near as (select f.seq, f.rule_id, a.line_number = f.line_number at_it, a.content from findings f join added a on a.repository = f.repository and a.path = f.path and a.line_number between f.line_number - 3 and f.line_number + 3),
+    seen as (select seq, bool_or(at_it) on_line, bool_or(at_it and regexp_matches(regexp_replace(content, '^\s+', ''), '^(#|//|/\*|\*|<!--)')) remark,
+        bool_or(case rule_id when 'no-console' then regexp_matches(content, '\bconsole\s*\.') when 'debugger' then regexp_matches(content, '\bdebugger\b') when 'loose-equality' then regexp_matches(content, '[^=!]==[^=]|!=[^=]') when 'bare-except' then regexp_matches(content, '\bexcept\s*:')
+            when 'unsafe-inner-html' then contains(content, 'innerHTML') when 'hardcoded-secret' then regexp_matches(content, '[:=(,]\s*["''`]') when 'embedded-credential' then regexp_matches(content, '["''`]') when 'weak-cryptography' then regexp_matches(content, '(?i)\b(md5|sha1)\b')
+            when 'command-injection' then regexp_matches(content, '(?i)\b(exec|system|popen|subprocess|shell)\b') when 'sql-injection' then regexp_matches(content, '(?i)\b(select|insert|update|delete|execute|query|raw)\b') else true end) shows from near group by all)
+    select seq, {_reasons_sql()} || list_filter([case when not coalesce(on_line, false) then 'not a changed line' end, case when remark then 'comment line' end, case when on_line and not shows then 'no evidence on the line' end], lambda x: x is not null) reasons from findings left join seen using (seq)""")
 def grounded_reasons(spark, d):
     lines = diff.added_lines(tables.files(spark, d), ["repository", "path"])
     return validation.grounded(tables.findings(spark, d), lines, ["repository", "path"])
