@@ -195,10 +195,11 @@ def prefixes(held: DataFrame) -> DataFrame:
 def bitmap(prefix: DataFrame, count: int) -> np.ndarray:
     """A bit for each remainder of a shingle: 2 ** 16 to 2 ** 27 bits, whatever the number of shingles.
 
-    Each task sets the bits of one of SEGMENTS ranges; the driver joins the ranges, 16 MB at most.
+    Each task sets the bits of one of at most SEGMENTS ranges; the driver joins the ranges, 16 MB at most.
     """
     bits = min(27, max(16, (64 * max(1, count)).bit_length()))
-    each = (1 << bits) // SEGMENTS
+    segments = min(SEGMENTS, 1 << max(0, bits - 18))
+    each = (1 << bits) // segments
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -210,8 +211,8 @@ def bitmap(prefix: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([np.packbits(x).tobytes() for x in made.values()], pa.binary())], ["seg", "bits"])
 
     at = F.pmod("shingle", F.lit(1 << bits))
-    rows = prefix.select(F.floor(at / each).alias("seg"), at.alias("at")).distinct().repartition(SEGMENTS, "seg").mapInArrow(run, "seg long, bits binary").collect()
-    out = np.zeros((SEGMENTS, each // 8), np.uint8)
+    rows = prefix.select(F.floor(at / each).alias("seg"), at.alias("at")).distinct().repartition(segments, "seg").mapInArrow(run, "seg long, bits binary").collect()
+    out = np.zeros((segments, each // 8), np.uint8)
     for r in rows:
         out[r["seg"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
@@ -256,18 +257,20 @@ def carriers(docs: DataFrame, items: DataFrame) -> DataFrame:
         last = np.int64(8 * len(wanted) - 1)
         for rb in rows:
             ids, ats, prints, around = [], [], [], []
-            for i, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-                if not text:
-                    continue
-                words = folded(text)
-                h = hashes(words, known)
-                at = h & last
-                for k in np.flatnonzero((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).tolist():
-                    a = max(0, k - longest)
-                    ids.append(i)
-                    ats.append(k - a)
-                    prints.append(int(h[k]))
-                    around.append(words[a : k + longest])
+            texts = [(i, folded(t)) for i, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()) if t]
+            every = [hashes(words, known) for _, words in texts]
+            begin = np.cumsum([0, *map(len, every)])
+            h = np.concatenate([np.zeros(0, np.int64), *every])
+            at = h & last
+            hits = np.flatnonzero((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            for k, d in zip(hits.tolist(), (np.searchsorted(begin, hits, side="right") - 1).tolist()):
+                i, words = texts[d]
+                k -= int(begin[d])
+                a = max(0, k - longest)
+                ids.append(i)
+                ats.append(k - a)
+                prints.append(int(every[d][k]))
+                around.append(words[a : k + longest])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(prints, pa.int64()), pa.array(around, pa.list_(pa.string()))], ["doc_id", "at", "shingle", "around"])
 
     places = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of_docs, "doc_id long, at int, shingle long, around array<string>")

@@ -186,6 +186,10 @@ def batches(contexts: DataFrame, capacity: int) -> DataFrame:
     made = materialize(made, "batches")  # the numbers below are taken from it several times
     # a hot change-set is numbered in buckets by the first context, each a task of its own, after what stands in earlier ones
     span = made.groupBy(*KEY).agg(F.min("first").alias("low"), F.max("first").alias("high"), F.count("*").alias("count")).where(F.col("count") > BLOCK)
+    if span.isEmpty():  # no task of a window holds more than BLOCK batches
+        w = Window.partitionBy(*KEY)
+        ranked = made.withColumn("batch_index", F.row_number().over(w.orderBy("first", "batch")) - 1).withColumn("rank", F.row_number().over(w.orderBy(F.desc("tokens"), "first", "batch")) - 1)
+        return _stepped(ranked.withColumn("groups", F.ceil(F.count("*").over(w) / STEP)))
     s = broadcast_if_small(span.select(*(F.col(k).alias(f"s_{k}") for k in KEY), "low", "high", "count"))
     wide = (F.col("high") - F.col("low") + 1) / F.ceil(F.col("count") / BLOCK)
     bucket = F.coalesce(F.floor((F.col("first") - F.col("low")) / wide), F.lit(0)).cast("int")
@@ -194,13 +198,15 @@ def batches(contexts: DataFrame, capacity: int) -> DataFrame:
     ranked = _numbered(numbered.withColumn("light", -F.col("tokens")), ["light", "bucket"], ["first", "batch"], "rank")
     sizes = made.groupBy(*KEY).agg(F.ceil(F.count("*") / STEP).alias("groups"))
     g = sizes.select(*(F.col(k).alias(f"g_{k}") for k in KEY), "groups")
+    return _stepped(ranked.join(g, F.expr(" and ".join(f"{k} <=> g_{k}" for k in KEY))))
+
+
+def _stepped(ranked: DataFrame) -> DataFrame:
+    """The batches with their step group: dealt by rank to and fro."""
     turn = F.floor(F.col("rank") / F.col("groups"))
     place = F.pmod(F.col("rank"), F.col("groups"))
-    return (
-        ranked.join(g, F.expr(" and ".join(f"{k} <=> g_{k}" for k in KEY)))
-        .withColumn("step_group", F.when(turn % 2 == 0, place).otherwise(F.col("groups") - 1 - place).cast("int"))
-        .select(*KEY, "batch_index", "step_group", "files", "n_contexts", "tokens")
-    )
+    step = F.when(turn % 2 == 0, place).otherwise(F.col("groups") - 1 - place).cast("int")
+    return ranked.select(*KEY, F.col("batch_index").cast("int").alias("batch_index"), step.alias("step_group"), "files", "n_contexts", "tokens")
 
 
 def _numbered(rows: DataFrame, parts: list[str], order: list[str], name: str) -> DataFrame:
