@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchlake.catalog import FILES, FINDINGS, GATE, KEY, LINES, RANK, RUNS, _runs, _sourced, query
-from patchlake.operators import contradictions, diff, findings, gates, history, publishing
+from patchlake.operators import contradictions, crossfile, diff, findings, gates, history, proofs, publishing
 from patchlake.runtime import table
 from patchlake.sources import providers
 from patchlake.sources import review_tables as tables
@@ -302,3 +302,40 @@ def value_gate(spark, d):
 def semantic_reasons(spark, d):
     lines = diff.added_lines(tables.files(spark, d), ["repository", "path"])
     return gates.semantic_reasons(tables.findings(spark, d), lines, ["repository", "path"])
+
+
+# ---- from file to file ---------------------------------------------------------------------------------------------------
+
+TEXTS = FILES + ", texts as (select repository, path, max(patch) as text from files group by all)"
+
+
+def _texts(spark, d):
+    return tables.files(spark, d).groupBy("repository", "path").agg(F.max("patch").alias("text"))
+
+
+@query(rf"""with {TEXTS}, refs as (select distinct repository, path, unnest(regexp_extract_all(text, '(?:\bfrom\s*|\brequire\(\s*|\bimport\(?\s*)["''](\.{{1,2}}/[^"''\n]+)["'']', 1)) ref from texts where text is not null),
+    parts as (select *, list_filter(string_split(path, '/')[:-2] || string_split(ref, '/'), lambda x: x not in ('', '.')) p from refs),
+    own as (select distinct repository, path, array_to_string(case when len(p) = 0 then [] else list_reduce(list_prepend([]::varchar[], [[x] for x in p]), lambda a, x: case when x[1] = '..' then a[:-2] else a || x end) end, '/') target from parts),
+    tried as (select *, unnest(['', '.js', '.jsx', '.mjs', '.ts', '.tsx', '.json', '.vue', '/index.js', '/index.ts', '/index.tsx']) e from own)
+    select t.repository, t.path, t.target, bool_or(k.path is not null) "exists" from tried t left join texts k on k.repository = t.repository and k.path = t.target || t.e group by all""")
+def file_references(spark, d):
+    return crossfile.references(_texts(spark, d), ["repository"])
+
+
+@query(rf"""with {TEXTS}, asked as (select distinct repository, path, unnest(regexp_extract_all(text, '\bgetElementById\s*\(\s*["'']([\w-]+)["'']', 1)) as name from texts where not regexp_matches(lower(path), '\.html?$')),
+    has as (select distinct repository, unnest(regexp_extract_all(text, '\bid\s*=\s*["'']([\w-]+)["'']', 1)) as name from texts where regexp_matches(lower(path), '\.html?$'))
+    select a.repository, a.path, a.name, h.name is not null "exists" from asked a left join has h on h.repository = a.repository and h.name = a.name""")
+def page_elements(spark, d):
+    return crossfile.elements(_texts(spark, d), ["repository"])
+
+
+@query(rf"""with {TEXTS}, declared as (select distinct repository, path component, unnest(regexp_extract_all(text, '\bselector\s*:\s*["'']([\w-]+)["'']', 1)) as name from texts where regexp_matches(lower(path), '\.ts$')),
+    used as (select distinct repository, path, unnest(regexp_extract_all(text, '<([a-z][a-z0-9]*-[\w-]+)', 1)) as name from texts where regexp_matches(lower(path), '\.html?$')), n as (select repository, name, count(*) pages from used group by all)
+    select d.repository, d.name, component, coalesce(pages, 0) pages from declared d left join n on n.repository = d.repository and n.name = d.name""")
+def component_selectors(spark, d):
+    return crossfile.selectors(_texts(spark, d), ["repository"])
+
+
+@query()
+def refuted_findings(spark, d):
+    return proofs.refuted(tables.findings(spark, d), _texts(spark, d), ["repository", "path"])

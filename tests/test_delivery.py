@@ -117,3 +117,34 @@ def test_gates_in_order(spark):
     assert all(r.reason is None for r in deep.collect())
     fast = {r.k: r.reason for r in gates.value_gate(lines.withColumn("content", F.lit("x = 1")), found.limit(0), gates.covered_constructs(spans, found, ["k"]).limit(0), ["k"], "fast").collect()}
     assert fast["d.js"] == "no signal"
+
+
+def test_references_between_files(spark):
+    from patchlake.operators import crossfile
+
+    rows = [
+        ("r", "src/app/a.ts", "import { x } from './b'\nimport y from '../lib/c.js'\nconst z = require('./none')\nselector: 'app-a'\ntemplateUrl: './a.html'\ndocument.getElementById('root'); document.getElementById('gone')"),
+        ("r", "src/app/b.ts", None), ("r", "src/lib/c.js", ""), ("r", "src/app/a.html", '<div id="root"><app-a></app-a></div>'), ("s", "src/app/none.ts", "x"),
+        ("r", "tests/test_api.py", "from api import app\nimport os"), ("r", "tests/test_both.py", "from api import app\nfrom web import x"),
+    ]
+    df = spark.createDataFrame(rows, "repository string, path string, text string")
+    assert {(r.target, r.exists) for r in crossfile.references(df, ["repository"]).collect()} == {("src/app/b", True), ("src/lib/c.js", True), ("src/app/none", False)}
+    assert [(r.target, r.exists) for r in crossfile.templates(df, ["repository"]).collect()] == [("src/app/a.html", True)]
+    assert {(r.name, r.exists) for r in crossfile.elements(df, ["repository"]).collect()} == {("root", True), ("gone", False)}
+    assert [(r.name, r.component, r.pages) for r in crossfile.selectors(df, ["repository"]).collect()] == [("app-a", "src/app/a.ts", 1)]
+    modules = spark.createDataFrame([("r", "api", "fastapi"), ("r", "web", "react"), ("r", "os", "unknown")], "repository string, module string, framework string")
+    assert [tuple(r) for r in crossfile.tested_modules(df, modules, ["repository"]).collect()] == [("r", "tests/test_api.py", "fastapi")]
+    roots = spark.createDataFrame([("r", "src"), ("r", "src/app"), ("r", "tests")], "repository string, root string")
+    kind = F.when(F.col("path").endswith(".ts"), "typescript").otherwise("unknown")
+    got = {r.root: (r.files, r.languages, r.framework) for r in crossfile.project_contexts(df, roots, ["repository"], kind, F.when(F.col("path").endswith("a.ts"), "angular").otherwise("unknown")).collect()}
+    assert got == {"src": (1, [], "unknown"), "src/app": (3, ["typescript"], "angular"), "tests": (2, [], "unknown")}
+
+
+def test_claims_that_the_text_refutes(spark):
+    from patchlake.operators import proofs
+
+    text = "function load() {\n  return 1;\n}\nfunction save() {\n  let n = 1;\n  use(n);\n}\nconst a = [\n  'x',\n  'y',\n  'x',\n];"
+    cases = [(1, 5, "The `load` function leaks", ["outside the callable named"]), (2, 2, "The `load` function leaks", None), (3, 10, "duplicate entry 'y'", ["stands there once"]), (4, 9, "duplicate entry 'x'", None), (5, 6, "`n` is read before it is assigned", ["assigned before it is read"]), (6, 6, "The `other` function", None), (7, None, "The `load` function", None)]
+    f = spark.createDataFrame([(s, "p", line, c, None) for s, line, c, _ in cases], "seq int, path string, line_number int, issue string, suggestion string")
+    files = spark.createDataFrame([("p", text), ("q", None)], "path string, text string")
+    assert {r.seq: r.reasons for r in proofs.refuted(f, files, ["path"]).collect()} == {s: r for s, _, _, r in cases if r}
