@@ -90,6 +90,49 @@ def script_findings(text: str) -> Iterator[tuple[int, str, str]]:
             yield m.start(3), "unreachable-code", "medium"
 
 
+_DECLARED = re.compile(r"(?m)^[ \t]*(export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?!\s*(?:set(?:Interval|Timeout)|requestAnimationFrame)\b)")
+_FUNCTION = re.compile(r"\bfunction\b\s*[\w$]*\s*\(|\bconstructor\s*\(|(?<=[=(,:])\s*(?:async\s*)?\((?=[^()]*\)\s*(?::[^={]+)?=>)")
+_PARAMETER = re.compile(r"^\s*(?:(?:public|private|protected|readonly)\s+)*\.{0,3}([A-Za-z$][\w$]*)\s*\??\s*(?::|=|$)")
+
+
+def _occurs(name: str, text: str) -> int:
+    return len(re.findall(rf"(?<![\w$]){re.escape(name)}(?![\w$])", text))
+
+
+def unused_findings(text: str, whole: str) -> Iterator[tuple[int, str, str]]:
+    """(offset, rule, severity) of values that stand once in the whole file, and of parameters that their body never names.
+
+    Exported values and handles of timers are used elsewhere; a parameter property is a member, used as one or not at all.
+    """
+    for m in _DECLARED.finditer(text):
+        if not m[1] and _occurs(m[2], whole) == 1:
+            yield m.start(2), "unused-variable", "low"
+    for m in _FUNCTION.finditer(text):
+        close = matching(text, m.end() - 1)
+        if close is None:
+            continue
+        after = re.compile(r"\s*(?::[^={;]+?)?\s*(?:=>\s*)?").match(text, close + 1)
+        begin = after.end()
+        if text[begin : begin + 1] == "{":
+            end = matching(text, begin)
+        else:
+            end = text.find("\n", begin) if "=>" in after[0] else None
+            end = len(text) if end == -1 else end
+        if end is None:
+            continue
+        depth, first, pieces = 0, m.end(), []
+        for at in range(m.end(), close + 1):
+            c = text[at]
+            depth += c in "([{<" if c in "([{<" else -(c in ")]}>" and not text.startswith("=>", at - 1)) if at < close else 0
+            if at == close or c == "," and depth == 0:
+                pieces.append((first, text[first:at]))
+                first = at + 1
+        for at, piece in pieces:
+            p = _PARAMETER.match(piece)
+            if p and not p[1].startswith("_") and not _occurs(p[1], text[begin:end]) and not (re.match(r"\s*(?:public|private|protected|readonly)\b", piece) and re.search(rf"\bthis\.{re.escape(p[1])}\b", whole)):
+                yield at + p.start(1), "unused-parameter", "low"
+
+
 def python_findings(text: str) -> Iterator[tuple[int, str, str]]:
     """(line, rule, severity) of the rules over the syntax tree; nothing where the text doesn't parse."""
     try:
@@ -189,11 +232,13 @@ def syntax_findings(files: DataFrame) -> DataFrame:
         for rb in batches:
             out = set()
             for i, k, path, patch in zip(*(rb.column(c).to_pylist() for c in range(4))):
-                for first, text in added_blocks(patch):
+                blocks = added_blocks(patch)
+                whole = "\n".join(text for _, text in blocks)
+                for first, text in blocks:
                     if k == "python":
                         out |= {(i, first + line - 1, rule, s) for line, rule, s in python_findings(text)}
                         continue
-                    shapes = script_findings(text) if k == "script" else ()
+                    shapes = [*script_findings(text), *unused_findings(text, whole)] if k == "script" else ()
                     out |= {(i, first + text.count("\n", 0, at), rule, s) for at, rule, s in [*shapes, *method_findings(path, text)]}
             cols = list(zip(*sorted(out))) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["file_id", "line_number", "rule_id", "severity"])

@@ -120,3 +120,24 @@ def test_line_rules(spark):
     fired = {(r.k, r.rule_id) for r in rules.line_findings(df, ["k"]).collect()}
     for i, c in enumerate(LINES):
         assert (2 * i, c[1]) in fired and (2 * i + 1, c[1]) not in fired, c
+
+
+def test_unused_values_and_parameters():
+    found = lambda text, whole=None: [(text[at:].split()[0].strip("(),;=:"), r) for at, r, _ in syntax.unused_findings(text, whole or text)]
+    assert found("const a = 1;\nlet b = 2;\nuse(b);\nexport const c = 3;\nconst t = setInterval(f, 1);") == [("a", "unused-variable")]
+    assert found("const a = 1;", "const a = 1;\n...\nuse(a)") == []
+    assert found("function f(a, b = [1, 2], { c }, ...rest) {\n return b;\n}") == [("a", "unused-parameter"), ("rest", "unused-parameter")]
+    assert found("xs.map((x, i) => x)\nys.map((_y) => 1)") == [("i", "unused-parameter")]
+    assert found("class A {\n constructor(private http: Http, name: string) {}\n go() { this.http.get(); }\n}") == [("name", "unused-parameter")]
+    assert found("function f(a {") == [] and found("") == []
+
+
+def test_console_and_unused_value_are_the_findings_of_a_small_change(spark):
+    from patchlake.operators import diff, findings, rules
+
+    patch = "@@ -1,1 +1,3 @@\n function greet() {}\n+console.log('hi');\n+const unused = 3;"
+    df = spark.createDataFrame([(1, "src/a.js", patch)], "file_id long, path string, patch string")
+    by_line = rules.line_findings(diff.added_lines(df, ["file_id", "path"]), ["file_id"])
+    both = by_line.unionByName(syntax.syntax_findings(df))
+    assert sorted((r.line_number, r.rule_id) for r in both.collect()) == [(2, "no-console"), (3, "unused-variable")]
+    assert findings.gate(both, ["file_id"]).first().decision == "non_blocking"
