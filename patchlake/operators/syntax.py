@@ -141,6 +141,9 @@ def python_findings(text: str) -> Iterator[tuple[int, str, str]]:
             tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
+    from patchlake.operators.python_shapes import function_findings
+
+    yield from function_findings(tree)
     dotted = lambda f: ast.unparse(f) if isinstance(f, (ast.Name, ast.Attribute)) else ""
     for n in ast.walk(tree):
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):

@@ -141,3 +141,33 @@ def test_console_and_unused_value_are_the_findings_of_a_small_change(spark):
     both = by_line.unionByName(syntax.syntax_findings(df))
     assert sorted((r.line_number, r.rule_id) for r in both.collect()) == [(2, "no-console"), (3, "unused-variable")]
     assert findings.gate(both, ["file_id"]).first().decision == "non_blocking"
+
+
+#: rule, code that breaks it, code that doesn't.
+FUNCTIONS = [
+    ("incorrect-result-handling", "def f(r):\n    repo.delete(r)\n    return True", "def f(r):\n    return repo.delete(r)"),
+    ("incorrect-result-handling", "def f():\n    try:\n        go()\n    except ValueError:\n        pass\n    return True", "def f():\n    try:\n        go()\n    except ValueError:\n        return False\n    return True"),
+    ("incorrect-result-handling", "def f():\n    try:\n        go()\n    except ValueError:\n        return {'success': True}", "def f():\n    try:\n        go()\n    except ValueError:\n        return {'success': False}"),
+    ("resource-cleanup", "def f(p):\n    h = open(p)\n    return h.read()", "def f(p):\n    with open(p) as h:\n        return h.read()"),
+    ("authorization", "def f(role=Header()):\n    if role:\n        go()", "def f(role=Header()):\n    if role == 'admin':\n        go()"),
+    ("authorization", "def require_role(a, b):\n    if a != b:\n        stop()", "def require_role(a):\n    if a != 'admin':\n        stop()"),
+    ("untrusted-identity-header", "def current_user(x=Header()):\n    return x", "def current_user(x=Depends(y)):\n    return x"),
+    ("logic-error", "def f(page, page_size):\n    return q.offset(page * page_size)", "def f(page, page_size):\n    return q.offset((page - 1) * page_size)"),
+    ("cache-consistency", "def f(a, b):\n    key = f'x{a}'\n    return cache.get(key) or load(a, b)", "def f(a, b):\n    key = f'x{a}{b}'\n    return cache.get(key) or load(a, b)"),
+    ("insufficient-test-assertion", "def test_a():\n    assert r.status_code == 200", "def test_a():\n    assert r.status_code == 200\n    assert r.json() == 3"),
+    ("insufficient-test-assertion", "def test_a():\n    assert r.total == 3", "def test_a():\n    assert r.total == 3\n    assert r.items == [1]"),
+    ("insufficient-test-assertion", "def test_missing():\n    assert go() is True", "def test_missing():\n    assert go() is False"),
+    ("missing-timeout", "async def f():\n    await session.get(u)", "async def f():\n    await session.get(u, timeout=3)"),
+    ("http-status-not-checked", "async def f():\n    r = await client.get(u)\n    return r.text", "async def f():\n    r = await client.get(u)\n    r.raise_for_status()\n    return r.text"),
+    ("unvalidated-external-data", "async def f():\n    r = await client.get(u)\n    return r.json()", "async def f():\n    r = await client.get(u)\n    return User.model_validate(r.json())"),
+    ("sequential-await-in-loop", "async def f():\n    for u in us:\n        await client.get(u)", "async def f():\n    await client.get(u)"),
+    ("unrestricted-file-upload", "def f(x: UploadFile):\n    save(x.filename)", "def f(x: UploadFile):\n    check(x.content_type)\n    save(x.filename)"),
+    ("open-redirect", "def f(url):\n    return RedirectResponse(url)", "def f(url):\n    if url.startswith('/'):\n        return RedirectResponse(url)"),
+    ("response-contract-mismatch", "class A(B):\n    x: int\n    y: int\nclass C(B):\n    x: int\n@app.get('/', response_model=A)\ndef f():\n    return C(x=1)", "class A(B):\n    x: int\nclass C(B):\n    x: int\n@app.get('/', response_model=A)\ndef f():\n    return C(x=1)"),
+]
+
+
+@pytest.mark.parametrize("case", FUNCTIONS, ids=lambda c: c[0])
+def test_python_functions(case):
+    rule, bad, good = case
+    assert rule in {r for _, r, _ in syntax.python_findings(bad)} and rule not in {r for _, r, _ in syntax.python_findings(good)}
