@@ -114,6 +114,10 @@ RULES = (
     Rule("prototype-pollution", "medium", JS, r"\b\w+\s*\[\s*(?:key|k|prop|name|path\w*)\s*\]\s*=[^=]", lacks=(r"__proto__|hasOwn|Object\.create\s*\(\s*null|new\s+Map",), test=False),
     Rule("typescript-use-before-assignment", "medium", TS, r"\blet\s+(\w+)\s*:\s*number\s*;(?=(?:(?!\1\s*=[^=]).)*?\b\1\s*(?:\+=|\+\+))"),
     Rule("typescript-use-before-assignment", "medium", TS, r"\blet\s+(\w+)\s*:\s*\w+\s*;(?=(?:(?!\1\s*=[^=]).)*?\breturn\s+\1\b)"),
+    Rule("global-event-listener-without-removal", "medium", JS, r"\b(?:window|document)\.addEventListener\s*\(", lacks=(r"removeEventListener|\bsignal\b|once\s*:",)),
+    Rule("rxjs-subscription-without-cleanup", "medium", TS, r"\b(?:interval|timer)\s*\([^;]*\.subscribe\s*\(", lacks=(r"takeUntil|unsubscribe|DestroyRef|\bfirst\s*\(|\btake\s*\(",), test=False),
+    Rule("typescript-null-dereference", "medium", TS, r"^[^{]*\b(\w+)\s*:\s*[\w<>\[\]]+\s*\|\s*(?:null|undefined)\b[^{]*\{(?=.*?\b\1\.\w)", lacks=(r"\?\.|\bif\s*\(|&&|\?\?",)),
+    Rule("typescript-optional-operand", "medium", TS, r"^[^{]*\b(\w+)\?\s*:\s*number\b[^{]*\{(?=.*?\b\1\s*[-+*/]\s*\w|.*?\w\s*[-+*/]\s*\1\b)", lacks=(r"\bif\s*\(|\?\?|&&",)),
     Rule("observer-without-cleanup", "medium", JS, r"\bnew\s+(?:Mutation|Resize|Intersection)Observer\s*\(", shows=(r"\.observe\s*\(",), lacks=(r"\.(?:disconnect|unobserve)\s*\(",), test=False),
 )
 

@@ -66,6 +66,10 @@ CASES = [
     ("a.ts", "unvalidated-external-data", "async function go(): Promise<User> {\n return r.json();\n}", "async function go(): Promise<User> {\n return schema.parse(await r.json());\n}"),
     ("a.ts", "prototype-pollution", "function go(o, key, v) {\n o[key] = v;\n}", "function go(o, key, v) {\n if (key === '__proto__') return;\n o[key] = v;\n}"),
     ("a.ts", "typescript-use-before-assignment", "function go() {\n let n: number;\n n += 1;\n}", "function go() {\n let n: number;\n n = 0;\n n += 1;\n}"),
+    ("a.js", "global-event-listener-without-removal", "function go() {\n window.addEventListener('x', () => y());\n}", "function go() {\n window.addEventListener('x', y);\n return () => window.removeEventListener('x', y);\n}"),
+    ("a.ts", "rxjs-subscription-without-cleanup", "function go() {\n interval(5).subscribe(x);\n}", "function go() {\n interval(5).pipe(takeUntilDestroyed()).subscribe(x);\n}"),
+    ("a.ts", "typescript-null-dereference", "function go(a: User | null) {\n return a.name;\n}", "function go(a: User | null) {\n return a?.name;\n}"),
+    ("a.ts", "typescript-optional-operand", "function go(n?: number) {\n return n * 2;\n}", "function go(n?: number) {\n return (n ?? 1) * 2;\n}"),
     ("a.ts", "observer-without-cleanup", "function go() {\n const o = new ResizeObserver(f);\n o.observe(x);\n}", "function go() {\n const o = new ResizeObserver(f);\n o.observe(x);\n return () => o.disconnect();\n}"),
 ]
 
