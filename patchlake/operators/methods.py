@@ -80,6 +80,7 @@ RULES = (
     Rule("n-plus-one-query", "medium", CS, r"\bforeach\s*\([^)]*\)\s*\{[^}]*\bawait\s+[^;]*(?:context|db|[rR]epository)\w*\.", once=True),
     Rule("null-safety", "medium", CS, r"\b(?:First|Single)OrDefault(?:Async)?\s*\([^;]*\)\s*;(?=[^}]*\b\w+\.\w+)", lacks=(r"(?:==|!=|is|is not)\s*null|\?\.|\?\?",)),
     Rule("missing-save-changes", "medium", CS, r"\bawait\s+[^;]*\.AddAsync\s*\(", shows=(r"_?(?:context|db)\w*\.",), lacks=(r"\bSaveChanges(?:Async)?\s*\(",)),
+    Rule("unstable-pagination", "medium", CS, r"\.Skip\s*\(", lacks=(r"\.OrderBy",)),
     Rule("cors-misconfiguration", "high", CS, r"\.AllowAnyOrigin\s*\(", shows=(r"\.AllowCredentials\s*\(",), once=True),
     Rule("insecure-cookie", "high", CS, r"\.Cookies\.Append\s*\(", lacks=(r"(?s)HttpOnly\s*=\s*true.*Secure\s*=\s*true|Secure\s*=\s*true.*HttpOnly\s*=\s*true",)),
     Rule("developer-exception-page", "medium", CS, r"\.UseDeveloperExceptionPage\s*\(", lacks=(r"\bIsDevelopment\s*\(",)),

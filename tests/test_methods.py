@@ -38,6 +38,7 @@ CASES = [
     ("A.cs", "n-plus-one-query", C.format("Go", "", "foreach (var x in xs) { await _context.Users.FindAsync(x); }"), C.format("Go", "", "foreach (var x in xs) { y(x); }")),
     ("A.cs", "null-safety", C.format("Go", "", "var u = xs.FirstOrDefault(x => x.A);\n u.Save();"), C.format("Go", "", "var u = xs.FirstOrDefault(x => x.A);\n if (u == null) return; u.Save();")),
     ("A.cs", "missing-save-changes", C.format("Go", "", "await _context.Users.AddAsync(u);"), C.format("Go", "", "await _context.Users.AddAsync(u); await _context.SaveChangesAsync(ct);")),
+    ("A.cs", "unstable-pagination", C.format("Go", "", "return q.Skip(5).Take(5);"), C.format("Go", "", "return q.OrderBy(x => x.Id).Skip(5).Take(5);")),
     ("A.cs", "cors-misconfiguration", C.format("Go", "", "p.AllowAnyOrigin().AllowCredentials();"), C.format("Go", "", "p.AllowAnyOrigin();")),
     ("A.cs", "insecure-cookie", C.format("Go", "", 'Response.Cookies.Append("a", b);'), C.format("Go", "", 'Response.Cookies.Append("a", b, new CookieOptions { HttpOnly = true, Secure = true });')),
     ("A.cs", "developer-exception-page", C.format("Go", "", "app.UseDeveloperExceptionPage();"), C.format("Go", "", "if (env.IsDevelopment()) app.UseDeveloperExceptionPage();")),
