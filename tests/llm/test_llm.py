@@ -182,6 +182,27 @@ def test_pairs_equal_brute_force_on_either_side_of_the_boundary(spark, monkeypat
     assert len(got) == len(set(got)) and set(got) == brute_pairs(list(dict((d[0], d) for d in data).values()), 0.7)
 
 
+def test_records_that_are_empty_long_or_of_other_columns(spark):
+    schema = "manifest_id long, rule string, issue string, suggestion string, print string, words int, id int, n int"
+    none = spark.createDataFrame([], schema)
+    assert near_records.record_pairs(none).count() == near_records.groups(none).count() == 0
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, None, None, None), (None, "a", "b", "c"), (2, long, None, ""), (3, long + " more", None, None), (4, "a", None, None), (5, "A!", None, None), (6, "a a", None, None)]
+    df = spark.createDataFrame([(*r, "x", 1, 1, 1) for r in rows], schema)
+    assert sorted(map(tuple, near_records.record_pairs(df).collect())) == [(2, 3), (4, 5)]
+    assert sorted((r.manifest_id, r.group_id) for r in near_records.groups(df).collect()) == [(2, 2), (3, 2), (4, 4), (5, 4), (6, 6)]
+
+
+def test_a_class_of_many_copies_is_met_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_records, "BLOCK", 7)
+    words = [f"w{i}" for i in range(20)]
+    rows = [(i, None, " ".join(words), None) for i in range(30)] + [(100 + i, None, " ".join([*words[:19], "x"]), None) for i in range(10)]
+    df = spark.createDataFrame(rows, "manifest_id long, rule string, issue string, suggestion string")
+    got = [tuple(r) for r in near_records.record_pairs(df).collect()]
+    keys = [r[0] for r in rows]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in keys for b in keys if a < b}
+
+
 def test_groups_join_chains_and_copies(spark):
     w = [f"a{i}" for i in range(20)]
     chain = [(k, None, " ".join(w[: 20 - k] + [f"b{i}" for i in range(k)]), None) for k in range(0, 8, 2)]
