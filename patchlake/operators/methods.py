@@ -111,6 +111,7 @@ RULES = (
     Rule("unsafe-indexed-access", "medium", TS, r"\b\w+\s*\[\s*[a-z]\w*\s*(?:as\s+[^\]]+)?\]", shows=(r"^[^{]*\b\w+\s*:\s*object\b",), lacks=(r"hasOwn|\bin\s+\w+\s*\)",)),
     Rule("broad-function-type", "medium", TS, r"[\w)]\s*:\s*Function\b", once=True),
     Rule("typescript-possibly-undefined-result", "medium", TS, r"\breturn\s+[\w.]+\.find\s*\(", shows=(r"^[^{]*\)\s*:\s*\w",), lacks=(r"^[^{]*\)\s*:[^{]*undefined|\?\?|\.find\s*\([^;]*\)\s*!",)),
+    Rule("typescript-possibly-undefined-result", "medium", TS, r"\breturn\s+[\w.]+\[\s*[A-Za-z_]\w*\s*\]\s*;", shows=(r"^[^{]*\)\s*:\s*\w",), lacks=(r"^[^{]*\)\s*:[^{]*undefined|\bif\s*\(|\?\?",)),
     Rule("unvalidated-external-data", "medium", TS, r"\breturn\s+(?:await\s+)?\w+\.json\s*\(\s*\)", shows=(r"^[^{]*\)\s*:\s*Promise<",), lacks=(r"(?i)\.parse\s*\(|validate|schema",), test=False),
     Rule("prototype-pollution", "medium", JS, r"\b\w+\s*\[\s*(?:key|k|prop|name|path\w*)\s*\]\s*=[^=]", lacks=(r"__proto__|hasOwn|Object\.create\s*\(\s*null|new\s+Map",), test=False),
     Rule("typescript-use-before-assignment", "medium", TS, r"\blet\s+(\w+)\s*:\s*number\s*;(?=(?:(?!\1\s*=[^=]).)*?\b\1\s*(?:\+=|\+\+))"),

@@ -44,11 +44,18 @@ def unrepeated(text: str, line: int, claim: str) -> bool:
     if "duplicate" not in claim.lower() or not (quoted := _QUOTED.search(claim)):
         return False
     begin, end = _line_at(text, line)
-    around = [(m.start(), close) for m in re.finditer(r"\[", text[:end]) if (close := matching(text, m.start())) is not None and close >= begin]
+    around = [(m.start(), close) for m in re.finditer(r"[\[{]", text[:end]) if (close := matching(text, m.start())) is not None and close >= begin]
     if not around:
         return False
     a, b = around[-1]
-    return len(re.findall(rf"[\"'`]{re.escape(quoted[1])}[\"'`]", text[a:b])) < 2
+    name = re.escape(quoted[1])
+    return len(re.findall(rf"[\"'`]{name}[\"'`]|(?<![\w-]){name}\s*:", text[a:b])) < 2
+
+
+def absent(text: str, claim: str) -> bool:
+    """Whether a claim names code in quotes, and the text holds none of it."""
+    names = re.findall(r"`([A-Za-z_$][\w$.]*)(?:\(\))?`", claim)
+    return bool(names) and not any(re.search(rf"(?<![\w$]){re.escape(n.rpartition('.')[2])}(?![\w$])", text) for n in names)
 
 
 def assigned_first(text: str, claim: str) -> bool:
@@ -62,12 +69,12 @@ def assigned_first(text: str, claim: str) -> bool:
 
 
 def refuted(findings: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """(seq, reasons) of findings that the text of their file refutes; a finding without line or text is refuted by none."""
+    """(seq, reasons) of findings that the whole text of their file refutes; a finding without line or text is refuted by none."""
     ship_package(findings.sparkSession)
     claim = F.concat_ws(" ", "issue", "suggestion")
     rows = findings.where("line_number is not null").select("seq", *keys, "line_number", claim.alias("claim"))
     # a text is read only where a claim has the words of a proof
-    worth = F.lower("claim").rlike(r"\b(?:method|function|handler|callback|constructor|duplicate|before)\b")
+    worth = F.lower("claim").rlike(r"`|\b(?:method|function|handler|callback|constructor|duplicate|before)\b")
     texts = files.where("text is not null").groupBy(*keys).agg(F.max("text").alias("text"))
     met = rows.where(worth).join(texts, keys).select("seq", "line_number", "claim", "text")
 
@@ -75,7 +82,7 @@ def refuted(findings: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame
         for rb in batches:
             out = []
             for seq, line, said, text in zip(*(c.to_pylist() for c in rb.columns)):
-                reasons = [r for r, hit in (("outside the callable named", outside_callable(text, line, said)), ("stands there once", unrepeated(text, line, said)), ("assigned before it is read", assigned_first(text, said))) if hit]
+                reasons = [r for r, hit in (("outside the callable named", outside_callable(text, line, said)), ("stands there once", unrepeated(text, line, said)), ("assigned before it is read", assigned_first(text, said)), ("names nothing in the file", absent(text, said))) if hit]
                 if reasons:
                     out.append((seq, reasons))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([r for _, r in out], pa.list_(pa.string()))], ["seq", "reasons"])

@@ -133,6 +133,37 @@ def unused_findings(text: str, whole: str) -> Iterator[tuple[int, str, str]]:
                 yield at + p.start(1), "unused-parameter", "low"
 
 
+_ALIAS = re.compile(r"\btype\s+(\w+)\s*=\s*((?:\|?\s*['\"][^'\"]+['\"]\s*)+);?")
+_LITERAL = re.compile(r"['\"]([^'\"]+)['\"]")
+
+
+def missing_members(declared: set[str], handled: set[str]) -> set[str]:
+    """The members of a union that no case handles."""
+    return declared - handled
+
+
+def typed_findings(text: str, whole: str) -> Iterator[tuple[int, str, str]]:
+    """(offset, rule, severity) of TypeScript: switches that miss members of a union, timers kept in members and never cleared,
+    optional properties read through without narrowing."""
+    aliases = {m[1]: set(_LITERAL.findall(m[2])) for m in _ALIAS.finditer(whole)}
+    for m in re.finditer(r"\bswitch\s*\(\s*(\w+)\s*\)\s*\{", text):
+        end = matching(text, m.end() - 1)
+        kind = re.search(rf"\b{m[1]}\s*\??\s*:\s*(\w+)", whole)
+        if end is None or not kind or kind[1] not in aliases or re.search(r"\bdefault\s*:", text[m.end() : end]):
+            continue
+        handled = {x for c in re.findall(r"\bcase\s*([^:]+):", text[m.end() : end]) for x in _LITERAL.findall(c)}
+        if missing_members(aliases[kind[1]], handled):
+            yield m.start(), "non-exhaustive-union", "medium"
+    for m in re.finditer(r"\bthis\.(\w+)\s*=\s*(?:window\.)?set(Interval|Timeout)\s*\(", text):
+        if not re.search(rf"\bclear{m[2]}\s*\(\s*this\.{m[1]}\b", whole):
+            yield m.start(), "timer-without-cleanup", "medium"
+    optional = {p for body in re.findall(r"\b(?:interface\s+\w+[^{]*|type\s+\w+\s*=\s*)\{([^}]*)\}", whole) for p in re.findall(r"\b(\w+)\?\s*:", body)}
+    for p in sorted(optional):
+        if not re.search(rf"\b{p}\b\s*(?:&&|!==?|===?|\?\?)|\bif\s*\([^)]*\b{p}\b", whole):
+            for m in re.finditer(rf"\.{p}\.\w", text):
+                yield m.start(), "typescript-optional-property", "medium"
+
+
 def python_findings(text: str) -> Iterator[tuple[int, str, str]]:
     """(line, rule, severity) of the rules over the syntax tree; nothing where the text doesn't parse."""
     try:
@@ -241,7 +272,9 @@ def syntax_findings(files: DataFrame) -> DataFrame:
                     if k == "python":
                         out |= {(i, first + line - 1, rule, s) for line, rule, s in python_findings(text)}
                         continue
-                    shapes = [*script_findings(text), *unused_findings(text, whole)] if k == "script" else ()
+                    shapes = [*script_findings(text), *unused_findings(text, whole)] if k == "script" else []
+                    if path.lower().endswith((".ts", ".tsx")):
+                        shapes += typed_findings(text, whole)
                     out |= {(i, first + text.count("\n", 0, at), rule, s) for at, rule, s in [*shapes, *method_findings(path, text)]}
             cols = list(zip(*sorted(out))) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["file_id", "line_number", "rule_id", "severity"])

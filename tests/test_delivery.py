@@ -144,7 +144,7 @@ def test_claims_that_the_text_refutes(spark):
     from patchlake.operators import proofs
 
     text = "function load() {\n  return 1;\n}\nfunction save() {\n  let n = 1;\n  use(n);\n}\nconst a = [\n  'x',\n  'y',\n  'x',\n];"
-    cases = [(1, 5, "The `load` function leaks", ["outside the callable named"]), (2, 2, "The `load` function leaks", None), (3, 10, "duplicate entry 'y'", ["stands there once"]), (4, 9, "duplicate entry 'x'", None), (5, 6, "`n` is read before it is assigned", ["assigned before it is read"]), (6, 6, "The `other` function", None), (7, None, "The `load` function", None)]
+    cases = [(1, 5, "The `load` function leaks", ["outside the callable named"]), (2, 2, "The `load` function leaks", None), (3, 10, "duplicate entry 'y'", ["stands there once"]), (4, 9, "duplicate entry 'x'", None), (5, 6, "`n` is read before it is assigned", ["assigned before it is read"]), (6, 6, "The `other` function", ["names nothing in the file"]), (7, None, "The `load` function", None), (8, 6, "`use` may fail, unlike `nothing`", None)]
     f = spark.createDataFrame([(s, "p", line, c, None) for s, line, c, _ in cases], "seq int, path string, line_number int, issue string, suggestion string")
     files = spark.createDataFrame([("p", text), ("q", None)], "path string, text string")
     assert {r.seq: r.reasons for r in proofs.refuted(f, files, ["path"]).collect()} == {s: r for s, _, _, r in cases if r}

@@ -64,6 +64,7 @@ CASES = [
     ("a.ts", "unsafe-indexed-access", "function go(o: object, k: string) {\n return o[k];\n}", "function go(o: object, k: string) {\n if (k in o) return o[k];\n}"),
     ("a.ts", "broad-function-type", "function go(f: Function) {\n f();\n}", "function go(f: () => void) {\n f();\n}"),
     ("a.ts", "typescript-possibly-undefined-result", "function go(): User {\n return xs.find(x);\n}", "function go(): User | undefined {\n return xs.find(x);\n}"),
+    ("a.ts", "typescript-possibly-undefined-result", "function go(xs: A[], i: number): A {\n return xs[i];\n}", "function go(xs: A[], i: number): A | undefined {\n return xs[i];\n}"),
     ("a.ts", "unvalidated-external-data", "async function go(): Promise<User> {\n return r.json();\n}", "async function go(): Promise<User> {\n return schema.parse(await r.json());\n}"),
     ("a.ts", "prototype-pollution", "function go(o, key, v) {\n o[key] = v;\n}", "function go(o, key, v) {\n if (key === '__proto__') return;\n o[key] = v;\n}"),
     ("a.ts", "typescript-use-before-assignment", "function go() {\n let n: number;\n n += 1;\n}", "function go() {\n let n: number;\n n = 0;\n n += 1;\n}"),
@@ -176,3 +177,16 @@ FUNCTIONS = [
 def test_python_functions(case):
     rule, bad, good = case
     assert rule in {r for _, r, _ in syntax.python_findings(bad)} and rule not in {r for _, r, _ in syntax.python_findings(good)}
+
+
+TYPED = [
+    ("non-exhaustive-union", "type A = 'x' | 'y';\nfunction f(a: A) {\n switch (a) {\n case 'x': return 1;\n }\n}", "type A = 'x' | 'y';\nfunction f(a: A) {\n switch (a) {\n case 'x': return 1;\n case 'y': return 2;\n }\n}"),
+    ("timer-without-cleanup", "class A { go() { this.t = setInterval(f, 1); } }", "class A { go() { this.t = setInterval(f, 1); }\n end() { clearInterval(this.t); } }"),
+    ("typescript-optional-property", "interface A { b?: B; }\nconst c = (a: A) => a.b.c;", "interface A { b?: B; }\nconst c = (a: A) => a.b && a.b.c;"),
+]
+
+
+@pytest.mark.parametrize("case", TYPED, ids=lambda c: c[0])
+def test_typed_shapes(case):
+    rule, bad, good = case
+    assert [r for _, r, _ in syntax.typed_findings(bad, bad)] == [rule] and not list(syntax.typed_findings(good, good))
