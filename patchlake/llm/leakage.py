@@ -7,7 +7,8 @@ every stretch of an item that a match must cover, the rarest shingles of five wo
 only where it holds one of them, at a place that lengths and positions allow. Around each such place a stretch of the document
 as long as the item is compared with the item word by word, and words that differ by a misread character still agree.
 
-Scale: rarity is counted over the items, in a shuffle. A bitmap of the prefixes, of fixed size whatever their number, goes to the
+Scale: what folding makes of a token is worked out once by each worker, so that a document costs a look-up for each of its tokens.
+Rarity is counted over the items, in a shuffle. A bitmap of the prefixes, of fixed size whatever their number, goes to the
 workers; the shingles of documents that pass it meet the prefixes, and then the words of their items, by broadcast where rows
 and bytes of that side were measured to be small, else by shuffle joins over salted keys.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +37,13 @@ LEAST, SHINGLE = 12, 5
 SPOILT = 1
 #: Ranges of the bitmap of shingles, and parts of a hot key where a side is too large for a broadcast.
 SEGMENTS, SALTS = 64, 8
+#: Tokens of documents taken together, and bytes about which a worker forgets the tokens it has folded.
+AT_ONCE, FOLDED_BYTES = 1 << 17, 1 << 27
 
-TIME_LINE = re.compile(r"^[^\n]*-->[^\n]*$", re.MULTILINE)
-NUMBER_LINE = re.compile(r"^[ \t﻿]*\d+[ \t]*$", re.MULTILINE)
-HEAD = re.compile(r"^﻿?WEBVTT[^\n]*$|^(?:NOTE|STYLE|REGION)\b[^\n]*$", re.MULTILINE)
+HEAD = re.compile(r"\ufeff?WEBVTT|(?:NOTE|STYLE|REGION)\b")
 MARKUP = re.compile(r"<[^<>\n]{0,60}>|\{\\?[^{}\n]{0,40}\}|&(?:nbsp|amp|lt|gt|quot|#39|lrm|rlm);")
-SOUND = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,60}\*|♪[^♪\n]{0,120}♪|[♪♫#]")
-SPEAKER = re.compile(r"^(?:[ \t]*(?:-|–|—|>>)[ \t]*)?[A-ZÀ-ÖØ-ÞА-Я][A-ZÀ-ÖØ-ÞА-Я0-9 .'-]{1,24}:[ \t]*", re.MULTILINE)
+SOUND = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,60}\*|♪[^♪\n]{0,120}♪|♪|♫|#")
+SPEAKER = re.compile(r"(?:[ \t]*(?:-|–|—|>>)[ \t]*)?[A-ZÀ-ÖØ-ÞА-Я][A-ZÀ-ÖØ-ÞА-Я0-9 .'-]{1,24}:[ \t]*")
 GARBLED = re.compile(r"(?<=\w)[?](?=\w)|[?](?=[a-zA-Z]{2})")
 FOREIGN = re.compile(r"[!-~]*[^\x00-\x7f\s]\S*")
 IDEOGRAPH = re.compile(r"[\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -49,27 +51,35 @@ _BLANK = str.maketrans(dict.fromkeys("–—…\u00a0", " "))
 WORD = re.compile(r"[a-z0-9|$@'\x80-\U0010ffff]+")
 
 
-def folded(text: str) -> list[str]:
-    """The words of a text, as misreading and wrong encoding leave them recognisable."""
+def spoken(text: str) -> str:
+    """A text without what belongs to its format or isn't spoken; words stay apart, lines stay lines."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = TIME_LINE.sub("", text)
-    text = NUMBER_LINE.sub("", text)
-    text = HEAD.sub("", text)
-    text = MARKUP.sub(" ", text)
-    text = SOUND.sub(" ", text)
-    text = SPEAKER.sub("", text)
-    return fold_words(text)
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        if line and ("-->" in line or line.isdecimal() or line.lstrip(" \t\ufeff").rstrip(" \t").isdecimal() or line[0] in "\ufeffWNSR" and HEAD.match(line)):
+            lines[k] = ""
+    text = "\n".join(lines)
+    if "<" in text or "{" in text or "&" in text:
+        text = MARKUP.sub(" ", text)
+    if "[" in text or "(" in text or "*" in text or "#" in text or "♪" in text or "♫" in text:
+        text = SOUND.sub(" ", text)
+    if ":" in text:
+        text = "\n".join([line[m.end() :] if ":" in line and (m := SPEAKER.match(line)) else line for line in text.split("\n")])
+    return text
 
 
 def fold_words(text: str) -> list[str]:
-    text = text.replace("’", "'").replace("­", "")
+    """The words of a text, as misreading and wrong encoding leave them recognisable. Nothing reaches across a blank or a line."""
     if not text.isascii():
-        text = FOREIGN.sub(lambda m: foreign(m[0]), repaired(text).translate(_BLANK))
-    text = GARBLED.sub("", text)
+        text = text.replace("’", "'").replace("\u00ad", "")
+        if not text.isascii():
+            text = FOREIGN.sub(lambda m: foreign(m[0]), repaired(text).translate(_BLANK))
+    if "?" in text:
+        text = GARBLED.sub("", text)
     text = text.lower().replace("'", "").replace("vv", "w").replace("rn", "m").replace("cl", "d")
     text = text.translate(_SAME)
-    return WORD.findall(text)
+    return [text] if text.isalnum() else WORD.findall(text)
 
 
 def foreign(token: str) -> str:
@@ -79,10 +89,6 @@ def foreign(token: str) -> str:
     accented letters go, as a wrong encoding may have put any sign there, but a word of nothing else keeps their base letters. A
     lone sign of replacement stays for a short word.
     """
-    if token in _foreign:
-        return _foreign[token]
-    if len(_foreign) > 500_000:
-        _foreign.clear()
     letters = [c for c in token if c.isalpha()]
     other = sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters)
     out = "".join(c if c.isascii() else "" for c in token)
@@ -95,13 +101,9 @@ def foreign(token: str) -> str:
             out = "".join(c for c in unicodedata.normalize("NFKD", core) if c.isalnum())
         elif core == "\ufffd":
             out = core
-    _foreign[token] = out
     return out
 
 
-_foreign: dict[str, str] = {}
-
-
 #: Signs that look alike become one.
 _SAME = str.maketrans({"l": "i", "1": "i", "|": "i", "0": "o", "5": "s", "$": "s", "8": "b"})
 
@@ -127,16 +129,49 @@ def alike(a: str, b: str) -> bool:
     return before[n] <= most
 
 
-def hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """The hash of each shingle of five words."""
-    import xxhash
+class Tokens(dict):
+    """Tokens by number, each folded once: the words of token t are counts[t] of `words` from starts[t] on, with their hashes."""
+
+    def __init__(self) -> None:
+        from xxhash import xxh64_intdigest
+
+        self.hash = xxh64_intdigest
+        self.renew()
+
+    def renew(self) -> None:
+        self.clear()
+        self.words: list[str] = []
+        self.prints, self.starts, self.counts = array("Q"), array("q"), array("q")
+        self.bytes = 0
+
+    def __missing__(self, token: str) -> int:
+        words = fold_words(token)
+        number = self[token] = len(self.starts)
+        self.starts.append(len(self.words))
+        self.counts.append(len(words))
+        self.words += words
+        self.prints.extend([self.hash(w) | 1 for w in words])
+        self.bytes += 300 + 100 * len(words) + 5 * len(token)
+        return number
+
+    def numbers(self, text: str) -> np.ndarray:
+        """The numbers of the tokens of a text, one at least."""
+        tokens = spoken(text).replace("\n", " ").split(" ")
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in `words` of the words of tokens, and how many words there are up to the end of each token."""
+        counts = np.frombuffer(self.counts, np.int64)[numbers]
+        ends = counts.cumsum()
+        return np.repeat(np.frombuffer(self.starts, np.int64)[numbers] - ends + counts, counts) + np.arange(ends[-1]), ends
+
+    def hashes(self, places: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.prints, np.uint64)[places] if len(places) else np.zeros(0, np.uint64)
 
-    if len(words) < SHINGLE:
-        return np.zeros(0, np.int64)
-    if len(known) > 1_000_000:
-        known.clear()
-    h = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w) | 1) for w in words], np.uint64)
-    n = len(h) - SHINGLE + 1
+
+def rolled(h: np.ndarray) -> np.ndarray:
+    """The hash of each shingle of five words, by the hashes of the words."""
+    n = max(0, len(h) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(SHINGLE):
@@ -157,14 +192,18 @@ def item_words(text: str | None) -> list[str]:
 
 def shingled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, words, shingles) of the items long enough for a match."""
+    import xxhash
+
     known: dict[str, int] = {}
     for rb in rows:
         out = []
+        if len(known) > 1_000_000:
+            known.clear()
         for item, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
             whole = item_words(text)
             words = [w for w in whole if w]
             if len(whole) >= LEAST and len(words) >= SHINGLE:
-                out.append((item, words, hashes(words, known).tolist()))
+                out.append((item, words, rolled(np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w) | 1) for w in words], np.uint64)).tolist()))
         columns = list(zip(*out)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.string())), pa.array(columns[2], pa.list_(pa.int64()))], ["item_id", "words", "shingles"])
 
@@ -218,6 +257,46 @@ def bitmap(prefix: DataFrame, count: int) -> np.ndarray:
     return out.ravel()
 
 
+def marked(rows: Iterator[pa.RecordBatch], wanted: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, at, shingle, around): each shingle of the documents that the bitmap has, at its place among `longest` words on
+    either side."""
+    tokens = Tokens()
+    last = np.int64(8 * len(wanted) - 1)
+
+    def met(docs: list[int], numbers: list[np.ndarray]) -> pa.RecordBatch:
+        places, ends = tokens.places(np.concatenate(numbers))
+        begin = np.concatenate([[0], ends[np.cumsum([len(x) for x in numbers]) - 1]])
+        h = rolled(tokens.hashes(places))
+        bit = h & last
+        hits = np.flatnonzero((wanted[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+        of = np.searchsorted(begin, hits, side="right") - 1
+        ids, ats, prints, around = [], [], [], []
+        for k, d, p in zip(hits.tolist(), of.tolist(), h[hits].tolist()):
+            if k + SHINGLE > begin[d + 1]:  # it reaches into the next document
+                continue
+            a = max(int(begin[d]), k - longest)
+            ids.append(docs[d])
+            ats.append(k - a)
+            prints.append(p)
+            around.append([tokens.words[w] for w in places[a : min(k + longest, int(begin[d + 1]))].tolist()])
+        if tokens.bytes > FOLDED_BYTES:
+            tokens.renew()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(prints, pa.int64()), pa.array(around, pa.list_(pa.string()))], ["doc_id", "at", "shingle", "around"])
+
+    for rb in rows:
+        docs, numbers, held = [], [], 0
+        for doc, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            if text:
+                docs.append(doc)
+                numbers.append(tokens.numbers(text))
+                held += len(numbers[-1])
+            if held >= AT_ONCE:
+                yield met(docs, numbers)
+                docs, numbers, held = [], [], 0
+        if docs:
+            yield met(docs, numbers)
+
+
 def carried(words: list[str], at: int, item: list[str], place: int) -> int:
     """How many words in a row of the item the words carry around a shared shingle; a differing word or one left out ends it,
     but for a word read as two or two as one."""
@@ -253,25 +332,7 @@ def carriers(docs: DataFrame, items: DataFrame) -> DataFrame:
     longest = max(LEAST, held.agg(F.max(F.size("words"))).first()[0] or 0) + LEAST
 
     def of_docs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known = bits.value, {}
-        last = np.int64(8 * len(wanted) - 1)
-        for rb in rows:
-            ids, ats, prints, around = [], [], [], []
-            texts = [(i, folded(t)) for i, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()) if t]
-            every = [hashes(words, known) for _, words in texts]
-            begin = np.cumsum([0, *map(len, every)])
-            h = np.concatenate([np.zeros(0, np.int64), *every])
-            at = h & last
-            hits = np.flatnonzero((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-            for k, d in zip(hits.tolist(), (np.searchsorted(begin, hits, side="right") - 1).tolist()):
-                i, words = texts[d]
-                k -= int(begin[d])
-                a = max(0, k - longest)
-                ids.append(i)
-                ats.append(k - a)
-                prints.append(int(every[d][k]))
-                around.append(words[a : k + longest])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(prints, pa.int64()), pa.array(around, pa.list_(pa.string()))], ["doc_id", "at", "shingle", "around"])
+        return marked(rows, bits.value, longest)
 
     places = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of_docs, "doc_id long, at int, shingle long, around array<string>")
     met = _met(places, prefix, "shingle")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -372,6 +373,32 @@ def test_other_scripts_and_lone_accented_words_count(spark):
     assert sorted(map(tuple, leakage.found(d, i).collect())) == [(1, 10), (2, 11), (3, 11), (4, 12), (7, 11)]
 
 
+def test_a_token_is_folded_once_and_as_within_its_text(monkeypatch):
+    odd = ["\ufeffWEBVTT\n\n1\n00:01 --> 00:02\nTOVAN: <i>rnarket</i>, (door\ncreaks) the wa11 - well\u2014known\r\n\u0663\n 12 \t\nNOTE x", "na\u00c3\u00afve\u00a0caf\u00e9 r'n c'l v'v \u00c2\u00a0x\ty?z \u039f\u0394\u039f\u03a3 \u03a3'\u03b1", "\u706b\u5f8c\u3000\u5e02 \U0001f600a\x85b\x1cc \u266a la la \u266a# ,,, \ufffd", " \n ", "- ??? <>"]
+    whole = [leakage.fold_words(leakage.spoken(t)) for t in odd]
+    tokens = leakage.Tokens()
+    for text, words in zip(odd, whole):
+        assert [tokens.words[p] for p in tokens.places(tokens.numbers(text))[0].tolist()] == words
+
+    # a bitmap that holds every shingle: rows for each of them, none across two documents, whatever is taken together or forgotten
+    texts = [cues(ITEM, 4), None, "", ITEM, *odd] * 30
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 90), pa.int64()), pa.array(texts[a : a + 90], pa.string())], ["doc_id", "text"]) for a in range(0, len(texts), 90)]
+    folded, fold = [], leakage.fold_words
+    monkeypatch.setattr(leakage, "fold_words", lambda t: folded.append(t) or fold(t))
+    every = np.full(1 << 13, 255, np.uint8)
+    got = [r for rb in leakage.marked(iter(batches), every, 20) for r in rb.to_pylist()]
+    assert len(folded) == len(set(folded))
+    want = []
+    for doc, text in enumerate(texts):
+        words = fold(leakage.spoken(text)) if text else []
+        want += [(doc, min(k, 20), words[max(0, k - 20) : k + 20]) for k in range(len(words) - leakage.SHINGLE + 1)]
+    assert [(r["doc_id"], r["at"], r["around"]) for r in got] == want
+    assert all(r["shingle"] == s for r, s in zip(got, leakage.shingled(iter([pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([ITEM])], ["item_id", "text"])])).__next__().column(2)[0].as_py()))
+    monkeypatch.setattr(leakage, "AT_ONCE", 40)
+    monkeypatch.setattr(leakage, "FOLDED_BYTES", 2_000)
+    assert [r for rb in leakage.marked(iter(batches), every, 20) for r in rb.to_pylist()] == got
+
+
 # ---- 9 -----------------------------------------------------------------------------------------------------------------
 
 
